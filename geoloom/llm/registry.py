@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import chat, mixing
+from geoloom.llm import chat, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": quality.op3_quality_rules,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_chat_format": chat.op10_chat_format,
 }
 ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
     "op10_chat_format": chat.ORACLE,
 }
