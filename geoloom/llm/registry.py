@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import chat, mixing, quality
+from geoloom.llm import bpe, chat, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_chat_format": chat.op10_chat_format,
 }
