@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import bpe, chat, mixing, quality, tokenstore
+from geoloom.llm import bpe, chat, matroska, mixing, quality, tokenstore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_media_columns": matroska.op5_media_columns,
     "op7_token_store": tokenstore.op7_token_store,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_chat_format": chat.op10_chat_format,
