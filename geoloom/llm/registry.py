@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import bpe, chat, matroska, mixing, quality, tokenstore
+from geoloom.llm import bpe, chat, matroska, mixing, ngram_join, quality, tokenstore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_media_columns": matroska.op5_media_columns,
