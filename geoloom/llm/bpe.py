@@ -274,14 +274,15 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256: encode, then decode the ids as a stream."""
+def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """key, n_tokens, ids_sha256, decoded_sha256 (and ids): encode, then decode the ids as a stream."""
     schema = docs.select(key).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = schema.add("ids", "binary") if with_ids else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, ids = [], [], [], []
             for x in batch.column(1).to_pylist():
                 packed = own.encode(x)
                 decoded = hashlib.sha256()
@@ -290,7 +291,10 @@ def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
                 n.append(len(packed) // 4)
                 ids_sha.append(hashlib.sha256(packed).hexdigest())
                 text_sha.append(decoded.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    ids.append(packed)
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())] if with_ids else columns, names=schema.names)
 
     return docs.select(key, text).mapInArrow(run, schema)
 
