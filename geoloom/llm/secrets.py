@@ -96,7 +96,6 @@ def labelled_findings(spark: SparkSession, n: int = FIT_ROWS) -> DataFrame:
     size = F.conv(F.substring(h(33), 1, 2), 16, 10).cast("int")
     digits = F.regexp_replace(F.concat(h(3), h(4)), "[a-f]", "")
     word = pick(34, ("ouwhea", "therentin", "einbekeit", "queoileaux", "configuration", "thereading", "chapter", "releasenotes"))
-    shape = F.pmod(F.col("id"), F.lit(16))
     key16 = F.rpad(F.concat(upper, F.upper(F.translate(F.substring(h(5), 1, 20), "01", "QX"))), 16, "Q")
     rows = [
         (1, F.concat(F.lit("AKIA"), key16), F.lit(""), filler(6), filler(7)),
@@ -116,15 +115,13 @@ def labelled_findings(spark: SparkSession, n: int = FIT_ROWS) -> DataFrame:
         (0, F.concat(F.lit("com/"), word, F.lit("/"), F.substring(digits, F.lit(1), 2 + size % 9)), F.lit("https://www.site."), filler(6), filler(7)),
         (0, F.concat(F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 2), F.lit("-"), F.substring(digits, 7, 2), F.lit("T"), F.substring(digits, 9, 2)), F.lit(""), filler(6), filler(7)),
     ]
-    chosen = None
+    made = None
     for k, (label, value, head, before1, before2) in enumerate(rows):
-        own = F.struct(
-            F.concat(head, value).alias("word"), value.alias("value"), before1.alias("before1"), before2.alias("before2"), filler(42).alias("after1"),
-            pick(43, ("src0", "src7", "web", "docs/readme", "tests/fixtures") if label == 0 else ("src0", "src7", "web", "src/main", "app")).alias("path"),
-            F.lit(label).alias("label"),
-        )
-        chosen = F.when(shape == k, own) if chosen is None else chosen.when(shape == k, own)
-    return spark.range(0, n, 1, 1).select(chosen.alias("c")).select("c", F.col("c.label").cast("double").alias("label")).where("length(c.value) >= 12")
+        path = pick(43, ("src0", "src7", "web", "docs/readme", "tests/fixtures") if label == 0 else ("src0", "src7", "web", "src/main", "app"))
+        own = F.struct(F.concat(head, value).alias("word"), value.alias("value"), before1.alias("before1"), before2.alias("before2"), filler(42).alias("after1"), path.alias("path"))
+        part = spark.range(k, n, len(rows), 1).select(own.alias("c"), F.lit(float(label)).alias("label"))
+        made = part if made is None else made.unionByName(part)
+    return made.where("length(c.value) >= 12").coalesce(1)
 
 
 def rated(candidates: Column, keep: list[str]) -> Column:
