@@ -99,7 +99,7 @@ shape("is_parallel", "order_line", {"same": L.is_parallel(LINE, _moved), "back":
 shape("flipped", "order_line", {"s": checksum(L.flipped(LINE))}, {"s": r(sum_of("line", "$c.y * 0.37 + $c.x"))})
 shape("reversed", "order_line", {"s": checksum(F.reverse(LINE))}, {"s": r("list_sum(list_transform(range(1, len(line) + 1), lambda i: i * (line[len(line) + 1 - i].x * 0.37 + line[len(line) + 1 - i].y)))")})
 shape("truncated", "order_line", {"s": checksum(L.truncated(LINE, 1))}, {"s": r(sum_of("line", "round($c.x, 1) * 0.37 + round($c.y, 1)"))})
-shape("snapped_to_grid", "order_line", {"s": checksum(L.snapped(LINE, 0.25))}, {"s": r(sum_of("line", "round($c.x / 0.25) * 0.25 * 0.37 + round($c.y / 0.25) * 0.25"), 1)}, 1)
+shape("snapped_to_grid", "order_line", {"s": checksum(L.snapped(LINE, 0.25))}, {"s": r(sum_of("line", "round($c.x / 0.25) * 0.25 * 0.37 + round($c.y / 0.25) * 0.25"), 4)}, 4)
 shape("cleaned", "order_line", {"n": F.size(L.without_repeats(L.snapped(LINE, 30.0)))},
       {"n": "CAST(1 + len(list_filter(range(2, len(line) + 1), lambda i: round(line[i].x / 30) <> round(line[i - 1].x / 30) OR round(line[i].y / 30) <> round(line[i - 1].y / 30))) AS INTEGER)"})
 shape("rewind", "customer_ring", {"s": checksum(L.rewound(RING, True)), "same": checksum(L.rewound(RING))}, {"s": r("list_sum(list_transform(range(1, 10), lambda i: i * (ring[10 - i].x * 0.37 + ring[10 - i].y)))"), "same": r(sum_of("ring", "$c.x * 0.37 + $c.y"))})
