@@ -46,3 +46,15 @@ def word_count(text: Column) -> Column:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the decimal text of an id, modulo n."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
+
+
+def fenced(df: DataFrame, keep: list[str]) -> DataFrame:
+    """df, its columns other than `keep` behind a generator.
+
+    A filter on a computed column is otherwise moved below the projections that
+    compute it, with their expressions put inside each other, and an array that
+    a lambda refers to would then be computed for each of its elements.
+    """
+    own = [c for c in df.columns if c not in keep]
+    packed = F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in own]))).alias("_fence")
+    return df.select(*[F.col(f"`{c}`") for c in keep], packed).select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"_fence.`{c}`") for c in own])

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import WORD, table
+from geoloom.llm.common import WORD, fenced, table
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -117,7 +117,7 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Threshold, ...] = RU
     """docs with the _q_ counts, _q_base_failed, _q_failed_rules and _q_kept."""
     out = measures(docs, text).withColumn("_q_base_failed", base_failed())
     out = out.withColumn("_q_failed_rules", F.array_compact(F.array(*[F.when(~passes(r), F.lit(r.name)) for r in rules])))
-    return out.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.size("_q_failed_rules") == 0))
+    return fenced(out.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.size("_q_failed_rules") == 0)), docs.columns)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import WORD, table
+from geoloom.llm.common import WORD, fenced, materialize, table
 
 FIT_ROWS = 6000
 TREES = 15
@@ -147,6 +147,7 @@ class Forest:
 
         self.names = [name for name, _ in features(F.col("c"))]
         rows = findings.select(rated(F.array("c"), [])[0].alias("f"), "label").select("f.*", "label")
+        rows = materialize(rows, "findings")
         rows = VectorAssembler(inputCols=self.names, outputCol="features").transform(rows).select("features", "label")
         model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8).fit(rows)
         self.roots = [t._call_java("rootNode") for t in model.trees]
@@ -182,7 +183,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, text: str = "text", path
     scored = F.transform("_s_rated", lambda f: F.struct(f["word_index"].alias("word_index"), f["value"].alias("value"), detector(f).alias("detector"), F.round(forest.probability(f), 6).alias("probability")))
     out = out.withColumn("_s_scored", scored)
     findings = F.transform("_s_scored", lambda f: F.struct(f["word_index"].alias("word_index"), f["value"].alias("value"), f["detector"].alias("detector"), f["probability"].alias("probability"), (f["probability"] >= 0.5).alias("is_secret")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], findings.alias("_s_findings"))
+    return fenced(out.select(*[F.col(f"`{c}`") for c in docs.columns], findings.alias("_s_findings")), docs.columns)
 
 
 def detector(f: Column) -> Column:
