@@ -92,9 +92,11 @@ def pack(values: np.ndarray, width: int) -> np.ndarray:
     if width and len(values):
         at = np.arange(len(values), dtype=np.int64) * width
         word, shift = at >> 6, (at & 63).astype(np.uint64)
-        np.bitwise_or.at(words, word, values << shift)
+        # Values don't overlap, so the parts that meet in a word can be added up.
+        start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        words[word[start]] = np.add.reduceat(values << shift, start)
         over = (at & 63) + width > 64
-        np.bitwise_or.at(words, word[over] + 1, values[over] >> (U64(64) - shift[over]))
+        words[word[over] + 1] += values[over] >> (U64(64) - shift[over])
     return words
 
 

@@ -36,11 +36,11 @@ from geoloom.llm.elias_fano import EliasFano
 from geoloom.llm.runs import key_runs
 
 END = b"\n"
-MAX_WORDS = 600_000
+MAX_WORDS = 250_000
 VOCABULARY_BITS = 4
-CONTEXT_BITS = 18
-FLUSH = 400_000
-PAIRS = 2_000_000
+CONTEXT_BITS = 16
+FLUSH = 200_000
+PAIRS = 1_000_000
 #: Log probabilities are coded in steps of FLOOR / 65535 below 0.
 FLOOR = -16.0
 U64 = np.uint64
@@ -183,8 +183,8 @@ def pair_counts(docs: DataFrame, text: str, root: str, shards: list[tuple]) -> D
             return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], names=["pair", "n"])
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                texts = [tokens(x) for x in batch.column(0).slice(low, 512).to_pylist()]
+            for low in range(0, batch.num_rows, 128):
+                texts = [tokens(x) for x in batch.column(0).slice(low, 128).to_pylist()]
                 ids = own.ids(texts)
                 held.append(contexts(ids, np.array([len(t) for t in texts]), end) << 32 | ids)
                 size += len(ids)
@@ -327,8 +327,8 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", keep: tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer(model)
         for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                part = batch.slice(low, 2048)
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
                 n, known, base, score = own.score(part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)], names=schema.names)
 
