@@ -16,12 +16,13 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"order_line": order_lines, "customer_ring": customer_rings}
-LINE, RING = F.col("line"), F.col("ring")
+LINE = lambda: F.col("line")
+RING = lambda: F.col("ring")
 
 
-def shape(name: str, layer: str, columns: dict[str, Column], sql: dict[str, str], digits: int = 3) -> None:
+def shape(name: str, layer: str, columns: Callable[[], dict[str, Column]], sql: dict[str, str], digits: int = 3) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = SOURCES[layer](spark, sf_dir).select("id", *[c.alias(n) for n, c in columns.items()])
+        out = SOURCES[layer](spark, sf_dir).select("id", *[c.alias(n) for n, c in columns().items()])
         return out.select("id", *[F.round(n, digits).alias(n) if t == "double" else F.col(n) for n, t in out.dtypes[1:]])
 
     QUERIES[name] = run
@@ -46,85 +47,86 @@ def sum_of(line: str, e: str) -> str:
     return f"list_sum(list_transform(range(1, len({line}) + 1), lambda i: i * ({e.replace('$c', f'{line}[i]')})))"
 
 
-shape("length", "order_line", {"m": L.length(LINE)}, {"m": r(S.line_length("line"))})
-shape("rhumb_length", "order_line", {"m": L.rhumb_length(LINE)}, {"m": r(S.segs("line", S.rhumb_distance("$a.x", "$a.y", "$b.x", "$b.y")))})
-shape("circumference", "customer_ring", {"m": L.length(RING)}, {"m": r(S.line_length("ring"))})
-shape("ring_area", "customer_ring", {"a": L.ring_area(RING) / 1e6},
+shape("length", "order_line", lambda: {"m": L.length(LINE())}, {"m": r(S.line_length("line"))})
+shape("rhumb_length", "order_line", lambda: {"m": L.rhumb_length(LINE())}, {"m": r(S.segs("line", S.rhumb_distance("$a.x", "$a.y", "$b.x", "$b.y")))})
+shape("circumference", "customer_ring", lambda: {"m": L.length(RING())}, {"m": r(S.line_length("ring"))})
+shape("ring_area", "customer_ring", lambda: {"a": L.ring_area(RING()) / 1e6},
       {"a": r("abs(" + S.segs("ring", "radians($b.x - $a.x) * (sin(radians($a.y)) + sin(radians($b.y)))") + ") * 6378137.0 * 6378137.0 / 2 / 1e6", 2)}, 2)
-shape("planar_area", "customer_ring", {"a": L.planar_area(RING), "clockwise": L.is_clockwise(RING)}, {"a": r(S.shoelace("ring"), 6), "clockwise": f"{S.shoelace('ring')} < 0"}, 6)
-_hole = F.transform(RING, lambda c: L.xy(F.col("lon") + (c["x"] - F.col("lon")) / 2, F.col("lat") + (c["y"] - F.col("lat")) / 2))
+shape("planar_area", "customer_ring", lambda: {"a": L.planar_area(RING()), "clockwise": L.is_clockwise(RING())}, {"a": r(S.shoelace("ring"), 6), "clockwise": f"{S.shoelace('ring')} < 0"}, 6)
+_hole = lambda: F.transform(RING(), lambda c: L.xy(F.col("lon") + (c["x"] - F.col("lon")) / 2, F.col("lat") + (c["y"] - F.col("lat")) / 2))
 _areas = "abs(" + S.segs("ring", "radians($b.x - $a.x) * (sin(radians($a.y)) + sin(radians($b.y)))") + ")"
 _inner = "abs(" + S.segs("ring", "radians(($b.x - $a.x) / 2) * (sin(radians(lat + ($a.y - lat) / 2)) + sin(radians(lat + ($b.y - lat) / 2)))") + ")"
-shape("polygon_area", "customer_ring", {"a": L.polygon_area(F.array(RING, _hole)) / 1e6}, {"a": r(f"({_areas} - {_inner}) * 6378137.0 * 6378137.0 / 2 / 1e6", 2)}, 2)
-_c = L.centroid(RING)
-shape("centroid", "customer_ring", {"x": _c["x"], "y": _c["y"]}, {"x": r("list_avg(list_transform(range(1, 9), lambda i: ring[i].x))", 6), "y": r("list_avg(list_transform(range(1, 9), lambda i: ring[i].y))", 6)}, 6)
-_m = L.centre_of_mass(RING)
-shape("center_of_mass", "customer_ring", {"x": _m["x"], "y": _m["y"]},
+shape("polygon_area", "customer_ring", lambda: {"a": L.polygon_area(F.array(RING(), _hole())) / 1e6}, {"a": r(f"({_areas} - {_inner}) * 6378137.0 * 6378137.0 / 2 / 1e6", 2)}, 2)
+_c = lambda: L.centroid(RING())
+shape("centroid", "customer_ring", lambda: {"x": _c()["x"], "y": _c()["y"]}, {"x": r("list_avg(list_transform(range(1, 9), lambda i: ring[i].x))", 6), "y": r("list_avg(list_transform(range(1, 9), lambda i: ring[i].y))", 6)}, 6)
+_m = lambda: L.centre_of_mass(RING())
+shape("center_of_mass", "customer_ring", lambda: {"x": _m()["x"], "y": _m()["y"]},
       {"x": r("(" + S.segs("ring", "($a.x + $b.x) * ($a.x * $b.y - $b.x * $a.y)") + f") / (6 * {S.shoelace('ring')})", 5), "y": r("(" + S.segs("ring", "($a.y + $b.y) * ($a.x * $b.y - $b.x * $a.y)") + f") / (6 * {S.shoelace('ring')})", 5)}, 5)
-_b = L.bounds(LINE)
-shape("bounding_box", "order_line", {k: _b[k] for k in ("xmin", "ymin", "xmax", "ymax")},
+_b = lambda: L.bounds(LINE())
+shape("bounding_box", "order_line", lambda: {k: _b()[k] for k in ("xmin", "ymin", "xmax", "ymax")},
       {"xmin": r(f"list_min({coords('line', 'x')})", 6), "ymin": r(f"list_min({coords('line', 'y')})", 6), "xmax": r(f"list_max({coords('line', 'x')})", 6), "ymax": r(f"list_max({coords('line', 'y')})", 6)}, 6)
-shape("line_segments", "order_line", {"n": F.size(L.segments(LINE)), "first": L.segments(LINE)[0]["b"]["x"]}, {"n": "CAST(len(line) - 1 AS INTEGER)", "first": r("line[2].x", 6)}, 6)
-_px, _py = F.col("lon") + 0.731, F.col("lat") + 0.412
-shape("point_in_ring", "customer_ring", {"inside": L.ring_contains(RING, _px, _py), "far": L.ring_contains(RING, F.col("lon") + 2.2, F.col("lat") + 0.05)},
+shape("line_segments", "order_line", lambda: {"n": F.size(L.segments(LINE())), "first": L.segments(LINE())[0]["b"]["x"]}, {"n": "CAST(len(line) - 1 AS INTEGER)", "first": r("line[2].x", 6)}, 6)
+_px = lambda: F.col("lon") + 0.731
+_py = lambda: F.col("lat") + 0.412
+shape("point_in_ring", "customer_ring", lambda: {"inside": L.ring_contains(RING(), _px(), _py()), "far": L.ring_contains(RING(), F.col("lon") + 2.2, F.col("lat") + 0.05)},
       {"inside": S.inside("ring", "(lon + 0.731)", "(lat + 0.412)"), "far": S.inside("ring", "(lon + 2.2)", "(lat + 0.05)")})
-shape("point_in_polygon", "customer_ring", {"inside": L.polygon_contains(F.array(RING, _hole), _px, _py)},
+shape("point_in_polygon", "customer_ring", lambda: {"inside": L.polygon_contains(F.array(RING(), _hole()), _px(), _py())},
       {"inside": f"{S.inside('ring', '(lon + 0.731)', '(lat + 0.412)')} AND NOT {S.inside('ring', '(lon + 1.462)', '(lat + 0.824)')}"})
-shape("point_on_line", "customer_ring", {"on_edge": L.on_line(RING, (RING[0]["x"] + RING[1]["x"]) / 2, (RING[0]["y"] + RING[1]["y"]) / 2), "off": L.on_line(RING, F.col("lon"), F.col("lat")), "boundary_ignored": L.ring_contains(RING, RING[2]["x"], RING[2]["y"], True)},
+shape("point_on_line", "customer_ring", lambda: {"on_edge": L.on_line(RING(), (RING()[0]["x"] + RING()[1]["x"]) / 2, (RING()[0]["y"] + RING()[1]["y"]) / 2), "off": L.on_line(RING(), F.col("lon"), F.col("lat")), "boundary_ignored": L.ring_contains(RING(), RING()[2]["x"], RING()[2]["y"], True)},
       {"on_edge": "true", "off": "false", "boundary_ignored": "false"})
 _t = "greatest(0.0, least(1.0, ((3.21 - $a.x) * ($b.x - $a.x) + (4.56 - $a.y) * ($b.y - $a.y)) / (pow($b.x - $a.x, 2) + pow($b.y - $a.y, 2))))"
 _near = S.distance("3.21", "4.56", f"($a.x + {_t} * ($b.x - $a.x))", f"($a.y + {_t} * ($b.y - $a.y))")
-shape("point_to_line_distance", "order_line", {"m": L.point_to_line_distance(LINE, F.lit(3.21), F.lit(4.56)), "segment": L.nearest_on_line(LINE, F.lit(3.21), F.lit(4.56))["index"]},
+shape("point_to_line_distance", "order_line", lambda: {"m": L.point_to_line_distance(LINE(), F.lit(3.21), F.lit(4.56)), "segment": L.nearest_on_line(LINE(), F.lit(3.21), F.lit(4.56))["index"]},
       {"m": r(S.segs("line", _near).replace("list_sum", "list_min", 1)), "segment": "CAST(list_position(" + S.segs("line", _near).replace("list_sum(", "", 1)[:-1] + ", " + S.segs("line", _near).replace("list_sum", "list_min", 1) + ") - 1 AS INTEGER)"})
-_f = L.foot(L.segments(RING)[0], F.col("lon"), F.col("lat"))
+_f = lambda: L.foot(L.segments(RING())[0], F.col("lon"), F.col("lat"))
 _ft = "greatest(0.0, least(1.0, ((lon - ring[1].x) * (ring[2].x - ring[1].x) + (lat - ring[1].y) * (ring[2].y - ring[1].y)) / (pow(ring[2].x - ring[1].x, 2) + pow(ring[2].y - ring[1].y, 2))))"
-shape("perpendicular_foot", "customer_ring", {"x": _f["x"], "y": _f["y"]}, {"x": r(f"ring[1].x + {_ft} * (ring[2].x - ring[1].x)", 6), "y": r(f"ring[1].y + {_ft} * (ring[2].y - ring[1].y)", 6)}, 6)
-_v = L.nearest_vertex(LINE, F.lit(3.21), F.lit(4.56))
-shape("nearest_point", "order_line", {"m": _v["distance"]}, {"m": r(f"list_min(list_transform(line, lambda c: {S.distance('3.21', '4.56', 'c.x', 'c.y')}))")})
-shape("along_whole_line", "order_line", {"x": L.along(LINE, L.length(LINE) + 5)["x"], "x0": L.along(LINE, F.lit(0.0))["x"]}, {"x": r("line[len(line)].x", 6), "x0": r("line[1].x", 6)}, 6)
-_h = L.length(F.slice(LINE, 1, 2)) / 3
+shape("perpendicular_foot", "customer_ring", lambda: {"x": _f()["x"], "y": _f()["y"]}, {"x": r(f"ring[1].x + {_ft} * (ring[2].x - ring[1].x)", 6), "y": r(f"ring[1].y + {_ft} * (ring[2].y - ring[1].y)", 6)}, 6)
+_v = lambda: L.nearest_vertex(LINE(), F.lit(3.21), F.lit(4.56))
+shape("nearest_point", "order_line", lambda: {"m": _v()["distance"]}, {"m": r(f"list_min(list_transform(line, lambda c: {S.distance('3.21', '4.56', 'c.x', 'c.y')}))")})
+shape("along_whole_line", "order_line", lambda: {"x": L.along(LINE(), L.length(LINE()) + 5)["x"], "x0": L.along(LINE(), F.lit(0.0))["x"]}, {"x": r("line[len(line)].x", 6), "x0": r("line[1].x", 6)}, 6)
+_h = lambda: L.length(F.slice(LINE(), 1, 2)) / 3
 _hd = f"({S.distance('line[1].x', 'line[1].y', 'line[2].x', 'line[2].y')} / 3)"
 _hb = S.bearing("line[1].x", "line[1].y", "line[2].x", "line[2].y")
-shape("along", "order_line", {"x": L.along(LINE, _h)["x"], "y": L.along(LINE, _h)["y"]}, {"x": r(S.dest_lon("line[1].x", "line[1].y", _hd, _hb), 5), "y": r(S.dest_lat("line[1].y", _hd, _hb), 5)}, 5)
+shape("along", "order_line", lambda: {"x": L.along(LINE(), _h())["x"], "y": L.along(LINE(), _h())["y"]}, {"x": r(S.dest_lon("line[1].x", "line[1].y", _hd, _hb), 5), "y": r(S.dest_lat("line[1].y", _hd, _hb), 5)}, 5)
 _h1 = f"list_max(list_transform(line, lambda c: list_min(list_transform(line[1:3], lambda d: {S.distance('c.x', 'c.y', 'd.x', 'd.y')}))))"
-shape("hausdorff", "order_line", {"m": L.hausdorff(LINE, F.slice(LINE, 1, 3))}, {"m": r(_h1)})
-_box = L.box_ring(F.lit(-5.123), F.lit(-4.321), F.lit(6.234), F.lit(5.432))
-shape("line_crossings", "order_line", {"n": F.size(L.intersections(LINE, F.array(L.xy(F.lit(-50.0), F.lit(1.2345)), L.xy(F.lit(50.0), F.lit(1.2345)))))},
+shape("hausdorff", "order_line", lambda: {"m": L.hausdorff(LINE(), F.slice(LINE(), 1, 3))}, {"m": r(_h1)})
+_box = lambda: L.box_ring(F.lit(-5.123), F.lit(-4.321), F.lit(6.234), F.lit(5.432))
+shape("line_crossings", "order_line", lambda: {"n": F.size(L.intersections(LINE(), F.array(L.xy(F.lit(-50.0), F.lit(1.2345)), L.xy(F.lit(50.0), F.lit(1.2345)))))},
       {"n": "CAST(len(list_filter(range(1, len(line)), lambda i: (line[i].y > 1.2345) <> (line[i + 1].y > 1.2345))) AS INTEGER)"})
-shape("is_concave", "customer_ring", {"concave": L.is_concave(RING)},
+shape("is_concave", "customer_ring", lambda: {"concave": L.is_concave(RING())},
       {"concave": "(SELECT bool_or(t > 0) AND bool_or(t < 0) FROM (SELECT unnest(list_transform(range(1, 9), lambda i: (ring[i + 1].x - ring[i].x) * (ring[i % 8 + 2].y - ring[i + 1].y) - (ring[i + 1].y - ring[i].y) * (ring[i % 8 + 2].x - ring[i + 1].x))) AS t))"})
-_moved = F.transform(LINE, lambda c: L.xy(c["x"] + 1.0, c["y"]))
-shape("is_parallel", "order_line", {"same": L.is_parallel(LINE, _moved), "back": L.is_parallel(LINE, F.transform(LINE, lambda c: L.xy(-c["x"], c["y"]))), "short": L.is_parallel(LINE, F.slice(LINE, 1, 1))},
+_moved = lambda: F.transform(LINE(), lambda c: L.xy(c["x"] + 1.0, c["y"]))
+shape("is_parallel", "order_line", lambda: {"same": L.is_parallel(LINE(), _moved()), "back": L.is_parallel(LINE(), F.transform(LINE(), lambda c: L.xy(-c["x"], c["y"]))), "short": L.is_parallel(LINE(), F.slice(LINE(), 1, 1))},
       {"same": "true", "back": "false", "short": "false"})
-shape("flipped", "order_line", {"s": checksum(L.flipped(LINE))}, {"s": r(sum_of("line", "$c.y * 0.37 + $c.x"))})
-shape("reversed", "order_line", {"s": checksum(F.reverse(LINE))}, {"s": r("list_sum(list_transform(range(1, len(line) + 1), lambda i: i * (line[len(line) + 1 - i].x * 0.37 + line[len(line) + 1 - i].y)))")})
-shape("truncated", "order_line", {"s": checksum(L.truncated(LINE, 1))}, {"s": r(sum_of("line", "round($c.x, 1) * 0.37 + round($c.y, 1)"))})
-shape("snapped_to_grid", "order_line", {"s": checksum(L.snapped(LINE, 0.25))}, {"s": r(sum_of("line", "round($c.x / 0.25) * 0.25 * 0.37 + round($c.y / 0.25) * 0.25"), 4)}, 4)
-shape("cleaned", "order_line", {"n": F.size(L.without_repeats(L.snapped(LINE, 30.0)))},
+shape("flipped", "order_line", lambda: {"s": checksum(L.flipped(LINE()))}, {"s": r(sum_of("line", "$c.y * 0.37 + $c.x"))})
+shape("reversed", "order_line", lambda: {"s": checksum(F.reverse(LINE()))}, {"s": r("list_sum(list_transform(range(1, len(line) + 1), lambda i: i * (line[len(line) + 1 - i].x * 0.37 + line[len(line) + 1 - i].y)))")})
+shape("truncated", "order_line", lambda: {"s": checksum(L.truncated(LINE(), 1))}, {"s": r(sum_of("line", "round($c.x, 1) * 0.37 + round($c.y, 1)"))})
+shape("snapped_to_grid", "order_line", lambda: {"s": checksum(L.snapped(LINE(), 0.25))}, {"s": r(sum_of("line", "round($c.x / 0.25) * 0.25 * 0.37 + round($c.y / 0.25) * 0.25"), 4)}, 4)
+shape("cleaned", "order_line", lambda: {"n": F.size(L.without_repeats(L.snapped(LINE(), 30.0)))},
       {"n": "CAST(1 + len(list_filter(range(2, len(line) + 1), lambda i: round(line[i].x / 30) <> round(line[i - 1].x / 30) OR round(line[i].y / 30) <> round(line[i - 1].y / 30))) AS INTEGER)"})
-shape("rewind", "customer_ring", {"s": checksum(L.rewound(RING, True)), "same": checksum(L.rewound(RING))}, {"s": r("list_sum(list_transform(range(1, 10), lambda i: i * (ring[10 - i].x * 0.37 + ring[10 - i].y)))"), "same": r(sum_of("ring", "$c.x * 0.37 + $c.y"))})
-shape("translated", "customer_ring", {"y": L.translated(RING, 100_000, 0)[3]["y"], "x": L.translated(RING, -50_000, 90)[2]["x"]},
+shape("rewind", "customer_ring", lambda: {"s": checksum(L.rewound(RING(), True)), "same": checksum(L.rewound(RING()))}, {"s": r("list_sum(list_transform(range(1, 10), lambda i: i * (ring[10 - i].x * 0.37 + ring[10 - i].y)))"), "same": r(sum_of("ring", "$c.x * 0.37 + $c.y"))})
+shape("translated", "customer_ring", lambda: {"y": L.translated(RING(), 100_000, 0)[3]["y"], "x": L.translated(RING(), -50_000, 90)[2]["x"]},
       {"y": r(f"ring[4].y + degrees(100000.0 / {S.R})", 6), "x": r(f"ring[3].x + degrees(50000.0 / {S.R} / cos(radians(ring[3].y)))", 6)}, 6)
-_rot = L.rotated(RING, 360.0, F.col("lon"), F.col("lat"))
-shape("rotated", "customer_ring", {"whole": checksum(_rot), "far": G.rhumb_distance(F.col("lon"), F.col("lat"), L.rotated(RING, 33.0, F.col("lon"), F.col("lat"))[1]["x"], L.rotated(RING, 33.0, F.col("lon"), F.col("lat"))[1]["y"])},
+_rot = lambda: L.rotated(RING(), 360.0, F.col("lon"), F.col("lat"))
+shape("rotated", "customer_ring", lambda: {"whole": checksum(_rot()), "far": G.rhumb_distance(F.col("lon"), F.col("lat"), L.rotated(RING(), 33.0, F.col("lon"), F.col("lat"))[1]["x"], L.rotated(RING(), 33.0, F.col("lon"), F.col("lat"))[1]["y"])},
       {"whole": r(sum_of("ring", "$c.x * 0.37 + $c.y"), 2), "far": r(S.rhumb_distance("lon", "lat", "ring[2].x", "ring[2].y"), 2)}, 2)
-shape("scaled", "customer_ring", {"far": G.rhumb_distance(F.col("lon"), F.col("lat"), L.scaled(RING, 1.7, F.col("lon"), F.col("lat"))[5]["x"], L.scaled(RING, 1.7, F.col("lon"), F.col("lat"))[5]["y"])},
+shape("scaled", "customer_ring", lambda: {"far": G.rhumb_distance(F.col("lon"), F.col("lat"), L.scaled(RING(), 1.7, F.col("lon"), F.col("lat"))[5]["x"], L.scaled(RING(), 1.7, F.col("lon"), F.col("lat"))[5]["y"])},
       {"far": r(f"1.7 * {S.rhumb_distance('lon', 'lat', 'ring[6].x', 'ring[6].y')}", 2)}, 2)
-shape("transformed_coordinates", "order_line", {"s": checksum(F.transform(LINE, lambda c: L.xy(c["x"] * 0.5 + 1, c["y"] - 2)))}, {"s": r(sum_of("line", "($c.x * 0.5 + 1) * 0.37 + $c.y - 2"))})
-shape("densified", "order_line", {"n": F.size(L.densified(LINE, 200_000))}, {"n": "CAST(1 + " + S.segs("line", "greatest(1, ceil(sqrt(pow($b.x - $a.x, 2) + pow($b.y - $a.y, 2)) / (200000 / 111325.0)))") + " AS INTEGER)"})
-shape("smooth", "customer_ring", {"n": F.size(L.smooth(RING)), "x": L.smooth(RING)[0]["x"], "y": L.smooth(RING)[3]["y"]}, {"n": "17", "x": r("ring[1].x * 0.75 + ring[2].x * 0.25", 6), "y": r("ring[2].y * 0.25 + ring[3].y * 0.75", 6)}, 6)
-_circle = L.circle(F.col("lon"), F.col("lat"), F.lit(40_000.0), 32)
-shape("circle", "customer_ring", {"n": F.size(_circle), "r": G.distance(F.col("lon"), F.col("lat"), _circle[7]["x"], _circle[7]["y"]), "y": _circle[8]["y"]}, {"n": "33", "r": "40000.0", "y": r(S.dest_lat("lat", "40000.0", "-90.0"), 3)})
-_ell = L.ellipse(F.col("lon"), F.col("lat"), F.lit(30_000.0), F.lit(10_000.0), 64)
-shape("ellipse", "customer_ring", {"n": F.size(_ell), "east": G.rhumb_distance(F.col("lon"), F.col("lat"), _ell[0]["x"], _ell[0]["y"]), "south": _ell[16]["y"]}, {"n": "65", "east": "30000.0", "south": r(f"lat - degrees(10000.0 / {S.R})")})
-_sec = L.sector(F.col("lon"), F.col("lat"), F.lit(25_000.0), 20.0, 80.0, 12)
-shape("sector", "customer_ring", {"n": F.size(_sec), "y": _sec[1]["y"], "closed": _sec[0]["x"] == _sec[14]["x"]}, {"n": "15", "y": r(S.dest_lat("lat", "25000.0", "20.0"), 6), "closed": "true"}, 6)
-_arc = L.arc(F.col("lon"), F.col("lat"), F.lit(25_000.0), 300.0, 60.0, 10)
-shape("line_arc", "customer_ring", {"n": F.size(_arc), "y": _arc[10]["y"], "whole": F.size(L.arc(F.col("lon"), F.col("lat"), F.lit(25_000.0), 5.0, 5.0, 10))}, {"n": "11", "y": r(S.dest_lat("lat", "25000.0", "60.0"), 6), "whole": "11"}, 6)
-_gc = L.great_circle(RING[0]["x"], RING[0]["y"], F.lit(10.5), F.lit(48.2), 9)
+shape("transformed_coordinates", "order_line", lambda: {"s": checksum(F.transform(LINE(), lambda c: L.xy(c["x"] * 0.5 + 1, c["y"] - 2)))}, {"s": r(sum_of("line", "($c.x * 0.5 + 1) * 0.37 + $c.y - 2"))})
+shape("densified", "order_line", lambda: {"n": F.size(L.densified(LINE(), 200_000))}, {"n": "CAST(1 + " + S.segs("line", "greatest(1, ceil(sqrt(pow($b.x - $a.x, 2) + pow($b.y - $a.y, 2)) / (200000 / 111325.0)))") + " AS INTEGER)"})
+shape("smooth", "customer_ring", lambda: {"n": F.size(L.smooth(RING())), "x": L.smooth(RING())[0]["x"], "y": L.smooth(RING())[3]["y"]}, {"n": "17", "x": r("ring[1].x * 0.75 + ring[2].x * 0.25", 6), "y": r("ring[2].y * 0.25 + ring[3].y * 0.75", 6)}, 6)
+_circle = lambda: L.circle(F.col("lon"), F.col("lat"), F.lit(40_000.0), 32)
+shape("circle", "customer_ring", lambda: {"n": F.size(_circle()), "r": G.distance(F.col("lon"), F.col("lat"), _circle()[7]["x"], _circle()[7]["y"]), "y": _circle()[8]["y"]}, {"n": "33", "r": "40000.0", "y": r(S.dest_lat("lat", "40000.0", "-90.0"), 3)})
+_ell = lambda: L.ellipse(F.col("lon"), F.col("lat"), F.lit(30_000.0), F.lit(10_000.0), 64)
+shape("ellipse", "customer_ring", lambda: {"n": F.size(_ell()), "east": G.rhumb_distance(F.col("lon"), F.col("lat"), _ell()[0]["x"], _ell()[0]["y"]), "south": _ell()[16]["y"]}, {"n": "65", "east": "30000.0", "south": r(f"lat - degrees(10000.0 / {S.R})")})
+_sec = lambda: L.sector(F.col("lon"), F.col("lat"), F.lit(25_000.0), 20.0, 80.0, 12)
+shape("sector", "customer_ring", lambda: {"n": F.size(_sec()), "y": _sec()[1]["y"], "closed": _sec()[0]["x"] == _sec()[14]["x"]}, {"n": "15", "y": r(S.dest_lat("lat", "25000.0", "20.0"), 6), "closed": "true"}, 6)
+_arc = lambda: L.arc(F.col("lon"), F.col("lat"), F.lit(25_000.0), 300.0, 60.0, 10)
+shape("line_arc", "customer_ring", lambda: {"n": F.size(_arc()), "y": _arc()[10]["y"], "whole": F.size(L.arc(F.col("lon"), F.col("lat"), F.lit(25_000.0), 5.0, 5.0, 10))}, {"n": "11", "y": r(S.dest_lat("lat", "25000.0", "60.0"), 6), "whole": "11"}, 6)
+_gc = lambda: L.great_circle(RING()[0]["x"], RING()[0]["y"], F.lit(10.5), F.lit(48.2), 9)
 _gh = f"({S.distance('ring[1].x', 'ring[1].y', '10.5', '48.2')} / 2)"
-shape("great_circle", "customer_ring", {"n": F.size(_gc), "y": _gc[4]["y"], "end": _gc[8]["x"]}, {"n": "9", "y": r(S.dest_lat("ring[1].y", _gh, S.bearing("ring[1].x", "ring[1].y", "10.5", "48.2")), 5), "end": "10.5"}, 5)
-shape("crosses_antimeridian", "customer_ring", {"no": L.crosses_antimeridian(RING), "yes": L.crosses_antimeridian(F.array(L.xy(F.lit(179.0), F.col("lat")), L.xy(F.lit(-179.0), F.col("lat"))))}, {"no": "false", "yes": "true"})
-shape("is_valid", "customer_ring", {"ok": L.is_valid_ring(RING), "open": L.is_valid_ring(F.slice(RING, 1, 5))}, {"ok": "true", "open": "false"})
-shape("bounding_box_polygon", "customer_ring", {"a": L.planar_area(L.box_ring(L.bounds(RING)["xmin"], L.bounds(RING)["ymin"], L.bounds(RING)["xmax"], L.bounds(RING)["ymax"]))},
+shape("great_circle", "customer_ring", lambda: {"n": F.size(_gc()), "y": _gc()[4]["y"], "end": _gc()[8]["x"]}, {"n": "9", "y": r(S.dest_lat("ring[1].y", _gh, S.bearing("ring[1].x", "ring[1].y", "10.5", "48.2")), 5), "end": "10.5"}, 5)
+shape("crosses_antimeridian", "customer_ring", lambda: {"no": L.crosses_antimeridian(RING()), "yes": L.crosses_antimeridian(F.array(L.xy(F.lit(179.0), F.col("lat")), L.xy(F.lit(-179.0), F.col("lat"))))}, {"no": "false", "yes": "true"})
+shape("is_valid", "customer_ring", lambda: {"ok": L.is_valid_ring(RING()), "open": L.is_valid_ring(F.slice(RING(), 1, 5))}, {"ok": "true", "open": "false"})
+shape("bounding_box_polygon", "customer_ring", lambda: {"a": L.planar_area(L.box_ring(L.bounds(RING())["xmin"], L.bounds(RING())["ymin"], L.bounds(RING())["xmax"], L.bounds(RING())["ymax"]))},
       {"a": r(f"(list_max({coords('ring', 'x')}) - list_min({coords('ring', 'x')})) * (list_max({coords('ring', 'y')}) - list_min({coords('ring', 'y')}))", 6)}, 6)
