@@ -41,6 +41,8 @@ VOCABULARY_BITS = 4
 CONTEXT_BITS = 16
 FLUSH = 200_000
 PAIRS = 1_000_000
+#: Texts scored together; what they share is looked up once.
+SCORED = 1024
 #: Log probabilities are coded in steps of FLOOR / 65535 below 0.
 FLOOR = -16.0
 U64 = np.uint64
@@ -327,8 +329,8 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", keep: tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer(model)
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, SCORED):
+                part = batch.slice(low, SCORED)
                 n, known, base, score = own.score(part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)], names=schema.names)
 
