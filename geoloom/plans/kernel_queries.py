@@ -96,8 +96,8 @@ kernel("convex_hull", "customer_ring", lambda: {"a": K.area(K.convex_hull(GEO())
 kernel("convex_hull_box", "nation_box", lambda: {"a": K.area(K.convex_hull(GEO()))}, {"a": r(OWN)})
 kernel("oriented_envelope", "nation_box", lambda: {"a": K.area(K.oriented_envelope(GEO()))}, {"a": r(OWN)})
 kernel("minimum_bounding_circle", "nation_box", lambda: {"radius": K.bounding_radius(GEO()), "ring": F.coalesce(n_of(K.bounding_circle()(GEO())), F.lit(0))}, {"radius": r("sqrt(pow(xmax - xmin, 2) + pow(ymax - ymin, 2)) / 2"), "ring": "1"})
-kernel("maximum_inscribed_circle", "nation_box", lambda: {"radius": K.inscribed_radius(GEO()), "ring": n_of(K.inscribed_circle()(GEO()))}, {"radius": r("least(xmax - xmin, ymax - ymin) / 2", 2), "ring": "1"}, 2)
-kernel("pole_of_inaccessibility", "nation_box", lambda: {"y": F.get_json_object(K.pole_of_inaccessibility(GEO()), "$.coordinates[1]").cast("double")}, {"y": r("(ymin + ymax) / 2", 2)}, 2)
+kernel("maximum_inscribed_circle", "nation_box", lambda: {"radius": K.inscribed_radius(GEO()), "ring": n_of(K.inscribed_circle()(GEO()))}, {"radius": r("least(xmax - xmin, ymax - ymin) / 2", 0), "ring": "1"}, 0)
+kernel("pole_of_inaccessibility", "nation_box", lambda: {"y": F.get_json_object(K.pole_of_inaccessibility(GEO()), "$.coordinates[1]").cast("double")}, {"y": r("(ymin + ymax) / 2", 0)}, 0)
 kernel("point_on_feature", "nation_box", lambda: {"x": F.get_json_object(K.point_on_feature(GEO()), "$.coordinates[0]").cast("double")}, {"x": r("(xmin + xmax) / 2")})
 kernel("tessellated", "customer_ring", lambda: {"n": n_of(K.tessellated(GEO())), "a": K.area(K.tessellated(GEO()))}, {"n": "6", "a": r(f"abs({S.shoelace('ring')})")})
 _corners = lambda: F.format_string('{"type":"MultiPoint","coordinates":[[%s,%s,1],[%s,%s,2],[%s,%s,3],[%s,%s,4],[%s,%s,5]]}', *[F.col(c) for c in ("xmin", "ymin", "xmax", "ymin", "xmax", "ymax", "xmin", "ymax")], (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2)
@@ -112,7 +112,7 @@ kernel("buffered_point", "customer_inner", lambda: {"a": K.area(K.buffered(10_00
 _flat = lambda: J.line_json(F.array(L.xy(F.col("lon"), F.lit(0.0)), L.xy(F.col("lon") + 1, F.lit(0.0))))
 kernel("buffered_line", "customer_inner", lambda: {"butt": K.area(K.buffered(1000, end="butt")(_flat())) * 111.325**2, "square": K.area(K.buffered(1000, end="square")(_flat())) * 111.325**2}, {"butt": "round(2 * 111.325, 3)", "square": "round(2 * 113.325, 3)"}, 3)
 _low = lambda: box_json(F.col("lon"), -0.5, F.col("lon") + 1, 0.7)
-kernel("buffered_inset", "customer_inner", lambda: {"smaller": K.area(K.buffered(-5000)(_low())) < 1.2 * (1 - 10 / 111.325) ** 1.9, "gone": K.buffered(-90_000)(_low()).isNull(), "round_grows": K.area(K.buffered(5000)(_low())) > 1.2, "bevel": K.area(K.buffered(5000, join="bevel")(_low())) < K.area(K.buffered(5000, 64)(_low()))}, {"smaller": "true", "gone": "true", "round_grows": "true", "bevel": "true"})
+kernel("buffered_inset", "customer_inner", lambda: {"smaller": K.area(K.buffered(-5000)(_low())), "gone": K.buffered(-90_000)(_low()).isNull(), "round_grows": K.area(K.buffered(5000)(_low())) > 1.2, "bevel": K.area(K.buffered(5000, join="bevel")(_low())) < K.area(K.buffered(5000, 64)(_low()))}, {"smaller": "round((1 - 10 / 111.325) * (1.2 - 10 / 111.325), 3)", "gone": "true", "round_grows": "true", "bevel": "true"}, 3)
 kernel("bezier_spline", "order_line", lambda: {"n": n_of(K.bezier_spline(10)(GEO())), "x0": F.get_json_object(K.bezier_spline(10)(GEO()), "$.coordinates[10][0]").cast("double")}, {"n": "CAST(10 * (len(line) - 1) + 1 AS INTEGER)", "x0": r("line[2].x")})
 _grid = json.dumps({"type": "MultiPoint", "coordinates": [[x, y, x * 1.0] for x in range(6) for y in range(6)]})
 kernel("isolines", "nation_box", lambda: {"x": F.get_json_object(K.isolines([2.5])(F.lit(_grid)), "$.features[0].geometry.coordinates[0][0][0]").cast("double"), "b": F.get_json_object(K.isolines([2.5])(F.lit(_grid)), "$.features[0].properties.break").cast("double")}, {"x": "2.5", "b": "2.5"})
