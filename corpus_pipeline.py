@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm import bpe, mixing, ngram_join, quality, secrets
-from geoloom.llm.common import materialize, table
+from geoloom.llm.common import materialize, quoted, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return quality.judge(docs).where("_q_kept").select(*docs.columns)
+    return quality.judge(docs).where("_q_kept").select(*quoted(docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +32,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scanned = scanned.withColumn("_masked", secrets.masked(scanned))
     changed = ~F.col("_masked").eqNullSafe(F.col("text"))
     new = {"text": F.col("_masked"), "n_chars": F.when(changed, F.length("_masked").cast("long")).otherwise(F.col("n_chars"))}
-    return scanned.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return scanned.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target rate asks for."""
-    return mixing.emit_copies(mixing.mix_sources(docs)).select(*docs.columns)
+    return mixing.emit_copies(mixing.mix_sources(docs)).select(*quoted(docs.columns))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def fold_events(events: DataFrame) -> DataFrame:
         "conv_id",
         F.struct(
             F.expr("log[0].seq").alias("position"),
-            F.expr("coalesce(filter(log, e -> e.role is not null)[0].role, '')").alias("role"),
+            F.expr("coalesce(get(filter(log, e -> e.role is not null), 0).role, '')").alias("role"),
             F.expr("array_join(transform(slice(log, base + 1, size(log)), e -> coalesce(e.text, '')), '')").alias("text"),
         ).alias("message"),
     )

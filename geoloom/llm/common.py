@@ -38,6 +38,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by name, whatever characters the names hold."""
+    return [F.col(f"`{c}`") for c in names]
+
+
 def word_count(text: Column) -> Column:
     """Number of words as long; null counts as no words."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

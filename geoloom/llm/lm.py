@@ -271,7 +271,7 @@ def train(docs: DataFrame, root: str, text: str = "text") -> Model:
     spark = docs.sparkSession
     files.make_folder(root)
     write_vocabulary(word_counts(docs, text), root)
-    shards = [tuple(r) for r in spark.read.parquet(f"{root}/words").collect()]
+    shards = [tuple(r) for r in spark.read.schema("part long, file string, words long, tokens long").parquet(f"{root}/words").collect()]
     if not shards:
         return Model(root, [], [])
     counted = pair_counts(docs, text, root, shards)
@@ -280,7 +280,7 @@ def train(docs: DataFrame, root: str, text: str = "text") -> Model:
     once, twice = pairs.agg(F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))).first()
     discount = min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.5))
     write_trie(pairs, root, discount, shards)
-    return Model(root, shards, [tuple(r) for r in spark.read.parquet(f"{root}/pairs").collect()])
+    return Model(root, shards, [tuple(r) for r in spark.read.schema("part long, file string").parquet(f"{root}/pairs").collect()])
 
 
 class Scorer:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialize, table
+from geoloom.llm.common import materialize, quoted, table
 from geoloom.llm.graph import components
 from geoloom.llm.runs import key_runs
 
@@ -379,7 +379,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, reca
 def keep_first(docs: DataFrame, joined: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs that name their class, one for each."""
     keep = joined.where(F.col(key) == F.col("class_id")).select(key).distinct()
-    return docs.join(keep, key).dropDuplicates([key]).select(*docs.columns)
+    return docs.join(keep, key).dropDuplicates([key]).select(*quoted(docs.columns))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

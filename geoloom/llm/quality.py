@@ -45,11 +45,11 @@ class Threshold:
 
 #: measure: SQL over the _q_ columns below.
 RULES = (
-    Threshold("mean_word_length", "_q_word_chars / _q_words", 2.0, 12.0),
-    Threshold("symbol_ratio", "_q_symbols / _q_words", None, 0.2),
-    Threshold("shout_ratio", "_q_shouts / _q_words", None, 0.5),
-    Threshold("stop_word_ratio", "_q_stops / _q_words", 0.03, 0.7, 60),
-    Threshold("duplicate_line_ratio", "_q_dup_lines / _q_lines", None, 0.5),
+    Threshold("mean_word_length", "try_divide(_q_word_chars, _q_words)", 2.0, 12.0),
+    Threshold("symbol_ratio", "try_divide(_q_symbols, _q_words)", None, 0.2),
+    Threshold("shout_ratio", "try_divide(_q_shouts, _q_words)", None, 0.5),
+    Threshold("stop_word_ratio", "try_divide(_q_stops, _q_words)", 0.03, 0.7, 60),
+    Threshold("duplicate_line_ratio", "try_divide(_q_dup_lines, _q_lines)", None, 0.5),
     Threshold("longest_word", "_q_longest", None, 1000),
 )
 
