@@ -29,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from geoloom.llm.common import table
+from geoloom.llm.worker import held
 
-MAX_STATES = 400_000
-MAX_PIECES = 1_000_000
+MAX_STATES = 200_000
+MAX_PIECES = 600_000
 CHUNK = 8192
 
 
@@ -250,15 +251,9 @@ def stream_characters(tokens: Iterable[bytes], chunk: int = CHUNK) -> Iterator[b
         yield rest
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(ranks_path: str, pattern: str) -> Codec:
     """One codec for each worker process and vocabulary."""
-    key = (ranks_path, pattern)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(*key)
-    return _CODECS[key]
+    return held("bpe", (ranks_path, pattern), lambda: Codec(ranks_path, pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from geoloom.llm.common import materialize, quoted, table
 from geoloom.llm.graph import components
 from geoloom.llm.runs import key_runs
+from geoloom.llm.worker import held
 
 N = 5
 THRESHOLD = 0.8
@@ -54,7 +55,7 @@ BLOCK = 256
 BLOCK_SHINGLES = 300_000
 #: Sketches that agree this much less than the threshold would are left out; over four standard deviations.
 SKETCH_FLOOR = 0.6
-MAX_WORDS = 1_000_000
+MAX_WORDS = 500_000
 
 U64 = np.uint64
 _rng = np.random.default_rng(7)
@@ -101,13 +102,8 @@ class Shingler:
         return np.unique(mix(total + U64(n)))
 
 
-_SHINGLERS: dict[int, Shingler] = {}
-
-
 def shingler(n: int) -> Shingler:
-    if n not in _SHINGLERS:
-        _SHINGLERS[n] = Shingler(n)
-    return _SHINGLERS[n]
+    return held("shingles", n, lambda: Shingler(n))
 
 
 def fingerprint(shingles: np.ndarray) -> tuple[int, int]:

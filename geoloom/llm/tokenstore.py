@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from geoloom.llm import files
 from geoloom.llm.common import scratch, table
+from geoloom.llm.worker import held
 
 END_ID = 1
 KEYS_PER_INDEX = 500_000
@@ -74,13 +75,8 @@ class WordEncoder:
         return [b"".join(map(get, words)) + self.end for words in split]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return held("words", path, lambda: WordEncoder(path))
 
 
 def mix(h: np.ndarray, level: int) -> np.ndarray:
