@@ -30,6 +30,6 @@ def mapped(uri: str) -> np.ndarray:
     """The file's bytes: memory-mapped where the file system is mounted, read elsewhere."""
     system, path = at(uri)
     if system.type_name == "local":
-        return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+        return np.asarray(np.memmap(path, np.uint8, "r")) if os.path.getsize(path) else np.zeros(0, np.uint8)
     with system.open_input_file(path) as f:
         return np.frombuffer(f.read(), np.uint8)

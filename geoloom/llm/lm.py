@@ -24,6 +24,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -135,10 +136,10 @@ class Vocabulary:
         """Ids of all tokens in a row."""
         if len(self.known) > MAX_WORDS:
             self.known.clear()
-        new = list({w for t in texts for w in t if w not in self.known})
+        new = list(set().union(*texts).difference(self.known))
         self.known.update(zip(new, self.look_up(new).tolist()))
         get = self.known.__getitem__
-        return np.fromiter((i for t in texts for i in map(get, t)), np.int64, sum(map(len, texts)))
+        return np.fromiter(map(get, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
 
     def count_of(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), np.int64)

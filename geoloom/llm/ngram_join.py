@@ -84,9 +84,8 @@ class Shingler:
         words, known = self.words(text), self.known
         if len(known) > MAX_WORDS:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self.hash(w)
+        for w in set(words).difference(known):
+            known[w] = self.hash(w)
         return np.fromiter(map(known.__getitem__, words), U64, len(words))
 
     def shingles(self, text: str | None) -> np.ndarray:

@@ -67,8 +67,7 @@ class WordEncoder:
         split = [self.words(x or "") for x in texts]
         if len(self.known) > MAX_WORDS:
             self.known.clear()
-        new = {w for words in split for w in words if w not in self.known}
-        order = list(new)
+        order = list(set().union(*split).difference(self.known))
         for word, got in zip(order, self.model.encode_batch(order, add_special_tokens=False)):
             self.known[word] = np.array(got.ids, self.dtype).tobytes()
         get = self.known.__getitem__
