@@ -1,7 +1,9 @@
 """Secret scans (operator 9).
 
-Words with a digit or a known prefix and a long enough run of key characters are
-candidates.
+Every run of LEAST key characters or more in a word is a candidate, several in one
+word included, and so are dotted tokens (of three parts, or of two that begin as
+web tokens do) and, from SHORT characters, what follows a keyword that is assigned
+to, in the same word (JSON, XML, URLs) or in one of the two before.
 A random forest over their length, character classes and transitions, entropy,
 dictionary coverage, path and neighbouring words removes the false positives. It
 is trained by Spark's own learner on labelled findings and compiled into nested
@@ -11,9 +13,13 @@ The labelled findings are made here by rule (labelled_findings), FIT_ROWS of
 them, that number being the bound of the training sample; a table of real ones
 with the same columns can be given instead.
 
+A candidate's own word is cut to a window: the last name (or the address) before
+the value and the marks around it, so the fields of minified JSON are judged one
+by one and a long word costs no more than its length.
+
 Defined cases: null and empty texts have no findings; repeated rows have equal
-findings; a value that occurs twice is found twice, by word position; a null
-source is an empty path; texts are scanned whole; other columns pass through
+findings; a value that occurs twice is found twice, by word position; a value
+ends where a character that keys don't have stands; a null source is an empty path; texts are scanned whole; other columns pass through
 (added ones carry the prefix _s_).
 """
 
@@ -29,12 +35,26 @@ TREES = 15
 DEPTH = 6
 MASK = "[SECRET]"
 
-VALUE = r"([A-Za-z0-9+/_~$-]{12,}={0,2})[\"'`.,;:!?)\]}#*$%&|]*$"
+#: Fewest characters of a candidate, and of one that is assigned to a keyword.
+LEAST, SHORT = 12, 4
+#: Characters before a value in which its name is looked for.
+WINDOW = 200
 KEYWORDS = r"(?i)(pass(word|wd)?|pwd|token|secret|api[_-]?key|access[_-]?key|auth|credential|bearer)"
 PLACEHOLDERS = r"(?i)(example|sample|dummy|placeholder|changeme|your|xxxx|test|fake|redacted|todo)"
 PREFIX = r"(AKIA|ASIA|ghp_|gho_|github_pat_|xox[abprs]-|sk-|sk_live_|AIza|glpat-|npm_|hf_)"
 PREFIXES = "^" + PREFIX
-DIGIT_OR_PREFIX = "[0-9]|" + PREFIX
+#: Keys of known shape, also behind a separator within a longer run.
+KNOWN = rf"(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![A-Za-z0-9])|{PREFIX.replace('(', '(?:')}[A-Za-z0-9_-]{{16}})"
+#: Possessive throughout, so that a run of any length is matched without recursion.
+RUN = rf"(?:[A-Za-z0-9]|[+/_~$-](?!{KNOWN}))"
+PADDING = r"(?:={1,2}(?![\"']?[A-Za-z0-9+/_~$=<{\[-]))?"
+DOTTED = r"(?:eyJ[A-Za-z0-9_-]{5,}+(?:[.][A-Za-z0-9_-]{4,}+){1,4}|[A-Za-z0-9_-]{2,}+[.][A-Za-z0-9_-]{6,}+[.][A-Za-z0-9_-]{16,}+)"
+ASSIGNED = rf"(?i:{KEYWORDS.removeprefix('(?i)').replace('(', '(?:')})[\"']{{0,2}}[ ]?[:=>]{{1,2}}[\"'`(]?"
+LONG = rf"(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![A-Za-z0-9])|{DOTTED}|{RUN}{{{LEAST},}}+{PADDING})"
+#: What is a candidate in a word, and in a word that is assigned to a keyword before it.
+VALUE = rf"(?:{LONG}|(?<=[:=>\"'`(])(?<={ASSIGNED}){RUN}{{{SHORT},}}+{PADDING})"
+FIRST_VALUE = rf"(?:{VALUE}|(?<=^[\"'`(\[{{<]{{0,3}}){RUN}{{{SHORT},}}+{PADDING})"
+NAME = r"(?:(?:://|www[.])[^?&=#]*|[A-Za-z0-9_.-]*[^A-Za-z0-9_.-]*)$"
 NOT_KEYS = r"(?i)(commit|sha|hash|md5|digest|uuid|id|version|order|phone|card|build|checksum|revision)"
 PATHS = r"(?i)(test|example|doc|fixture|sample|mock)"
 
@@ -54,7 +74,7 @@ def features(c: Column) -> list[tuple[str, Column]]:
     chars = F.array_distinct(F.split(v, ""))
     p = F.transform(chars, lambda ch: (n - F.length(F.replace(v, ch, F.lit("")))) / n)
     entropy = F.aggregate(F.filter(p, lambda x: x > 0), F.lit(0.0), lambda t, x: t - x * F.log2(x))
-    head = F.replace(c["word"], v, F.lit(""))
+    head = F.left(c["word"], F.position(v, c["word"]) - 1)
     near = F.concat_ws(" ", c["before2"], c["before1"], head)
     flag = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
     return [
@@ -75,10 +95,12 @@ def features(c: Column) -> list[tuple[str, Column]]:
         ("separators", share("[^A-Za-z0-9]")),
         ("prefix", flag(v.rlike(PREFIXES))),
         ("keyword", flag(near.rlike(KEYWORDS))),
-        ("assigned", flag(F.concat_ws(" ", c["before1"], head).rlike("[=:]"))),
+        ("assigned", flag(F.concat_ws(" ", c["before1"], head).rlike("[=:>]"))),
         ("not_key", flag(near.rlike(r"(?i)\b" + NOT_KEYS + r"\b"))),
         ("placeholder", flag(F.concat_ws(" ", near, v, c["after1"]).rlike(PLACEHOLDERS))),
         ("address", flag(c["word"].rlike("@|://|www[.]"))),
+        ("login", flag(head.rlike("://[^/@:]*:$") & c["word"].rlike("@[^A-Za-z0-9]*$"))),
+        ("dots", F.regexp_count(v, F.lit("[.]")).cast("double")),
         ("path", flag(c["path"].rlike(PATHS))),
     ]
 
@@ -115,13 +137,40 @@ def labelled_findings(spark: SparkSession, n: int = FIT_ROWS) -> DataFrame:
         (0, F.concat(F.lit("com/"), word, F.lit("/"), F.substring(digits, F.lit(1), 2 + size % 9)), F.lit("https://www.site."), filler(6), filler(7)),
         (0, F.concat(F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 2), F.lit("-"), F.substring(digits, 7, 2), F.lit("T"), F.substring(digits, 9, 2)), F.lit(""), filler(6), filler(7)),
     ]
+    # of one word without blanks (JSON, XML, URLs), short, dotted, without digits
+    none, short, letters = F.lit(""), F.concat(F.substring(word, 1, 6), F.substring(digits, F.lit(1), 2 + size % 4)), F.translate(h(10), "0123456789", "ouinthersa")
+    inside = F.concat(keyword, pick(44, ('":"', ">", '":', "=", "':'")))
+    outside = F.concat(other, pick(44, ('":"', ">", '":', "=", "':'")))
+    name = F.concat_ws("_", pick(45, ("aws", "client", "user", "github", "my")), pick(46, ("secret", "access", "session", "password", "account")), pick(47, ("key", "token", "name", "identifier", "value")))
+    login = F.concat(F.lit("://"), pick(48, ("bob", "admin", "root", "app")), F.lit(":"))
+    rows += [
+        (1, F.substring(h(8), F.lit(1), 16 + size % 25), inside, none, none),
+        (1, F.substring(b64, F.lit(1), 8 + size % 33), inside, none, none),
+        (1, short, F.concat(keyword, pick(35, ("=", ":")), quote), filler(6), filler(7)),
+        (1, short, inside, none, none),
+        (1, short, quote, pick(36, ("=", ":", ":=")), keyword),
+        (1, F.substring(b64, F.lit(1), 8 + size % 16), login, none, none),
+        (1, short, login, none, none),
+        (1, F.concat_ws(".", F.concat(F.lit("eyJ"), F.substring(b64, 1, 17)), F.concat(F.lit("eyJ"), F.substring(h(8), 1, 30)), F.substring(F.regexp_replace(b64, "[+/]", "_"), 1, 43)), pick(49, ("", '"', 'jwt":"', "Authorization:")), filler(6), filler(7)),
+        (1, F.concat(F.lit("AKIA"), key16), outside, none, none),
+        (0, F.substring(letters, F.lit(1), 12 + size % 14), pick(49, ("", '"', "(", "")), filler(6), filler(7)),
+        (0, F.initcap(F.substring(letters, F.lit(1), 12 + size % 14)), none, filler(6), filler(7)),
+        (0, F.substring(letters, F.lit(1), 4 + size % 12), quote, pick(36, ("=", ":", ":=")), keyword),
+        (0, F.substring(letters, F.lit(1), 4 + size % 9), inside, none, none),
+        (0, name, pick(49, ('{"', '"', "", "?")), filler(6), filler(7)),
+        (0, F.substring(h(9), F.lit(1), 12 + size % 29), outside, none, none),
+        (0, F.concat_ws("/", F.lit("src"), word, F.substring(letters, F.lit(1), 5 + size % 9)), pick(49, ("", "/", "://www.site.", "")), filler(6), filler(7)),
+        (0, F.concat_ws(".", F.lit("www"), word, F.substring(letters, F.lit(1), 16 + size % 9)), pick(49, ("", "https://", "", "(")), filler(6), filler(7)),
+        (0, F.concat(pick(40, ("changeme", "your", "example", "test", "dummy")), F.substring(digits, F.lit(1), 1 + size % 4)), inside, none, none),
+    ]
     made = None
     for k, (label, value, head, before1, before2) in enumerate(rows):
         path = pick(43, ("src0", "src7", "web", "docs/readme", "tests/fixtures") if label == 0 else ("src0", "src7", "web", "src/main", "app"))
-        own = F.struct(F.concat(head, value).alias("word"), value.alias("value"), before1.alias("before1"), before2.alias("before2"), filler(42).alias("after1"), path.alias("path"))
+        own = F.struct(F.concat(head, value, F.when(F.endswith(head, F.lit(":")) & F.startswith(head, F.lit("://")), "@").otherwise("")).alias("word"), value.alias("value"), before1.alias("before1"), before2.alias("before2"), filler(42).alias("after1"), path.alias("path"))
         part = spark.range(k, n, len(rows), 1).select(own.alias("c"), F.lit(float(label)).alias("label"))
+        part = part.where(f"length(c.value) >= {LEAST if k < 16 else SHORT}")
         made = part if made is None else made.unionByName(part)
-    return made.where("length(c.value) >= 12").coalesce(1)
+    return made.coalesce(1)
 
 
 def rated(candidates: Column, keep: list[str]) -> Column:
@@ -163,22 +212,35 @@ def scan(docs: DataFrame, forest: Forest | None = None, text: str = "text", path
     """docs with _s_findings: word_index, value, detector, probability, is_secret of each candidate."""
     forest = forest or Forest(labelled_findings(docs.sparkSession))
     held = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    words = F.when(held.rlike(DIGIT_OR_PREFIX), F.regexp_extract_all(held, F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    words = F.when(held.rlike(rf"[A-Za-z0-9+/_~$-]{{{LEAST}}}|[.]|{KEYWORDS}"), F.regexp_extract_all(held, F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
     out = docs.select("*", words.alias("_s_words"), F.coalesce(F.col(f"`{path}`"), F.lit("")).alias("_s_path"))
+    word = lambda i: F.when(i < 1, F.lit("")).otherwise(F.coalesce(F.try_element_at("_s_words", F.greatest(i, F.lit(1))), F.lit("")))
+    given = lambda i: word(i - 1).rlike("[:=>][\"'`(]*$") & F.concat_ws(" ", word(i - 2), word(i - 1)).rlike(ASSIGNED + "$")
     at = F.filter(
         F.when(F.size("_s_words") > 0, F.sequence(F.lit(1), F.size("_s_words"))).otherwise(F.array().cast("array<int>")),
-        lambda i: (F.length(F.element_at("_s_words", i)) >= 12) & F.element_at("_s_words", i).rlike(DIGIT_OR_PREFIX) & F.element_at("_s_words", i).rlike(VALUE),
+        lambda i: (F.length(word(i)) >= SHORT) & (((F.length(word(i)) >= SHORT + 4) & word(i).rlike(VALUE)) | given(i)),
     )
-    word = lambda i: F.when(i < 1, F.lit("")).otherwise(F.coalesce(F.try_element_at("_s_words", F.greatest(i, F.lit(1))), F.lit("")))
     out = out.withColumn("_s_at", at)
-    found = F.transform(
-        "_s_at",
-        lambda i: F.struct(
-            i.alias("word_index"), word(i).alias("word"), F.regexp_extract(word(i), VALUE, 1).alias("value"), word(i - 1).alias("before1"),
-            word(i - 2).alias("before2"), word(i + 1).alias("after1"), F.col("_s_path").alias("path"),
-        ),
-    )
-    out = out.withColumn("_s_found", F.filter(found, lambda c: F.length(c["value"]) >= 12))
+    both = lambda w, pattern: F.struct(F.regexp_extract_all(w, F.lit(pattern), F.lit(0)).alias("values"), F.split(w, pattern, -1).alias("gaps"))
+    cut = F.transform("_s_at", lambda i: F.struct(i.alias("i"), F.when(given(i), both(word(i), FIRST_VALUE)).otherwise(both(word(i), VALUE)).alias("cut")))
+    out = out.withColumn("_s_cut", F.filter(cut, lambda x: F.size(x["cut"]["values"]) > 0))
+
+    def placed(i: Column, values: Column, gaps: Column) -> Column:
+        """The word's candidates: each value with what is before it (only as far as two gaps) and the marks after it."""
+        gap = lambda k: F.element_at(gaps, k)
+        before = lambda k: F.when(k > 1, F.concat(gap(k - 1), F.element_at(values, F.greatest(k - 1, F.lit(1))))).otherwise("")
+        raw = F.transform(F.sequence(F.lit(1), F.size(values)), lambda k: F.struct(k.alias("k"), F.right(F.concat(before(k), gap(k)), F.lit(WINDOW)).alias("past")))
+        named = F.transform(raw, lambda x: F.struct(x["k"].alias("k"), x["past"].alias("past"), F.regexp_extract(x["past"], NAME, 0).alias("head")))
+        return F.transform(
+            named,
+            lambda x: F.struct(
+                i.alias("word_index"), F.concat(x["head"], F.element_at(values, x["k"]), F.regexp_extract(gap(x["k"] + 1), "^[^A-Za-z0-9]{0,3}", 0)).alias("word"),
+                F.element_at(values, x["k"]).alias("value"), F.when((x["k"] == 1) & (x["past"] == x["head"]), word(i - 1)).otherwise("").alias("before1"),
+                F.when((x["k"] == 1) & (x["past"] == x["head"]), word(i - 2)).otherwise("").alias("before2"), word(i + 1).alias("after1"), F.col("_s_path").alias("path"),
+            ),
+        )
+
+    out = out.withColumn("_s_found", F.flatten(F.transform("_s_cut", lambda x: placed(x["i"], x["cut"]["values"], x["cut"]["gaps"]))))
     out = out.withColumn("_s_rated", rated(F.col("_s_found"), ["word_index", "value"]))
     scored = F.transform("_s_rated", lambda f: F.struct(f["word_index"].alias("word_index"), f["value"].alias("value"), detector(f).alias("detector"), F.round(forest.probability(f), 6).alias("probability")))
     out = out.withColumn("_s_scored", scored)
