@@ -31,14 +31,11 @@ def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier to part (as negative ids), one per pair in lineitem with few lines."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0")
+    """Supplier to part (as negative ids), one per pair in lineitem."""
+    li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_suppkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst")).distinct().select("src", "dst", F.lit(1.0).alias("weight"), F.lit(False).alias("is_directed"))
 
 
-TRADE_SQL = "trade AS (SELECT DISTINCT l_suppkey AS src, -l_partkey - 1 AS dst FROM lineitem WHERE l_orderkey % 40 = 0)"
-
-
 def register(sql: str | None, *layers: str, more: str = EDGE_SQL):
     def keep(f):
         QUERIES[f.__name__] = f

@@ -58,3 +58,21 @@ def test_pushed_filters_and_pruned_columns(spark, sf_dir):
     assert "PushedFilters: [IsNotNull(c_acctbal), GreaterThan(c_acctbal,0.0)]" in plan and "c_name" not in plan
     own = catalog.queries()["query_in"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in own and "Python" not in own
+
+
+def test_trade_graph_is_whole(spark, tmp_path):
+    """Orders of every number count: a ring with a tail, and a pair on its own, by brute force."""
+    pairs = [(1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (3, 1), (3, 4), (4, 4), (9, 9)]
+    lines = [(40 + k, a, b) for k, (a, b) in enumerate(pairs + pairs[:3])]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = {(a, -b - 1) for a, b in pairs}
+    groups = [{v} for v in {v for e in edges for v in e}]
+    for e in edges:
+        hit = [g for g in groups if g & set(e)]
+        groups = [g for g in groups if g not in hit] + [set().union(*hit)]
+    got = catalog.queries()["graph_components_large"](spark, str(tmp_path)).collect()
+    assert sorted((r["component"], r["n"]) for r in got) == sorted((min(g), len(g)) for g in groups)
+    core = set(edges)
+    while leaf := {v for e in core for v in e if sum(v in f for f in core) == 1}:
+        core = {e for e in core if not leaf & set(e)}
+    assert {(r["src"], r["dst"]) for r in catalog.queries()["graph_dead_ends"](spark, str(tmp_path)).collect()} == core
