@@ -37,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialize, quoted, table
+from geoloom.llm.common import materialize, quoted, table, word_count
 from geoloom.llm.graph import components
 from geoloom.llm.runs import key_runs
 from geoloom.llm.worker import held
@@ -158,23 +158,28 @@ def children(paths: np.ndarray, hashes: np.ndarray, fan_out: float) -> tuple[np.
 
 
 def signatures(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """key, f1, f2 (digest of the shingle set), size, hashes (packed min-hashes) of each row."""
-    schema = docs.select(F.col(f"`{key}`").alias("key")).schema.add("f1", "long").add("f2", "long").add("size", "long").add("hashes", "binary")
+    """key, digest (of the text), f1, f2 (digest of the shingle set), size, hashes (packed min-hashes) of each row."""
+    named = docs.select(F.col(f"`{key}`").alias("key"), text_digest(text).alias("digest"), F.col(f"`{text}`").alias("text"))
+    schema = named.drop("text").schema.add("f1", "long").add("f2", "long").add("size", "long").add("hashes", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shingler(n)
         for batch in batches:
             f1, f2, size, hashes = [], [], [], []
-            for x in batch.column(1).to_pylist():
+            for x in batch.column(2).to_pylist():
                 s = own.shingles(x)
                 a, b = fingerprint(s)
                 f1.append(a)
                 f2.append(b)
                 size.append(len(s))
                 hashes.append(min_hashes(s).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(size, pa.int64()), pa.array(hashes, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(size, pa.int64()), pa.array(hashes, pa.binary())], names=schema.names)
 
-    return docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
+    return named.mapInArrow(run, schema)
+
+
+def text_digest(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
 
 
 def plant(classes: DataFrame, runs: int, fan_out: float) -> DataFrame:
@@ -328,9 +333,11 @@ def verify(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """wanted (key, f1, f2, ...) with the shingles of the row whose text has that digest."""
-    texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(wanted, "key")
-    texts = texts.select("text", *[c for c in wanted.columns if c != "key"])
+    """wanted (key, digest, f1, f2, ...) with the shingles of the row that has that key, which may be null, and text."""
+    own = wanted.withColumnRenamed("key", "_w_key").withColumnRenamed("digest", "_w_digest")
+    texts = docs.select(F.col(f"`{key}`").alias("key"), text_digest(text).alias("digest"), F.col(f"`{text}`").alias("text"))
+    texts = texts.join(own, F.col("key").eqNullSafe(F.col("_w_key")) & (F.col("digest") == F.col("_w_digest")))
+    texts = texts.select("text", *[c for c in wanted.columns if c not in ("key", "digest")])
     schema = texts.drop("text").schema.add("shingles", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,14 +353,16 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, n: int, key: str, text: s
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, class_id, n_copies, n_links of every row of docs."""
+    """key, class_id, n_copies, n_links, root (names the class; null without shingles), text_digest of every row of docs."""
     sig = materialize(signatures(docs, n, key, text), "signatures")
-    classes = materialize(sig.where("size > 0").groupBy("f1", "f2").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("hashes").alias("hashes")), "classes")
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "digest")).alias("k")
+    classes = sig.where("size > 0").groupBy("f1", "f2").agg(first, F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("hashes").alias("hashes"))
+    classes = materialize(classes.select("f1", "f2", "k.key", "k.digest", "copies", "size", "hashes"), "classes")
     grouped = components(candidate_edges(classes, threshold, recall), "candidates")
-    members = classes.select("key", "f1", "f2", "size").join(grouped.withColumnRenamed("node", "f1"), "f1")
+    members = classes.select("key", "digest", "f1", "f2", "size").join(grouped.withColumnRenamed("node", "f1"), "f1")
     extent = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
     extent = extent.select("root", F.expr(f"greatest((n + {BLOCK - 1}) div {BLOCK}, (total + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES})").alias("blocks"))
-    wanted = members.join(extent, "root").select("key", "f1", "f2", "root", "blocks")
+    wanted = members.join(extent, "root").select("key", "digest", "f1", "f2", "root", "blocks")
     sets = candidate_sets(docs, wanted, n, key, text)
     checked = materialize(verify(in_blocks(sets, "blocks", "root", "f1"), threshold), "links")
     links = checked.groupBy("f1").agg(F.sum("links").alias("n_links"))
@@ -361,21 +370,31 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, reca
     named = classes.select("f1", "f2", "key", "copies").join(links, "f1", "left").join(linked, "f1", "left")
     named = materialize(named.select("f1", "f2", "key", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "f1").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("key").alias("class_id"))
-    named = named.join(least, "root").select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), "class_id", "copies", "n_links")
-    whole = sig.select("key", "f1", "f2", "size").join(named, (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")), "left")
+    named = named.join(least, "root").select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), "class_id", "copies", "n_links", "root")
+    whole = sig.select("key", "digest", "f1", "f2", "size").join(named, (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")), "left")
     return whole.select(
         F.col("key").alias(key),
         F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("key")).alias("class_id"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "root",
+        F.col("digest").alias("text_digest"),
     )
 
 
-def keep_first(docs: DataFrame, joined: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs that name their class, one for each."""
-    keep = joined.where(F.col(key) == F.col("class_id")).select(key).distinct()
-    return docs.join(keep, key).dropDuplicates([key]).select(*quoted(docs.columns))
+def keep_first(docs: DataFrame, joined: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs for each class, that of the least key (null last), then of the least digest of its text.
+
+    A text without shingles is a class of its own, so all rows with one stay. Of
+    rows equal in key and text one stays.
+    """
+    own = joined.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), F.col("text_digest").alias("digest"))).alias("_k"))
+    own = own.select(F.col("_k.key").alias("_k_key"), F.col("_k.digest").alias("_k_digest"))
+    with_words = word_count(F.col(f"`{text}`")) > 0
+    rows = docs.where(with_words).withColumn("_own", text_digest(text))
+    rows = rows.join(own, F.col(f"`{key}`").eqNullSafe(F.col("_k_key")) & (F.col("_own") == F.col("_k_digest")))
+    return rows.dropDuplicates(["_k_key", "_k_digest"]).select(*quoted(docs.columns)).unionByName(docs.where(~with_words))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("root", "text_digest")

@@ -100,6 +100,16 @@ def test_join_keeps_one_of_each(docs, none):
     assert ngram_join.jaccard_join(none).count() == 0
 
 
+def test_join_keeps_one_row_a_class_whatever_its_ids(spark):
+    """Null ids, an id of two texts, an id in two classes, empty texts."""
+    a, b, c, d = (prose(60, k) for k in (21, 22, 23, 24))
+    rows = [(None, a), (None, a), (None, b), (5, c), (5, d), (6, c), (None, d + " more"), (7, b), (None, ""), (None, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = ngram_join.keep_first(docs, ngram_join.jaccard_join(docs)).collect()
+    want = [(None, a), (7, b), (5, c), (5, d), (None, ""), (None, None), (8, "")]
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(want)
+
+
 def test_runs_reach_the_recall():
     s = ngram_join.survival(0.8, ngram_join.DEPTH, 1.25)
     assert 1 - (1 - s) ** ngram_join.runs_for(0.9995, 0.8) >= 0.9995
