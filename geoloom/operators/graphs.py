@@ -7,8 +7,10 @@ folder where one is set, so lineage stays short and lost executors cost a round.
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def rounds(most: int | None) -> Iterator[int]:
+    """0, 1, ...; raises when a caller that isn't done asks for more than `most` rounds (None: no bound)."""
+    for k in itertools.count():
+        if k == most:
+            raise RuntimeError(f"not settled after {most} rounds")
+        yield k
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """src, dst, weight of every stored direction."""
     back = edges.where(~F.col("is_directed")).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
@@ -75,7 +85,7 @@ def subgraph(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[DataF
     return nodes.join(keep.select("id"), "id", "left_semi"), inside.select(*edges.columns)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(src, dst) -> (node, component): the least node reachable, ignoring direction.
 
     Every round takes the least label among the neighbours and then follows it
@@ -84,7 +94,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     pairs = settled(pairs)
     label = settled(pairs.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component")))
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         seen = pairs.join(label, pairs["dst"] == label["node"]).groupBy("src").agg(F.min("component").alias("m"))
         stepped = label.join(seen, label["node"] == seen["src"]).select("node", F.least("component", "m").alias("component"))
         jump = label.select(F.col("node").alias("at"), F.col("component").alias("further"))
@@ -96,13 +106,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return label
 
 
-def bfs_levels(edges: DataFrame, start: int, max_rounds: int = 1000) -> DataFrame:
+def bfs_levels(edges: DataFrame, start: int, max_rounds: int | None = None) -> DataFrame:
     """(node, level) of the nodes reachable from start; the frontier is joined with the edges each round."""
     spark = edges.sparkSession
     out = both_ways(edges).select("src", "dst").distinct()
     seen = spark.createDataFrame([(start, 0)], "node long, level long")
     frontier = seen
-    for level in range(1, max_rounds):
+    for level in map((1).__add__, rounds(max_rounds)):
         reached = frontier.join(out, frontier["node"] == out["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = settled(reached.select("node", F.lit(level).cast("long").alias("level")))
         if frontier.isEmpty():
@@ -111,13 +121,15 @@ def bfs_levels(edges: DataFrame, start: int, max_rounds: int = 1000) -> DataFram
     return seen
 
 
-def shortest_distances(edges: DataFrame, start: int, max_rounds: int = 1000) -> DataFrame:
+def shortest_distances(edges: DataFrame, start: int, max_rounds: int | None = None) -> DataFrame:
     """(node, distance, previous) from start: Bellman-Ford on the frontier of improved nodes."""
     spark = edges.sparkSession
     out = settled(both_ways(edges).groupBy("src", "dst").agg(F.min("weight").alias("weight")))
+    # no best path has more edges than there are nodes, so only a negative cycle takes longer
+    max_rounds = out.select("src").union(out.select("dst")).distinct().count() + 2 if max_rounds is None else max_rounds
     best = spark.createDataFrame([(start, 0.0, None)], "node long, distance double, previous long")
     frontier = best
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         offer = frontier.join(out, frontier["node"] == out["src"]).select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.col("src").alias("previous"))
         offer = offer.groupBy("node").agg(F.min(F.struct("distance", "previous")).alias("o")).select("node", F.col("o.distance").alias("d"), F.col("o.previous").alias("p"))
         better = settled(offer.join(best, "node", "left").where("distance is null or d < distance - 1e-12").select("node", F.col("d").alias("distance"), F.col("p").alias("previous")))
@@ -128,10 +140,10 @@ def shortest_distances(edges: DataFrame, start: int, max_rounds: int = 1000) ->
     return best
 
 
-def pruned_dead_ends(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def pruned_dead_ends(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Edges left after removing nodes with one neighbour until there are none (the 2-core)."""
     left = settled(edges)
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         pairs = left.select("src", "dst").unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
         leaf = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(F.col("src").alias("leaf"))
         leaf = settled(leaf)

@@ -76,3 +76,17 @@ def test_trade_graph_is_whole(spark, tmp_path):
     while leaf := {v for e in core for v in e if sum(v in f for f in core) == 1}:
         core = {e for e in core if not leaf & set(e)}
     assert {(r["src"], r["dst"]) for r in catalog.queries()["graph_dead_ends"](spark, str(tmp_path)).collect()} == core
+
+
+def test_graph_rounds_never_stop_silently(spark):
+    from geoloom.operators import graphs
+
+    chain = spark.createDataFrame([(k, k + 1, 1.0, False) for k in range(5)], "src long, dst long, weight double, is_directed boolean")
+    for walk in (lambda **m: graphs.bfs_levels(chain, 0, **m), lambda **m: graphs.shortest_distances(chain, 0, **m)):
+        assert walk().count() == 6
+        with pytest.raises(RuntimeError):
+            walk(max_rounds=2)
+    with pytest.raises(RuntimeError):
+        graphs.pruned_dead_ends(chain, max_rounds=1)
+    with pytest.raises(RuntimeError):
+        graphs.components(chain, max_rounds=1)
