@@ -33,3 +33,22 @@ def mapped(uri: str) -> np.ndarray:
         return np.asarray(np.memmap(path, np.uint8, "r")) if os.path.getsize(path) else np.zeros(0, np.uint8)
     with system.open_input_file(path) as f:
         return np.frombuffer(f.read(), np.uint8)
+
+
+class Ranges:
+    """Byte ranges of a file: views of the mapped file where its system is mounted, else read in blocks of BLOCK bytes or more."""
+
+    BLOCK = 8 << 20
+
+    def __init__(self, uri: str):
+        system, path = at(uri)
+        self.whole = mapped(uri) if system.type_name == "local" else None
+        self.file = None if self.whole is not None else system.open_input_file(path)
+        self.first, self.held = 0, np.zeros(0, np.uint8)
+
+    def read(self, offset: int, n: int) -> np.ndarray:
+        if self.whole is not None:
+            return self.whole[offset : offset + n]
+        if offset < self.first or offset + n > self.first + len(self.held):
+            self.first, self.held = offset, np.frombuffer(self.file.read_at(max(n, self.BLOCK), offset), np.uint8)
+        return self.held[offset - self.first : offset - self.first + n]

@@ -48,7 +48,8 @@ class WordEncoder:
     """A tokenizers model behind a cache of words.
 
     Tokens never cross ASCII white space and no rule of the model looks past it,
-    so a text's ids are those of its words in a row.
+    so a text's ids are those of its words in a row. The model's added tokens,
+    which hold no white space, are found in texts as the library finds them.
     """
 
     def __init__(self, path: str):
@@ -56,7 +57,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.words = re.compile(r"[^\x20\x09-\x0D]+").findall
         self.known: dict[str, bytes] = {}
@@ -267,9 +267,13 @@ class Index:
 
 
 def write_store(docs: DataFrame, root: str, tokenizer: str, shards: int | None = None, key: str = "doc_id", text: str = "text") -> None:
-    """Write shards, index and manifests below the URI root."""
+    """Write shards, index and manifests below the URI root.
+
+    shards: by default one for each split of the input, so that a shard grows no
+    larger than what a split's texts give, and no fewer than shuffle partitions.
+    """
     spark = docs.sparkSession
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.select(F.col(f"`{text}`")).rdd.getNumPartitions())
     files.make_folder(root)
     written = write_shards(docs, root, tokenizer, shards, key, text)
     written.write.parquet(f"{root}/entries")
@@ -311,14 +315,13 @@ def read_documents(located: DataFrame, root: str) -> DataFrame:
     schema = located.select("key").schema.add("start", "long").add("n_tokens", "long").add("ids_crc32", "long")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, data = None, np.zeros(0, np.uint8)
+        name, data = None, None
         for pdf in batches:
             crcs = []
             for file, offset, n in zip(pdf["file"], pdf["offset"], pdf["n"]):
                 if file != name:
-                    name = file
-                    data = files.mapped(f"{root}/{file}").view("<u2" if file.endswith("16") else "<u4")
-                crcs.append(zlib.crc32(data[offset : offset + n].astype("<u4")))
+                    name, data, kind = file, files.Ranges(f"{root}/{file}"), np.dtype("<u2" if file.endswith("16") else "<u4")
+                crcs.append(zlib.crc32(data.read(offset * kind.itemsize, n * kind.itemsize).view(kind).astype("<u4")))
             yield pd.DataFrame({"key": pdf["key"], "start": pdf["first_id"] + pdf["offset"], "n_tokens": pdf["n"], "ids_crc32": crcs})
 
     return rows.select("key", "file", "first_id", "offset", "n").mapInPandas(read, schema)
