@@ -6,25 +6,43 @@ import numpy as np
 
 U64 = np.uint64
 ONE = U64(1)
+#: Every STEP-th set and clear bit has its word noted.
+STEP = 64
+#: Values of a run that are looked at one by one.
+LINEAR = 4
+
+_BYTE = np.arange(256)
+#: Position of the k-th set bit of a byte, at 8 * byte + k.
+IN_BYTE = np.zeros(2048, np.uint8)
+for _bit in range(7, -1, -1):
+    _has = (_BYTE >> _bit) & 1 == 1
+    IN_BYTE[(8 * _BYTE + np.bitwise_count(_BYTE & ((1 << _bit) - 1)))[_has]] = _bit
 
 
 def select_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Position of the k-th (from 0) set bit of each word."""
-    k = k.astype(np.int64).copy()
-    at = np.zeros(len(words), np.uint64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count((words >> at) & U64((1 << width) - 1)).astype(np.int64)
-        up = k >= low
-        k -= np.where(up, low, 0)
-        at += np.where(up, U64(width), U64(0))
-    return at.astype(np.int64)
+    """Position of the k-th (from 0) set bit of each word, which has that many."""
+    k = k.astype(np.uint64)
+    s = words - ((words >> U64(1)) & U64(0x5555555555555555))
+    s = (s & U64(0x3333333333333333)) + ((s >> U64(2)) & U64(0x3333333333333333))
+    s = ((s + (s >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * U64(0x0101010101010101)
+    low = U64(0x8080808080808080)
+    whole = np.bitwise_count((((k * U64(0x0101010101010101)) | low) - s) & low).astype(np.uint64) * U64(8)
+    whole = np.minimum(whole, U64(56))
+    k = k - (((s << U64(8)) >> whole) & U64(255))
+    return whole.astype(np.int64) + IN_BYTE[(((words >> whole) & U64(255)) << U64(3) | k).astype(np.int64)]
+
+
+def noted(before: np.ndarray, total: int) -> np.ndarray:
+    """The word that holds every STEP-th bit, from the count before each word."""
+    return (np.searchsorted(before, np.arange(0, max(total, 1), STEP), "right") - 1).astype("<u4")
 
 
 class EliasFano:
-    """n non-decreasing values below `universe`: low bits packed, high bits in unary with counts by word."""
+    """n non-decreasing values: low bits packed, high bits in unary with counts by word."""
 
-    def __init__(self, n: int, low_bits: int, lows: np.ndarray, highs: np.ndarray, before: np.ndarray):
-        self.n, self.low_bits, self.lows, self.highs, self.before = n, low_bits, lows, highs, before
+    def __init__(self, n: int, low_bits: int, lows: np.ndarray, highs: np.ndarray, before: np.ndarray, ones: np.ndarray, clear: np.ndarray):
+        self.n, self.low_bits, self.lows, self.highs, self.before, self.ones, self.clear = n, low_bits, lows, highs, before, ones, clear
+        self.zeros = len(highs) * 64 - n
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -37,53 +55,89 @@ class EliasFano:
         bits = np.zeros(-(-(int(at[-1]) + 2 if n else 1) // 64) * 64, np.uint8)
         bits[at] = 1
         highs = np.packbits(bits, bitorder="little").view("<u8")
-        before = np.concatenate([[0], np.cumsum(np.bitwise_count(highs).astype(np.int64))[:-1]]).astype("<i8")
-        return cls(n, low_bits, lows, highs, before)
+        if len(highs) >> 26:
+            raise ValueError("over 2**32 bits in one sequence")
+        before = np.concatenate([[0], np.cumsum(np.bitwise_count(highs), dtype=np.int64)[:-1]])
+        zeros = np.arange(len(highs), dtype=np.int64) * 64 - before
+        return cls(n, low_bits, lows, highs, before.astype("<u4"), noted(before, n), noted(zeros, len(highs) * 64 - n))
+
+    def word_of(self, k: np.ndarray, ones: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The word that holds the k-th set (or clear) bit, and how many there are before that word."""
+        at = (self.ones if ones else self.clear)[k // STEP].astype(np.int64)
+        count = lambda w: self.before[w].astype(np.int64) if ones else (w << 6) - self.before[w]
+        todo = np.arange(len(k))
+        while len(todo):
+            nxt = at[todo] + 1
+            go = (nxt < len(self.highs)) & (count(np.minimum(nxt, len(self.highs) - 1)) <= k[todo])
+            todo = todo[go]
+            at[todo] += 1
+        return at, count(at)
 
     def low(self, i: np.ndarray) -> np.ndarray:
         return unpack(self.lows, self.low_bits, i)
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.before, i, "right") - 1
-        at = word * 64 + select_in_word(self.highs[word], i - self.before[word])
+        word, before = self.word_of(i, True)
+        at = word * 64 + select_in_word(self.highs[word], i - before)
         return ((at - i) << self.low_bits) | self.low(i).astype(np.int64)
 
-    def bucket_start(self, high: np.ndarray) -> np.ndarray:
-        """Number of values whose high part is below `high`."""
-        k = high - 1
-        words = len(self.highs)
-        zeros_before = np.arange(words, dtype=np.int64) * 64 - self.before
-        word = np.searchsorted(zeros_before, np.maximum(k, 0), "right") - 1
-        at = word * 64 + select_in_word(~self.highs[word], np.maximum(k, 0) - zeros_before[word])
-        return np.where(high <= 0, 0, np.minimum(at - k, self.n))
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """Index of the first value that is no less than each of `value` (the successor); n if there is none."""
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first value that is no less than each of `value` (the successor; n if there is none), and whether it is equal."""
         high, low = value >> self.low_bits, (value & ((1 << self.low_bits) - 1)).astype(np.uint64)
-        zeros = len(self.highs) * 64 - self.n
-        past = high >= zeros
-        a = np.where(past, self.n, self.bucket_start(np.minimum(high, zeros - 1)))
-        b = np.where(high + 1 >= zeros, self.n, self.bucket_start(np.minimum(high + 1, zeros - 1)))
-        b = np.where(past, self.n, b)
-        todo = np.flatnonzero(a < b)
-        while len(todo):
-            mid = (a[todo] + b[todo]) >> 1
-            less = self.low(mid) < low[todo]
-            a[todo] = np.where(less, mid + 1, a[todo])
-            b[todo] = np.where(less, b[todo], mid)
-            todo = todo[a[todo] < b[todo]]
-        return a
+        past = high >= self.zeros
+        index = np.where(past, self.n, self.start(np.minimum(high, self.zeros)))
+        equal = np.zeros(len(value), bool)
+        todo = np.flatnonzero(index < self.n)
+        # Along the unary run of the value's high part, while the low parts are less.
+        for _ in range(LINEAR):
+            bit = index[todo] + high[todo]
+            inside = (self.highs[bit >> 6] >> (bit & 63).astype(np.uint64)) & ONE == ONE
+            todo = todo[inside]
+            if not len(todo):
+                return index, equal
+            own = self.low(index[todo])
+            equal[todo[own == low[todo]]] = True
+            todo = todo[own < low[todo]]
+            index[todo] += 1
+            todo = todo[index[todo] < self.n]
+        # Long runs by halving.
+        end = self.start(np.minimum(high[todo] + 1, self.zeros))
+        first, last, low = index[todo], end.copy(), low[todo]
+        left = np.flatnonzero(first < last)
+        while len(left):
+            mid = (first[left] + last[left]) >> 1
+            less = self.low(mid) < low[left]
+            first[left] = np.where(less, mid + 1, first[left])
+            last[left] = np.where(less, last[left], mid)
+            left = left[first[left] < last[left]]
+        index[todo] = first
+        at = np.flatnonzero(first < end)
+        equal[todo[at]] = self.low(first[at]) == low[at]
+        return index, equal
+
+    def start(self, high: np.ndarray) -> np.ndarray:
+        """Number of values whose high part is below `high`."""
+        k = np.clip(high - 1, 0, self.zeros - 1)
+        word, before = self.word_of(k, False)
+        at = word * 64 + select_in_word(~self.highs[word], k - before) + 1
+        return np.where(high > 0, np.minimum(at - high, self.n), 0)
 
     def dump(self) -> bytes:
-        head = np.array([self.n, self.low_bits, len(self.lows), len(self.highs)], "<u8")
-        return b"".join([head.tobytes(), self.lows.astype("<u8").tobytes(), self.highs.astype("<u8").tobytes(), self.before.astype("<i8").tobytes()])
+        """In whole 8-byte words."""
+        notes = np.concatenate([self.before, self.ones, self.clear]).astype("<u4")
+        head = np.array([self.n, self.low_bits, len(self.lows), len(self.highs), len(self.ones), len(self.clear)], "<u8")
+        return b"".join([head.tobytes(), self.lows.astype("<u8").tobytes(), self.highs.astype("<u8").tobytes(), notes.tobytes(), bytes(len(notes) % 2 * 4)])
 
     @classmethod
     def load(cls, data: np.ndarray, at: int) -> tuple[EliasFano, int]:
-        n, low_bits, nl, nh = map(int, data[at : at + 32].view("<u8"))
-        at += 32
-        cut = [at, at + 8 * nl, at + 8 * (nl + nh), at + 8 * (nl + 2 * nh)]
-        return cls(n, low_bits, data[cut[0] : cut[1]].view("<u8"), data[cut[1] : cut[2]].view("<u8"), data[cut[2] : cut[3]].view("<i8")), cut[3]
+        """Views of the bytes from `at` on, and where they end."""
+        n, low_bits, *sizes = map(int, data[at : at + 48].view("<u8"))
+        at += 48
+        parts = []
+        for size, kind in zip((sizes[0], sizes[1], sizes[1], *sizes[2:]), ("<u8", "<u8", "<u4", "<u4", "<u4")):
+            parts.append(data[at : at + size * int(kind[2])].view(kind))
+            at += size * int(kind[2])
+        return cls(n, low_bits, *parts), -(-at // 8) * 8
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:

@@ -1,30 +1,40 @@
 """Language-model scoring with an Elias-Fano n-gram trie (operator 6).
 
-A bigram model with absolute discounting over add-one unigrams is learned from
-all training texts. Words are counted by a 64-bit hash and numbered in order of
-it; the vocabulary and the trie are files in shards that workers map into
-memory, so a worker's memory doesn't grow with the model. A trie shard covers a
-range of context words: Elias-Fano pointers delimit each context's successors,
-the successors' ids, each range shifted by the last value of the one before it,
-form one Elias-Fano sequence, and a look-up is a successor search for
-id + shift. Log probabilities and backoff weights are 16-bit codes.
-
-A text is scored as its words and one end token, starting from the end token as
-context. An unseen pair gives the context's backoff weight times the unigram.
+A trigram model by interpolated absolute discounting over add-one unigrams,
+learned from all training texts. All words and bigrams are kept, and trigrams
+seen KEPT times or more; the mass of the others backs off. Words are numbered in
+order of a 64-bit hash.
+
+The trie is read from the nearest word outwards. A shard covers a range of
+middle words, with three levels: a middle word's successors (bigrams), the words
+seen before it (contexts of kept trigrams) and, for each such context, its
+successors as ranks among the successors of the middle word, which take few bits.
+Each level is one Elias-Fano sequence of parent-relative numbers, delimited by
+monotone pointers, and a look-up is a successor search. Log probabilities and
+backoff weights are 16-bit codes. All files are mapped into memory, so what a
+worker holds doesn't grow with the model where the shared folder is mounted;
+elsewhere it reads the shards whole.
+
+Shards are cut by the number of tokens that follow their middle words, from the
+vocabulary's running sums. A middle word with more than one shard's worth goes to
+several: its contexts by a hash of the word before, its bigrams by a hash of the
+word after. N-grams are counted per worker before they are shuffled.
+
+A text is scored as its words and one end token, in windows of WINDOW tokens,
+starting from two end tokens as context.
 
 Defined cases: null text is the empty text (the end token alone); repeated rows
 are each counted and scored; without training texts every unigram has
-probability one; a null doc_id counts as training; texts are read whole; other
-columns are ignored.
+probability one; a null doc_id counts as training; texts are read whole, words
+of any length; other columns are ignored; two words whose hashes are equal count
+as one; 2**32 distinct words or more are refused with an error.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,293 +44,444 @@ from pyspark.sql import functions as F
 from geoloom.llm import files
 from geoloom.llm.common import crc_mod, scratch, table
 from geoloom.llm.elias_fano import EliasFano
+from geoloom.llm.lm_words import PIECE, Vocabulary, mix, slices, token_hashes, write_vocabulary
 from geoloom.llm.runs import key_runs
-
-END = b"\n"
-MAX_WORDS = 250_000
-VOCABULARY_BITS = 4
-CONTEXT_BITS = 16
-FLUSH = 200_000
-PAIRS = 1_000_000
-#: Texts scored together; what they share is looked up once.
-SCORED = 1024
+from geoloom.llm.worker import held
+
+#: Least count of a trigram that is kept.
+KEPT = 2
+#: Tokens of a shard.
+SHARD_TOKENS = 1_000_000
+#: Tokens scored or counted together.
+WINDOW = 500_000
+#: Open shards of a worker.
+OPEN = 4096
 #: Log probabilities are coded in steps of FLOOR / 65535 below 0.
 FLOOR = -16.0
+BIG = 0xFFFFFFFF
 U64 = np.uint64
 
-words_of = re.compile(rb"[^\x20\x09-\x0D]+").findall
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """Words with A-Z in lower case, then the end token."""
-    out = words_of((text or "").encode().lower())
-    out.append(END)
-    return out
-
 
 def quantise(log10p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(log10p / FLOOR * 65535), 0, 65535).astype("<u2")
 
 
-def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """hash, n of the tokens of all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        counts: Counter = Counter()
-
-        def flushed() -> pa.RecordBatch:
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, counts), U64, len(counts))
-            out = pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], names=["hash", "n"])
-            counts.clear()
-            return out
-
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                counts.update(tokens(x))
-                if len(counts) > FLUSH:
-                    yield flushed()
-        if counts:
-            yield flushed()
+def unpacked(codes: np.ndarray) -> np.ndarray:
+    return codes * (FLOOR / 65535)
 
-    return docs.select(text).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
+def discount_of(once: int, twice: int) -> float:
+    return min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.5))
 
-def write_vocabulary(counts: DataFrame, root: str) -> None:
-    """Shards of hashes in unsigned order with their counts, by the top bits of the hash."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in key_runs(batches, 1):
-            part, hashes, n = shard.column(0)[0].as_py(), shard.column(1).to_numpy().view(U64), shard.column(2).to_numpy()
-            order = np.argsort(hashes)
-            name = f"words-{part:04d}-{uuid.uuid4().hex}"
-            with files.create(f"{root}/{name}") as f:
-                f.write(hashes[order].astype("<u8").tobytes())
-                f.write(n[order].astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], names=["part", "file", "words", "tokens"])
-
-    parted = counts.select(F.shiftrightunsigned("hash", 64 - VOCABULARY_BITS).alias("part"), "hash", "n").repartition("part").sortWithinPartitions("part")
-    parted.mapInArrow(run, "part long, file string, words long, tokens long").write.parquet(f"{root}/words")
-
-
-class Vocabulary:
-    """Words to ids and counts over the mapped shards; the id after the last is for unknown words."""
-
-    def __init__(self, root: str, shards: list[tuple]):
-        self.first, self.hashes, self.counts, at = {}, {}, {}, 0
-        for part, file, n, _ in sorted(shards):
-            data = files.mapped(f"{root}/{file}")
-            self.hashes[part], self.counts[part], self.first[part] = data[: 8 * n].view("<u8"), data[8 * n :].view("<i8"), at
-            at += n
-        self.size, self.tokens = at, sum(s[3] for s in shards)
-        self.parts = sorted(self.first)
-        self.known: dict[bytes, int] = {}
-
-    def look_up(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        h = np.fromiter(map(xxhash.xxh64_intdigest, words), U64, len(words))
-        out = np.full(len(h), self.size, np.int64)
-        parts = (h >> U64(64 - VOCABULARY_BITS)).astype(np.int64)
-        for part in np.unique(parts):
-            if int(part) in self.hashes:
-                own = np.flatnonzero(parts == part)
-                held = self.hashes[int(part)]
-                at = np.searchsorted(held, h[own])
-                hit = (at < len(held)) & (held[np.minimum(at, len(held) - 1)] == h[own])
-                out[own[hit]] = self.first[int(part)] + at[hit]
-        return out
+def shard_of(before: np.ndarray, counts: np.ndarray, other: np.ndarray, most: int) -> np.ndarray:
+    """The shard of a middle word (its tokens of lesser ids and its count) and another word of the n-gram."""
+    out = before // most
+    many = np.flatnonzero(counts > most)
+    if len(many):
+        out[many] += (mix(other[many].astype(U64)) % (-(-counts[many] // most)).astype(U64)).astype(np.int64)
+    return out
 
-    def ids(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Ids of all tokens in a row."""
-        if len(self.known) > MAX_WORDS:
-            self.known.clear()
-        new = list(set().union(*texts).difference(self.known))
-        self.known.update(zip(new, self.look_up(new).tolist()))
-        get = self.known.__getitem__
-        return np.fromiter(map(get, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
-
-    def count_of(self, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ids), np.int64)
-        for part in self.parts:
-            low = self.first[part]
-            own = (ids >= low) & (ids < low + len(self.counts[part]))
-            out[own] = self.counts[part][ids[own] - low]
-        return out
 
-    def log_unigram(self, ids: np.ndarray) -> np.ndarray:
-        """log10 of (count + 1) / (tokens + words + 1)."""
-        return np.log10((self.count_of(ids) + 1) / (self.tokens + self.size + 1))
+class Windows:
+    """N-grams of a run of texts, in windows of tokens."""
 
+    def __init__(self, words: Vocabulary, texts: pa.Array):
+        self.words = words
+        self.hashes, self.lengths = token_hashes(texts)
+        self.end = words.end()
 
-_VOCABULARIES: dict[str, Vocabulary] = {}
+    def __iter__(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """first token, end, and (id, count, tokens before) rows of each window's words before last, last and own."""
+        starts = np.cumsum(self.lengths) - self.lengths
+        for low in range(0, len(self.hashes), WINDOW):
+            high = min(low + WINDOW, len(self.hashes))
+            from_ = max(0, low - 2)
+            found = np.stack(self.words.look_up(self.hashes[from_:high]))
+            at = np.arange(low, high) - from_
+            place = np.arange(low, high) - starts[np.searchsorted(starts, np.arange(low, high), "right") - 1]
+            end = np.array(self.end)[:, None]
+            last = np.where(place > 0, found[:, np.maximum(at - 1, 0)], end)
+            first = np.where(place > 1, found[:, np.maximum(at - 2, 0)], end)
+            yield low, high, first, last, found[:, at]
 
 
 def vocabulary(root: str, shards: list[tuple]) -> Vocabulary:
-    if root not in _VOCABULARIES:
-        _VOCABULARIES.clear()
-        _VOCABULARIES[root] = Vocabulary(root, shards)
-    return _VOCABULARIES[root]
-
-
-def contexts(ids: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
-    """The token before each: the end token at the start of a text."""
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = end
-    return before
-
-
-def pair_counts(docs: DataFrame, text: str, root: str, shards: list[tuple]) -> DataFrame:
-    """pair (context id << 32 | id), n of all texts."""
-
+    return held(f"lm {root}", "words", lambda: Vocabulary(root, shards))
+
+
+def gram_pieces(first: np.ndarray, last: np.ndarray, own: np.ndarray, most: int) -> Iterator[tuple[int, bytes]]:
+    """(shard, piece) of the distinct trigrams of a window, and of the bigrams of middle words with several shards.
+
+    A piece is four rows of 32-bit numbers: middle word, word, word before (BIG in
+    a bigram), count.
+    """
+    key, at, back = np.unique(last[0].astype(U64) << U64(32) | own[0].astype(U64), return_index=True, return_inverse=True)
+    whole, n = np.unique(back.astype(U64) << U64(32) | first[0].astype(U64), return_counts=True)
+    pair, before = (whole >> U64(32)).astype(np.int64), (whole & U64(BIG)).astype(np.int64)
+    lead = at[pair]
+    part = shard_of(last[2][lead], last[1][lead], before, most)
+    rows = np.stack([(key >> U64(32))[pair], (key & U64(BIG))[pair], before.astype(U64), n.astype(U64)])
+    many = np.flatnonzero(last[1][at] > most)
+    if len(many):
+        to = (key[many] & U64(BIG)).astype(np.int64)
+        times = np.bincount(back, minlength=len(key))[many]
+        part = np.concatenate([part, shard_of(last[2][at[many]], last[1][at[many]], to, most)])
+        rows = np.concatenate([rows, np.stack([key[many] >> U64(32), to.astype(U64), np.full(len(many), BIG, U64), times.astype(U64)])], axis=1)
+    rows = rows.astype("<u4")
+    if np.any(part[1:] < part[:-1]):
+        order = np.argsort(part, kind="stable")
+        part, rows = part[order], rows[:, order]
+    cuts = np.union1d(np.flatnonzero(np.diff(part)) + 1, np.arange(0, len(part), PIECE))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)]):
+        yield int(part[a]), rows[:, a:b].tobytes()
+
+
+def grams(docs: DataFrame, text: str, root: str, shards: list[tuple], most: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary(root, shards)
-        end = int(own.look_up([END])[0])
-        held, size = [], 0
+        words = vocabulary(root, shards)
+        gathered, size = [], 0
 
-        def flushed() -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], names=["pair", "n"])
+        def pieces() -> pa.RecordBatch:
+            parts, blobs = zip(*gram_pieces(*[np.concatenate(x, axis=1) for x in zip(*gathered)], most))
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "piece"])
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 128):
-                texts = [tokens(x) for x in batch.column(0).slice(low, 128).to_pylist()]
-                ids = own.ids(texts)
-                held.append(contexts(ids, np.array([len(t) for t in texts]), end) << 32 | ids)
-                size += len(ids)
-                if size > PAIRS:
-                    yield flushed()
-                    size = 0
-        if held:
-            yield flushed()
+            for part in slices(batch, 0):
+                for low, high, *three in Windows(words, part.column(0)):
+                    gathered.append(three)
+                    size += high - low
+                    if size > 2 * WINDOW:
+                        yield pieces()
+                        gathered, size = [], 0
+        if size:
+            yield pieces()
 
-    return docs.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(run, "part long, piece binary")
 
 
-class Trie:
-    """One shard: contexts from `first` on."""
+class Shard:
+    """Structure of a shard: three levels of Elias-Fano sequences, then counts of the n-grams or, in a finished one, their codes."""
 
     def __init__(self, data: np.ndarray):
-        self.first, self.contexts, n = map(int, data[:24].view("<i8"))
-        self.pointers, at = EliasFano.load(data, 24)
-        self.successors, at = EliasFano.load(data, at)
-        self.backoff = data[at : at + 2 * self.contexts].view("<u2")
-        at += -(-2 * self.contexts // 8) * 8
-        self.codes = data[at : at + 2 * n].view("<u2")
+        self.first, self.contexts, self.base, n, at = *map(int, data[:32].view("<i8")), 32
+        sequences = []
+        for _ in range(6):
+            one, at = EliasFano.load(data, at)
+            sequences.append(one)
+        self.pointers, self.successors, self.befores, self.before_pointers, self.starts, self.ranks = sequences
+        self.rest = data[at : at + n]
 
     @staticmethod
-    def build(first: int, pairs: np.ndarray, n: np.ndarray, discount: float, own: Vocabulary) -> bytes:
-        """pairs sorted; contexts are numbered from `first`, the last one with a successor ends the shard."""
-        context, to = (pairs >> 32) - first, pairs & 0xFFFFFFFF
-        size = int(context[-1]) + 1
-        kinds = np.bincount(context, minlength=size)
-        total = np.bincount(context, weights=n, minlength=size)
-        weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-        p = (n - discount) / total[context] + weight[context] * 10 ** own.log_unigram(to)
-        ends = np.cumsum(kinds)
-        last = np.zeros(size, np.int64)
-        last[kinds > 0] = to[ends[kinds > 0] - 1]
-        shift = np.cumsum(last) - last
-        body = np.array([first, size, len(pairs)], "<i8").tobytes()
-        body += EliasFano.encode(np.concatenate([[0], ends])).dump() + EliasFano.encode(to + shift[context]).dump()
-        backoff = quantise(np.log10(np.maximum(weight, 1e-300))).tobytes()
-        return body + backoff + bytes(-len(backoff) % 8) + quantise(np.log10(p)).tobytes()
-
-    def find(self, context: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Whether each pair is stored, its log10 probability, and the context's log10 backoff weight."""
-        c = context - self.first
-        inside = (c >= 0) & (c < self.contexts)
-        c = np.where(inside, c, 0)
-        low, high = self.pointers.get(c), self.pointers.get(c + 1)
-        shift = np.where(low > 0, self.successors.get(np.maximum(low - 1, 0)), 0)
-        at = self.successors.find(to + shift)
-        at = np.where(at < low, low, at)
-        near = np.minimum(at, len(self.codes) - 1)
-        found = inside & (at < high) & (self.successors.get(near) == to + shift)
-        return found, self.codes[near] * (FLOOR / 65535), np.where(inside, self.backoff[c] * (FLOOR / 65535), 0.0)
+    def dump(first: int, base: int, contexts: int, sequences: list[np.ndarray], rest: bytes) -> bytes:
+        head = np.array([first, contexts, base, len(rest)], "<i8").tobytes()
+        return head + b"".join(EliasFano.encode(x).dump() for x in sequences) + rest
 
+    def bigram(self, middle: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each bigram, and whether it is stored."""
+        c = middle - self.first
+        inside = (c >= 0) & (c < self.contexts)
+        at, found = self.successors.find(np.where(inside, c, 0) * self.base + to)
+        return at, found & inside
 
-def write_trie(pairs: DataFrame, root: str, discount: float, shards: list[tuple]) -> None:
+    def context(self, middle: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = middle - self.first
+        inside = (c >= 0) & (c < self.contexts)
+        at, found = self.befores.find(np.where(inside, c, 0) * self.base + before)
+        return at, found & inside
+
+    def trigram(self, middle: np.ndarray, context: np.ndarray, bigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the trigram of a stored context and a stored bigram of one middle word: a rank among its successors."""
+        c = middle - self.first
+        low = self.pointers.get(c)
+        kinds = self.pointers.get(c + 1) - low
+        return self.ranks.find(self.starts.get(c) + (context - self.before_pointers.get(c)) * kinds + bigram - low)
+
+
+@dataclass
+class Counts:
+    """Counts beside a shard's structure: of bigrams (0: counted in another shard), contexts, kept trigrams."""
+
+    bigrams: np.ndarray
+    contexts: np.ndarray
+    trigrams: np.ndarray
+
+    def dump(self) -> bytes:
+        """Bigrams in 16 bits, and those that don't fit listed."""
+        large = np.flatnonzero(self.bigrams >= 65535)
+        head = np.array([len(self.bigrams), len(large), len(self.contexts), len(self.trigrams)], "<i8").tobytes()
+        wide = np.concatenate([large, self.bigrams[large], self.contexts, self.trigrams]).astype("<i8").tobytes()
+        return head + wide + np.minimum(self.bigrams, 65535).astype("<u2").tobytes()
+
+    @classmethod
+    def load(cls, data: np.ndarray) -> Counts:
+        n, large, contexts, trigrams = map(int, data[:32].view("<i8"))
+        wide = data[32 : 32 + 8 * (2 * large + contexts + trigrams)].view("<i8")
+        small = data[32 + 8 * len(wide) :][: 2 * n].view("<u2").astype(np.int64)
+        small[wide[:large]] = wide[large : 2 * large]
+        return cls(small, wide[2 * large : 2 * large + contexts], wide[2 * large + contexts :])
+
+
+def count_shard(pieces: list[bytes], words: Vocabulary, most: int) -> tuple[bytes, np.ndarray, list[int], list[int]]:
+    """A shard's structure and counts; how many bigrams and trigrams occur once and twice; middle words with several shards and their bigrams here."""
+    rows = np.concatenate([np.frombuffer(x, "<u4").reshape(4, -1) for x in pieces], axis=1).astype(np.int64)
+    first = int(rows[0].min())
+    middle, n = rows[0] - first, rows[3]
+    size, base = int(middle.max()) + 1, words.size + 1
+    pairs, pair = np.unique(middle << 32 | rows[1], return_inverse=True)
+    tri = rows[2] != BIG
+    context_of = pairs >> 32
+    several = words.count_of(first + np.arange(size)) > most
+    counted_here = ~tri | ~several[middle]
+    bigrams = np.bincount(pair, weights=n * counted_here, minlength=len(pairs)).astype(np.int64)
+    contexts, context = np.unique((middle << 32 | rows[2])[tri], return_inverse=True)
+    triples, triple = np.unique(context << 32 | pair[tri], return_inverse=True)
+    trigrams = np.bincount(triple, weights=n[tri], minlength=len(triples)).astype(np.int64)
+    seen = np.bincount(context, weights=n[tri], minlength=len(contexts)).astype(np.int64)
+    stats = np.array([np.sum(bigrams == 1), np.sum(bigrams == 2), np.sum(trigrams == 1), np.sum(trigrams == 2)], np.int64)
+
+    kept = np.flatnonzero(trigrams >= KEPT)
+    used, slot = np.unique(triples[kept] >> 32, return_inverse=True)
+    contexts, seen = contexts[used], seen[used]
+    middle_of = contexts >> 32
+    kinds = np.bincount(context_of, minlength=size)
+    pointers = np.concatenate([[0], np.cumsum(kinds)])
+    befores = np.bincount(middle_of, minlength=size)
+    before_pointers = np.concatenate([[0], np.cumsum(befores)])
+    starts = np.concatenate([[0], np.cumsum(befores * kinds)])
+    m = middle_of[slot]
+    ranks = starts[m] + (slot - before_pointers[m]) * kinds[m] + (triples[kept] & BIG) - pointers[m]
+    sequences = [pointers, context_of * base + (pairs & BIG), middle_of * base + (contexts & BIG), before_pointers, starts, ranks]
+    own = np.flatnonzero(several)
+    mine = np.bincount(context_of[bigrams > 0], minlength=size)[own]
+    body = Shard.dump(first, base, size, sequences, Counts(bigrams, seen, trigrams[kept]).dump())
+    return body, stats, (first + own).tolist(), mine.tolist()
+
+
+GRAMS = "part long, file string, stats array<long>, several array<long>, kinds array<long>"
+
+
+def write_counts(pieces: DataFrame, root: str, shards: list[tuple], most: int) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary(root, shards)
+        words = vocabulary(root, shards)
         for group in key_runs(batches, 1):
             part = group.column(0)[0].as_py()
-            name = f"pairs-{part:06d}-{uuid.uuid4().hex}"
+            name = f"counts-{part:07d}-{uuid.uuid4().hex}"
+            body, stats, several, kinds = count_shard(group.column(1).to_pylist(), words, most)
             with files.create(f"{root}/{name}") as f:
-                f.write(Trie.build(part << CONTEXT_BITS, group.column(1).to_numpy(), group.column(2).to_numpy(), discount, own))
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name])], names=["part", "file"])
+                f.write(body)
+            many = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([stats.tolist()], many), pa.array([several], many), pa.array([kinds], many)], names=["part", "file", "stats", "several", "kinds"])
 
-    parted = pairs.select(F.shiftright("pair", 32 + CONTEXT_BITS).alias("part"), "pair", "n").repartition("part").sortWithinPartitions("part", "pair")
-    parted.mapInArrow(run, "part long, file string").write.parquet(f"{root}/pairs")
+    pieces.repartition("part").sortWithinPartitions("part").mapInArrow(run, GRAMS).write.parquet(f"{root}/grams")
 
 
+@dataclass
 class Model:
-    """Handle of a written model: its folder and the names of its shards, which are few."""
-
-    def __init__(self, root: str, shards: list[tuple], tries: list[tuple]):
-        self.root, self.shards, self.tries = root, shards, tries
+    """Handle of a written model: its folder, the names of its files, and what is known of it as a whole."""
+
+    root: str
+    shards: list[tuple]
+    grams: dict[int, str]
+    codes: dict[int, str]
+    discounts: tuple[float, float]
+    #: Middle words with several shards, in order, and the number of their successors.
+    several: np.ndarray
+    kinds: np.ndarray
+    most: int
 
     @property
     def tokens(self) -> int:
-        return sum(s[3] for s in self.shards)
-
+        return sum(s[4] for s in self.shards)
 
-def train(docs: DataFrame, root: str, text: str = "text") -> Model:
-    spark = docs.sparkSession
-    files.make_folder(root)
-    write_vocabulary(word_counts(docs, text), root)
-    shards = [tuple(r) for r in spark.read.schema("part long, file string, words long, tokens long").parquet(f"{root}/words").collect()]
-    if not shards:
-        return Model(root, [], [])
-    counted = pair_counts(docs, text, root, shards)
-    counted.write.parquet(f"{root}/counts")
-    pairs = spark.read.schema("pair long, n long").parquet(f"{root}/counts")
-    once, twice = pairs.agg(F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))).first()
-    discount = min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.5))
-    write_trie(pairs, root, discount, shards)
-    return Model(root, shards, [tuple(r) for r in spark.read.schema("part long, file string").parquet(f"{root}/pairs").collect()])
 
+class Reader:
+    """A model, opened."""
 
-class Scorer:
     def __init__(self, model: Model):
-        self.words = vocabulary(model.root, model.shards)
-        self.tries = {part: Trie(files.mapped(f"{model.root}/{file}")) for part, file in model.tries}
-        self.end = int(self.words.look_up([END])[0])
-
-    def pairs(self, pairs: np.ndarray) -> np.ndarray:
-        context, to = pairs >> 32, pairs & 0xFFFFFFFF
-        out = self.words.log_unigram(to)
-        parts = context >> CONTEXT_BITS
-        for part in np.unique(parts):
-            if int(part) in self.tries:
-                own = np.flatnonzero(parts == part)
-                found, p, backoff = self.tries[int(part)].find(context[own], to[own])
-                out[own] = np.where(found, p, backoff + out[own])
+        self.model, self.words = model, vocabulary(model.root, model.shards)
+        self.opened: dict[int, tuple] = {}
+        gamma = model.discounts[0] * model.kinds / np.maximum(1, self.words.count_of(model.several))
+        self.several_backoff = quantise(np.log10(np.clip(gamma, 1e-300, 1)))
+
+    def open(self, part: int) -> tuple | None:
+        """(shard, codes of bigrams, of middle words, of contexts, of trigrams)"""
+        if part not in self.model.grams:
+            return None
+        if part not in self.opened:
+            if len(self.opened) >= OPEN:
+                self.opened.clear()
+            shard = Shard(files.mapped(f"{self.model.root}/{self.model.grams[part]}"))
+            parts = [np.zeros(0, "<u2")] * 4
+            if part in self.model.codes:
+                data = files.mapped(f"{self.model.root}/{self.model.codes[part]}").view("<u2")
+                ends = np.cumsum([shard.successors.n, shard.contexts, shard.befores.n, shard.ranks.n])
+                parts = [data[b - n : b] for b, n in zip(ends, np.diff(ends, prepend=0))]
+            self.opened[part] = (shard, *parts)
+        return self.opened[part]
+
+    def groups(self, parts: np.ndarray) -> Iterator[tuple[tuple, np.ndarray]]:
+        """Each shard that there is, with the rows that go to it."""
+        order = np.argsort(parts, kind="stable")
+        cuts = np.flatnonzero(np.diff(parts[order])) + 1
+        for own in np.split(order, cuts):
+            if len(own) and (shard := self.open(int(parts[own[0]]))):
+                yield shard, own
+
+    def bigram_counts(self, middle: np.ndarray, counts: np.ndarray, before: np.ndarray, to: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(to), np.int64)
+        for (shard, *_), own in self.groups(shard_of(before, counts, to, self.model.most)):
+            at, found = shard.bigram(middle[own], to[own])
+            out[own[found]] = Counts.load(shard.rest).bigrams[at[found]]
         return out
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def codes(self, part: int) -> bytes:
+        """Codes of a shard's bigrams, middle words, contexts and trigrams."""
+        shard, words, model = self.open(part)[0], self.words, self.model
+        d2, d3 = model.discounts
+        n = Counts.load(shard.rest)
+        middles = shard.first + np.arange(shard.contexts)
+        total = words.count_of(middles)
+        pointers = shard.pointers.get(np.arange(shard.contexts + 1))
+        kinds = np.diff(pointers)
+        place = np.minimum(np.searchsorted(model.several, middles), max(0, len(model.several) - 1))
+        several = model.several[place] == middles if len(model.several) else np.zeros(len(middles), bool)
+        kinds_all = np.where(several, model.kinds[place], kinds) if len(model.several) else kinds
+        gamma = np.where(kinds > 0, np.minimum(1, d2 * kinds_all / np.maximum(1, total)), 1.0)
+        of = np.repeat(np.arange(shard.contexts), kinds)
+        to = shard.successors.get(np.arange(shard.successors.n)) - of * shard.base
+        unigram = (words.count_of(to) + 1) / (words.tokens + words.size + 1)
+        count = n.bigrams
+        elsewhere = np.flatnonzero(count == 0)
+        if len(elsewhere):
+            before = shard_tokens_before(words, middles[of[elsewhere]])
+            count[elsewhere] = self.bigram_counts(middles[of[elsewhere]], total[of[elsewhere]], before, to[elsewhere])
+        p2 = np.maximum(count - d2, 0) / np.maximum(1, total[of]) + gamma[of] * unigram
+
+        before_pointers = shard.before_pointers.get(np.arange(shard.contexts + 1))
+        middle_of = np.repeat(np.arange(shard.contexts), np.diff(before_pointers))
+        starts = shard.starts.get(np.arange(shard.contexts))
+        flat = shard.ranks.get(np.arange(shard.ranks.n))
+        # Successors of a context begin where its own range does; ranges of different contexts don't overlap.
+        begin = starts[middle_of] + (np.arange(len(middle_of)) - before_pointers[middle_of]) * kinds[middle_of]
+        slot = np.searchsorted(begin, flat, "right") - 1
+        taken = np.bincount(slot, weights=n.trigrams - d3, minlength=len(begin))
+        rest = np.clip(1 - taken / np.maximum(1, n.contexts), 1e-9, 1)
+        p3 = (n.trigrams - d3) / n.contexts[slot] + rest[slot] * p2[pointers[middle_of[slot]] + flat - begin[slot]]
+        return b"".join(quantise(np.log10(np.maximum(x, 1e-300))).tobytes() for x in (p2, gamma, rest, p3))
+
+    def score_window(self, first: np.ndarray, last: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each token's unigram probability and of its probability after the two before."""
+        words, most = self.words, self.model.most
+        uni = words.log_unigram(own[1])
+        out = uni.copy()
+        known = np.flatnonzero(last[1] > 0)
+        middle, count, before = last[:, known]
+        to, ahead = own[0, known], first[0, known]
+        score = uni[known]
+        several, stored = count > most, np.zeros(len(known), bool)
+        for (shard, c2, g2, g3, c3), rows in self.groups(shard_of(before, count, to, most)):
+            at, found = shard.bigram(middle[rows], to[rows])
+            hit, miss = rows[found], rows[~found]
+            score[hit] = unpacked(c2[at[found]])
+            stored[hit] = True
+            c = middle[miss] - shard.first
+            inside = (c >= 0) & (c < shard.contexts)
+            score[miss[inside]] += unpacked(g2[c[inside]])
+            single = ~several[rows]
+            self._above(shard, g3, c3, rows[single], at[single], found[single], middle, ahead, score)
+        rows = np.flatnonzero(several)
+        if len(rows):
+            # A bigram that isn't stored has its middle word's own weight, whatever shard was asked.
+            missing = rows[~stored[rows]]
+            at = np.searchsorted(self.model.several, middle[missing])
+            score[missing] = uni[known[missing]] + unpacked(self.several_backoff[at])
+            for (shard, _, _, g3, c3), some in self.groups(shard_of(before[rows], count[rows], ahead[rows], most)):
+                some = rows[some]
+                at, found = shard.bigram(middle[some], to[some])
+                self._above(shard, g3, c3, some, at, found, middle, ahead, score)
+        out[known] = score
+        return uni, out
+
+    @staticmethod
+    def _above(shard: Shard, g3: np.ndarray, c3: np.ndarray, rows: np.ndarray, bigram: np.ndarray, has: np.ndarray, middle: np.ndarray, ahead: np.ndarray, score: np.ndarray) -> None:
+        """Put the trigram level on top of the scores of rows."""
+        if not len(rows) or not shard.befores.n:
+            return
+        context, found = shard.context(middle[rows], ahead[rows])
+        own = np.flatnonzero(found)
+        score[rows[own]] += unpacked(g3[context[own]])
+        own = own[has[own]]
+        at, found = shard.trigram(middle[rows[own]], context[own], bigram[own])
+        score[rows[own[found]]] = unpacked(c3[at[found]])
+
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """n_tokens, n_known, base score, score of each text."""
-        split = [tokens(x) for x in texts]
-        ids, lengths = self.words.ids(split), np.array([len(t) for t in split])
-        own = np.repeat(np.arange(len(split)), lengths)
-        pairs, at = np.unique(contexts(ids, lengths, self.end) << 32 | ids, return_inverse=True)
-        one, back = np.unique(ids, return_inverse=True)
-        total = lambda x: np.bincount(own, weights=x, minlength=len(split))
-        known = total((one < self.words.size)[back].astype(float)).astype(np.int64)
-        return lengths, known, total(self.words.log_unigram(one)[back]), total(self.pairs(pairs)[at])
+        windows = Windows(self.words, texts)
+        n = len(windows.lengths)
+        of = np.repeat(np.arange(n), windows.lengths)
+        sums = np.zeros((3, n))
+        for low, high, first, last, own in windows:
+            uni, full = self.score_window(first, last, own)
+            at = of[low:high]
+            for total, x in zip(sums, (own[1] > 0, uni, full)):
+                total += np.bincount(at, weights=x, minlength=n)
+        return windows.lengths, sums[0].astype(np.int64), sums[1], sums[2]
+
+
+def shard_tokens_before(words: Vocabulary, ids: np.ndarray) -> np.ndarray:
+    """Tokens of lesser ids than each."""
+    out = np.zeros(len(ids), np.int64)
+    k = np.searchsorted(words.first, ids, "right") - 1
+    for part in np.unique(k).tolist():
+        own = np.flatnonzero(k == part)
+        out[own] = words.before[part] + words.shard(part)[2][ids[own] - words.first[part]]
+    return out
+
+
+def reader(model: Model) -> Reader:
+    """The model as a worker keeps it; one with codes is another than one without."""
+    return held(f"lm {model.root}", len(model.codes), lambda: Reader(model))
+
+
+def write_codes(spark: SparkSession, model: Model) -> dict[int, str]:
+    """Second pass over the shards, when discounts and successors of all of them are known."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = reader(model)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                name = f"codes-{part:07d}-{uuid.uuid4().hex}"
+                with files.create(f"{model.root}/{name}") as f:
+                    f.write(own.codes(part))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name])], names=["part", "file"])
 
-_SCORERS: dict[str, Scorer] = {}
+    parts = spark.createDataFrame([(p,) for p in sorted(model.grams)], "part long").repartition(max(1, len(model.grams)), "part")
+    parts.mapInArrow(run, "part long, file string").write.parquet(f"{model.root}/codes")
+    return {r["part"]: r["file"] for r in spark.read.schema("part long, file string").parquet(f"{model.root}/codes").collect()}
 
 
-def scorer(model: Model) -> Scorer:
-    if model.root not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.root] = Scorer(model)
-    return _SCORERS[model.root]
+def train(docs: DataFrame, root: str, text: str = "text", most: int = SHARD_TOKENS) -> Model:
+    """The model of docs' texts, below the URI root."""
+    spark = docs.sparkSession
+    files.make_folder(root)
+    shards = write_vocabulary(docs, text, root)
+    none = np.zeros(0, np.int64)
+    if not shards:
+        return Model(root, [], {}, {}, (0.5, 0.5), none, none, most)
+    if sum(s[3] for s in shards) >= BIG:
+        raise ValueError("2**32 distinct words or more")
+    write_counts(grams(docs, text, root, shards, most), root, shards, most)
+    found = spark.read.schema(GRAMS).parquet(f"{root}/grams").collect()
+    once2, twice2, once3, twice3 = np.sum([r["stats"] for r in found], axis=0).tolist()
+    kinds: dict[int, int] = {}
+    for r in found:
+        for word, n in zip(r["several"], r["kinds"]):
+            kinds[word] = kinds.get(word, 0) + n
+    several = np.array(sorted(kinds), np.int64)
+    model = Model(root, shards, {r["part"]: r["file"] for r in found}, {}, (discount_of(once2, twice2), discount_of(once3, twice3)), several, np.array([kinds[w] for w in several.tolist()], np.int64), most)
+    model.codes = write_codes(spark, model)
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -328,11 +489,10 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", keep: tup
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scorer(model)
+        own = reader(model)
         for batch in batches:
-            for low in range(0, batch.num_rows, SCORED):
-                part = batch.slice(low, SCORED)
-                n, known, base, score = own.score(part.column(len(keep)).to_pylist())
+            for part in slices(batch, len(keep)):
+                n, known, base, score = own.score(part.column(len(keep)))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)], names=schema.names)
 
     return docs.select(*keep, text).mapInArrow(run, schema)

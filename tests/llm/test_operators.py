@@ -211,39 +211,108 @@ def test_media_lacing_and_damage():
     assert matroska.read_packets(media[:-300]) is None and matroska.read_packets(b"\x00\x01") is None and matroska.read_packets(None) is None
 
 
-def test_lm_equals_brute_force(spark, docs, none):
-    train = [x[1] for x in ROWS if x[0] != 3]
-    model = lm.train(spark.createDataFrame([(x,) for x in train], "text string"), scratch(spark, "test-lm"))
-    got = lm.score_documents(docs, model).collect()
-    tok = [lm.tokens(x) for x in train]
+def lm_tokens(text):
+    import re
+
+    return [*re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower()), b"\n"]
+
+
+def trigrams_of(t):
+    return zip([b"\n", b"\n", *t], [b"\n", *t], t)
+
+
+@pytest.mark.parametrize("most", [10**6, 500, 20])
+def test_lm_equals_brute_force(spark, docs, none, most, monkeypatch):
+    """Trigrams, with middle words of one shard and of several; windows that end inside texts."""
+    import pyarrow as pa
+
+    train = [x[1] for x in ROWS if x[0] != 3] + ["Word " * 60, BASE.upper()]
+    model = lm.train(spark.createDataFrame([(x,) for x in train], "text string"), scratch(spark, "test-lm"), most=most)
+    assert (len(model.several) > 0) == (most < 10**6)
+    tok = [lm_tokens(x) for x in train]
     c = Counter(w for t in tok for w in t)
     total, v = sum(c.values()), len(c)
     assert model.tokens == total
-    b = Counter(p for t in tok for p in zip([lm.END, *t], t))
-    after, kinds = Counter(), Counter()
-    for (p, _), n in b.items():
-        after[p] += n
-        kinds[p] += 1
-    once, twice = sum(n == 1 for n in b.values()), sum(n == 2 for n in b.values())
-    d = min(0.95, max(0.05, once / (once + 2 * twice)))
+    b = Counter((q, w) for t in tok for _, q, w in trigrams_of(t))
+    t3 = Counter(g for t in tok for g in trigrams_of(t))
+    kinds, taken, seen = Counter(q for q, _ in b), Counter(), Counter()
+    discount = lambda n: lm.discount_of(sum(x == 1 for x in n.values()), sum(x == 2 for x in n.values()))
+    d2, d3 = discount(b), discount(t3)
+    assert model.discounts == (d2, d3)
+    for (p, q, _), n in t3.items():
+        seen[p, q] += n
+        taken[p, q] += n - d3 if n >= lm.KEPT else 0
+
+    def chance(p, q, w):
+        p1 = (c[w] + 1) / (total + v + 1)
+        p2 = (max(b[q, w] - d2, 0) + min(c[q], d2 * kinds[q]) * p1) / c[q] if c[q] else p1
+        if not taken[p, q]:
+            return p1, p2
+        n = t3[p, q, w]
+        return p1, ((n - d3 if n >= lm.KEPT else 0) + (seen[p, q] - taken[p, q]) * p2) / seen[p, q]
+
+    asked = [*[(r[0], r[1]) for r in ROWS], (50, " ".join(BASE.split()[3:40]) + " unseen " + BASE[:50]), (51, "word word x word"), (52, "x" * 200_000 + " a")]
+    got = lm.score_documents(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()
     want = []
-    for i, x, *_ in ROWS:
-        t = lm.tokens(x)
-        base, score = 0.0, 0.0
-        for p, w in zip([lm.END, *t], t):
-            p1 = (c[w] + 1) / (total + v + 1)
-            base += math.log10(p1)
-            score += math.log10((max(b[p, w] - d, 0) + d * kinds[p] * p1) / after[p] if after[p] else p1)
-        want.append((i is None, i, len(t), base, score))
-    for g, w in zip(sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["n_tokens"])), sorted(want, key=lambda r: r[:3])):
-        assert (g["doc_id"], g["n_tokens"]) == w[1:3]
-        assert abs(g["base_score"] - w[3]) < 1e-6 * max(1, abs(w[3])) and abs(g["score"] - w[4]) < 4e-4 * w[2]
+    for i, x in asked:
+        each = [chance(*g) for g in trigrams_of(lm_tokens(x))]
+        known = sum(c[w] > 0 for w in lm_tokens(x))
+        want.append((i is None, i, len(each), known, sum(math.log10(a) for a, _ in each), sum(math.log10(a) for _, a in each)))
+    key = lambda r: (r[0], r[1] or 0, r[2])
+    for g, w in zip(sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"])), sorted(want, key=key)):
+        assert (g["doc_id"], g["n_tokens"], g["n_known"]) == w[1:4]
+        assert abs(g["base_score"] - w[4]) < 1e-6 * max(1, abs(w[4])) and abs(g["score"] - w[5]) < 4e-4 * w[2], (g, w)
+    texts, own = pa.array([x for _, x in asked], pa.string()), lm.Reader(model)
+    whole = own.score(texts)
+    monkeypatch.setattr(lm, "WINDOW", 7)
+    for x, y in zip(whole, own.score(texts)):
+        assert np.allclose(x, y, rtol=1e-12)
+    assert sorted(whole[3].round(9)) == sorted(round(g["score"], 9) for g in got)
+    assert lm.score_documents(docs, model).count() == len(ROWS) and lm.score_documents(none, model).count() == 0
+
+
+def test_lm_of_nothing(spark, docs, none):
     empty = lm.train(none.select("text"), scratch(spark, "test-lm"))
     assert empty.tokens == 0
     scored = lm.score_documents(docs, empty).collect()
     assert all(r["score"] == 0 and r["n_known"] == 0 for r in scored)
 
 
+def test_words_are_hashed_whole(monkeypatch):
+    """Blocks of 64 bytes: words across them, longer than them, and texts that end in them."""
+    import pyarrow as pa
+
+    from geoloom.llm import lm_words
+
+    monkeypatch.setattr(lm_words, "BLOCK", 64)
+    r = random.Random(1)
+    bits = ["a", "B", "c", " ", "  ", "\n", "é", "日", "Z" * 70, "x" * 200, "\x1c"]
+    seen = {}
+    for _ in range(200):
+        texts = [r.choice([None, "".join(r.choice(bits) for _ in range(r.randint(0, 40))), "q" * r.randint(0, 300)]) for _ in range(r.randint(0, 8))]
+        hashes, n = lm_words.token_hashes(pa.array(["zz", *texts], pa.string()).slice(1))
+        tokens = [lm_tokens(x) for x in texts]
+        assert n.tolist() == [len(t) for t in tokens]
+        for word, h in zip([w for t in tokens for w in t], hashes.tolist()):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_elias_fano():
+    from geoloom.llm.elias_fano import EliasFano
+
+    r = np.random.default_rng(0)
+    for n, most in ((0, 1), (1, 5), (1000, 1000), (5000, 10**12), (20_000, 10**9), (50, 3)):
+        v = np.sort(np.concatenate([r.integers(0, most, n), np.arange(most // 2, most // 2 + 3000) if most > 10**6 else np.zeros(0, np.int64)]))
+        e, _ = EliasFano.load(np.frombuffer(EliasFano.encode(v).dump(), np.uint8), 0)
+        if len(v):
+            i = r.integers(0, len(v), 3000)
+            assert (e.get(i) == v[i]).all()
+        asked = np.concatenate([r.integers(0, most + 10, 3000), v[:2000], r.integers(most // 2, most // 2 + 4000, 2000)])
+        at, equal = e.find(asked)
+        assert (at == np.searchsorted(v, asked)).all() and (equal == np.isin(asked, v)).all()
+
+
 def test_token_store(spark, docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
