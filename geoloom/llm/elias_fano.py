@@ -1,4 +1,4 @@
-"""Elias-Fano coded monotone sequences over memory-mapped bytes, with vectorised access."""
+"""Elias-Fano coded groups of increasing numbers over memory-mapped bytes, with vectorised look-ups."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ import numpy as np
 
 U64 = np.uint64
 ONE = U64(1)
-#: Every STEP-th set and clear bit has its word noted.
-STEP = 64
-#: Values of a run that are looked at one by one.
-LINEAR = 4
+#: Every STEP-th clear bit has its word noted.
+STEP = 32
 
 _BYTE = np.arange(256)
 #: Position of the k-th set bit of a byte, at 8 * byte + k.
@@ -32,134 +30,120 @@ def select_in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
     return whole.astype(np.int64) + IN_BYTE[(((words >> whole) & U64(255)) << U64(3) | k).astype(np.int64)]
 
 
-def noted(before: np.ndarray, total: int) -> np.ndarray:
-    """The word that holds every STEP-th bit, from the count before each word."""
-    return (np.searchsorted(before, np.arange(0, max(total, 1), STEP), "right") - 1).astype("<u4")
-
-
 class EliasFano:
-    """n non-decreasing values: low bits packed, high bits in unary with counts by word."""
+    """Groups of increasing numbers, each group below a universe of its own.
+
+    A group of n numbers below u keeps the low floor(log2(u / n)) bits of each
+    packed and the rest in unary, after those of the groups before it; monotone
+    pointers tell where its numbers, its unary part and its low bits begin. So
+    each group is as dense as any other, and a successor search looks at one or
+    two numbers.
+    """
 
-    def __init__(self, n: int, low_bits: int, lows: np.ndarray, highs: np.ndarray, before: np.ndarray, ones: np.ndarray, clear: np.ndarray):
-        self.n, self.low_bits, self.lows, self.highs, self.before, self.ones, self.clear = n, low_bits, lows, highs, before, ones, clear
-        self.zeros = len(highs) * 64 - n
+    def __init__(self, n: int, pointers: np.ndarray, high_at: np.ndarray, low_at: np.ndarray, low_bits: np.ndarray, lows: np.ndarray, highs: np.ndarray, before: np.ndarray, notes: np.ndarray):
+        self.n, self.pointers, self.high_at, self.low_at, self.low_bits = n, pointers, high_at, low_at, low_bits
+        self.lows, self.highs, self.before, self.notes = lows, highs, before, notes
 
     @classmethod
-    def encode(cls, values: np.ndarray) -> EliasFano:
-        values = values.astype(np.uint64)
-        n = len(values)
-        top = int(values[-1]) + 1 if n else 1
-        low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
-        lows = pack(values & U64((1 << low_bits) - 1), low_bits)
-        at = (values >> U64(low_bits)).astype(np.int64) + np.arange(n)
-        bits = np.zeros(-(-(int(at[-1]) + 2 if n else 1) // 64) * 64, np.uint8)
-        bits[at] = 1
-        highs = np.packbits(bits, bitorder="little").view("<u8")
-        if len(highs) >> 26:
+    def encode(cls, values: np.ndarray, sizes: np.ndarray, universe: np.ndarray) -> EliasFano:
+        """values: increasing within each group; sizes and universe: of each group."""
+        n, sizes, universe = len(values), sizes.astype(np.int64), universe.astype(np.int64)
+        low_bits = np.maximum(0, np.frexp((universe // np.maximum(sizes, 1)).astype(np.float64))[1] - 1)
+        before = lambda x: np.concatenate([[0], np.cumsum(x)])
+        pointers, low_at = before(sizes), before(sizes * low_bits)
+        high_at = before(np.where(sizes > 0, (universe >> low_bits) + 1, 0))
+        if max(low_at[-1], high_at[-1] + n) >> 32:
             raise ValueError("over 2**32 bits in one sequence")
-        before = np.concatenate([[0], np.cumsum(np.bitwise_count(highs), dtype=np.int64)[:-1]])
-        zeros = np.arange(len(highs), dtype=np.int64) * 64 - before
-        return cls(n, low_bits, lows, highs, before.astype("<u4"), noted(before, n), noted(zeros, len(highs) * 64 - n))
-
-    def word_of(self, k: np.ndarray, ones: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The word that holds the k-th set (or clear) bit, and how many there are before that word."""
-        at = (self.ones if ones else self.clear)[k // STEP].astype(np.int64)
-        count = lambda w: self.before[w].astype(np.int64) if ones else (w << 6) - self.before[w]
-        todo = np.arange(len(k))
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        own, rank = low_bits[group], np.arange(n) - pointers[group]
+        lows = pack(values & ((1 << own) - 1), own, low_at[group] + rank * own, int(low_at[-1]))
+        bits = np.zeros(-(-(int(high_at[-1]) + n + 1) // 64) * 64, np.uint8)
+        bits[high_at[group] + (values >> own) + np.arange(n)] = 1
+        highs = np.packbits(bits, bitorder="little").view("<u8")
+        ones = before(np.bitwise_count(highs).astype(np.int64))
+        clear = np.arange(len(ones)) * 64 - ones
+        notes = np.minimum(np.searchsorted(clear, np.arange(0, int(clear[-1]), STEP), "right") - 1, len(highs) - 1)
+        return cls(n, *[x.astype("<u4") for x in (pointers, high_at, low_at)], low_bits.astype(np.uint8), lows, highs, ones.astype("<u4"), notes.astype("<u4"))
+
+    def start(self, high: np.ndarray) -> np.ndarray:
+        """How many numbers have a lesser unary part: those before its last clear bit."""
+        k = np.maximum(high - 1, 0)
+        at = self.notes[k // STEP].astype(np.int64)
+        for _ in range(2):
+            at += ((at + 1) << 6) - self.before[at + 1] <= k
+        todo = np.flatnonzero(((at + 1) << 6) - self.before[at + 1] <= k)
         while len(todo):
-            nxt = at[todo] + 1
-            go = (nxt < len(self.highs)) & (count(np.minimum(nxt, len(self.highs) - 1)) <= k[todo])
-            todo = todo[go]
             at[todo] += 1
-        return at, count(at)
-
-    def low(self, i: np.ndarray) -> np.ndarray:
-        return unpack(self.lows, self.low_bits, i)
-
-    def get(self, i: np.ndarray) -> np.ndarray:
-        word, before = self.word_of(i, True)
-        at = word * 64 + select_in_word(self.highs[word], i - before)
-        return ((at - i) << self.low_bits) | self.low(i).astype(np.int64)
-
-    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the first value that is no less than each of `value` (the successor; n if there is none), and whether it is equal."""
-        high, low = value >> self.low_bits, (value & ((1 << self.low_bits) - 1)).astype(np.uint64)
-        past = high >= self.zeros
-        index = np.where(past, self.n, self.start(np.minimum(high, self.zeros)))
+            todo = todo[((at[todo] + 1) << 6) - self.before[at[todo] + 1] <= k[todo]]
+        bit = (at << 6) + select_in_word(~self.highs[at], k - ((at << 6) - self.before[at]))
+        return np.where(high > 0, bit + 1 - high, 0)
+
+    def find(self, group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first number of the group that is no less than each value, and whether it is equal."""
+        low_bits = self.low_bits[group].astype(np.int64)
+        high = self.high_at[group] + (value >> low_bits)
+        low = value & ((1 << low_bits) - 1)
+        low_at = self.low_at[group] - self.pointers[group].astype(np.int64) * low_bits
+        index = np.where(self.pointers[group] < self.pointers[group + 1], self.start(high), self.pointers[group])
         equal = np.zeros(len(value), bool)
-        todo = np.flatnonzero(index < self.n)
-        # Along the unary run of the value's high part, while the low parts are less.
-        for _ in range(LINEAR):
-            bit = index[todo] + high[todo]
+        todo = np.flatnonzero(self.pointers[group] < self.pointers[group + 1])
+        while len(todo):
+            at, bits = index[todo], low_bits[todo]
+            bit = at + high[todo]
             inside = (self.highs[bit >> 6] >> (bit & 63).astype(np.uint64)) & ONE == ONE
-            todo = todo[inside]
-            if not len(todo):
-                return index, equal
-            own = self.low(index[todo])
-            equal[todo[own == low[todo]]] = True
-            todo = todo[own < low[todo]]
+            own = np.where(inside, unpack(self.lows, bits, np.where(inside, low_at[todo] + at * bits, 0)), np.int64(1) << 62)
+            mine = low[todo]
+            equal[todo] = own == mine
+            todo = todo[own < mine]
             index[todo] += 1
-            todo = todo[index[todo] < self.n]
-        # Long runs by halving.
-        end = self.start(np.minimum(high[todo] + 1, self.zeros))
-        first, last, low = index[todo], end.copy(), low[todo]
-        left = np.flatnonzero(first < last)
-        while len(left):
-            mid = (first[left] + last[left]) >> 1
-            less = self.low(mid) < low[left]
-            first[left] = np.where(less, mid + 1, first[left])
-            last[left] = np.where(less, last[left], mid)
-            left = left[first[left] < last[left]]
-        index[todo] = first
-        at = np.flatnonzero(first < end)
-        equal[todo[at]] = self.low(first[at]) == low[at]
         return index, equal
 
-    def start(self, high: np.ndarray) -> np.ndarray:
-        """Number of values whose high part is below `high`."""
-        k = np.clip(high - 1, 0, self.zeros - 1)
-        word, before = self.word_of(k, False)
-        at = word * 64 + select_in_word(~self.highs[word], k - before) + 1
-        return np.where(high > 0, np.minimum(at - high, self.n), 0)
+    def values(self) -> tuple[np.ndarray, np.ndarray]:
+        """Group and value of every number."""
+        group = np.repeat(np.arange(len(self.low_bits)), np.diff(self.pointers))
+        bits = self.low_bits[group].astype(np.int64)
+        at = np.flatnonzero(np.unpackbits(self.highs.view(np.uint8), bitorder="little"))
+        high = at - np.arange(self.n) - self.high_at[group]
+        rank = np.arange(self.n) - self.pointers[group]
+        return group, high << bits | unpack(self.lows, bits, self.low_at[group] + rank * bits)
 
     def dump(self) -> bytes:
         """In whole 8-byte words."""
-        notes = np.concatenate([self.before, self.ones, self.clear]).astype("<u4")
-        head = np.array([self.n, self.low_bits, len(self.lows), len(self.highs), len(self.ones), len(self.clear)], "<u8")
-        return b"".join([head.tobytes(), self.lows.astype("<u8").tobytes(), self.highs.astype("<u8").tobytes(), notes.tobytes(), bytes(len(notes) % 2 * 4)])
+        small = np.concatenate([self.pointers, self.high_at, self.low_at, self.before, self.notes]).astype("<u4").tobytes() + self.low_bits.tobytes()
+        head = np.array([self.n, len(self.low_bits), len(self.lows), len(self.highs), len(self.notes)], "<u8")
+        return b"".join([head.tobytes(), self.lows.astype("<u8").tobytes(), self.highs.astype("<u8").tobytes(), small, bytes(-len(small) % 8)])
 
     @classmethod
     def load(cls, data: np.ndarray, at: int) -> tuple[EliasFano, int]:
         """Views of the bytes from `at` on, and where they end."""
-        n, low_bits, *sizes = map(int, data[at : at + 48].view("<u8"))
-        at += 48
-        parts = []
-        for size, kind in zip((sizes[0], sizes[1], sizes[1], *sizes[2:]), ("<u8", "<u8", "<u4", "<u4", "<u4")):
+        n, groups, lows, highs, notes = map(int, data[at : at + 40].view("<u8"))
+        at, parts = at + 40, []
+        for size, kind in ((lows, "<u8"), (highs, "<u8"), *[(groups + 1, "<u4")] * 3, (highs + 1, "<u4"), (notes, "<u4"), (groups, "<u1")):
             parts.append(data[at : at + size * int(kind[2])].view(kind))
             at += size * int(kind[2])
-        return cls(n, low_bits, *parts), -(-at // 8) * 8
+        low, high, pointers, high_at, low_at, before, noted, bits = parts
+        return cls(n, pointers, high_at, low_at, bits, low, high, before, noted), -(-at // 8) * 8
 
 
-def pack(values: np.ndarray, width: int) -> np.ndarray:
-    """Fixed-width integers in 64-bit words, with a word to spare."""
-    words = np.zeros(-(-len(values) * width // 64) + 1, np.uint64)
-    if width and len(values):
-        at = np.arange(len(values), dtype=np.int64) * width
+def pack(values: np.ndarray, widths: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers of given widths at increasing bit positions, in 64-bit words with one to spare."""
+    words = np.zeros(-(-bits // 64) + 1, np.uint64)
+    some = np.flatnonzero(widths > 0)
+    if len(some):
+        values, widths, at = values[some].astype(np.uint64), widths[some], at[some]
         word, shift = at >> 6, (at & 63).astype(np.uint64)
         # Values don't overlap, so the parts that meet in a word can be added up.
         start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         words[word[start]] = np.add.reduceat(values << shift, start)
-        over = (at & 63) + width > 64
+        over = (at & 63) + widths > 64
         words[word[over] + 1] += values[over] >> (U64(64) - shift[over])
     return words
 
 
-def unpack(words: np.ndarray, width: int, i: np.ndarray) -> np.ndarray:
-    if not width:
-        return np.zeros(len(i), np.uint64)
-    at = i.astype(np.int64) * width
-    word, shift = at >> 6, (at & 63).astype(np.uint64)
-    out = words[word] >> shift
-    over = np.flatnonzero((at & 63) + width > 64)
-    out[over] |= words[word[over] + 1] << (U64(64) - shift[over])
-    return out & U64((1 << width) - 1)
+def unpack(words: np.ndarray, widths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers of given widths (below 63) at bit positions."""
+    word, shift = at >> 6, at & 63
+    out = words[word] >> shift.astype(np.uint64)
+    over = np.flatnonzero(shift + widths > 64)
+    out[over] |= words[word[over] + 1] << (64 - shift[over]).astype(np.uint64)
+    return out.astype(np.int64) & ((1 << widths) - 1)

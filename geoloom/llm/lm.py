@@ -9,8 +9,8 @@ The trie is read from the nearest word outwards. A shard covers a range of
 middle words, with three levels: a middle word's successors (bigrams), the words
 seen before it (contexts of kept trigrams) and, for each such context, its
 successors as ranks among the successors of the middle word, which take few bits.
-Each level is one Elias-Fano sequence of parent-relative numbers, delimited by
-monotone pointers, and a look-up is a successor search. Log probabilities and
+Each level is Elias-Fano coded in groups by parent, delimited by monotone
+pointers, and a look-up is a successor search in the parent's group. Log probabilities and
 backoff weights are 16-bit codes. All files are mapped into memory, so what a
 worker holds doesn't grow with the model where the shared folder is mounted;
 elsewhere it reads the shards whole.
@@ -161,41 +161,36 @@ def grams(docs: DataFrame, text: str, root: str, shards: list[tuple], most: int)
 
 
 class Shard:
-    """Structure of a shard: three levels of Elias-Fano sequences, then counts of the n-grams or, in a finished one, their codes."""
+    """Structure of a shard: three levels of Elias-Fano groups, then counts of the n-grams.
+
+    successors: by middle word, the words after it; befores: by middle word, the
+    words before it that are contexts; ranks: by context, ranks of its successors
+    among those of its middle word.
+    """
 
     def __init__(self, data: np.ndarray):
-        self.first, self.contexts, self.base, n, at = *map(int, data[:32].view("<i8")), 32
-        sequences = []
-        for _ in range(6):
-            one, at = EliasFano.load(data, at)
-            sequences.append(one)
-        self.pointers, self.successors, self.befores, self.before_pointers, self.starts, self.ranks = sequences
-        self.rest = data[at : at + n]
+        self.first, self.contexts, at = *map(int, data[:16].view("<i8")), 16
+        self.successors, at = EliasFano.load(data, at)
+        self.befores, at = EliasFano.load(data, at)
+        self.ranks, at = EliasFano.load(data, at)
+        self.rest = data[at:]
 
     @staticmethod
-    def dump(first: int, base: int, contexts: int, sequences: list[np.ndarray], rest: bytes) -> bytes:
-        head = np.array([first, contexts, base, len(rest)], "<i8").tobytes()
-        return head + b"".join(EliasFano.encode(x).dump() for x in sequences) + rest
-
-    def bigram(self, middle: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of each bigram, and whether it is stored."""
-        c = middle - self.first
-        inside = (c >= 0) & (c < self.contexts)
-        at, found = self.successors.find(np.where(inside, c, 0) * self.base + to)
-        return at, found & inside
+    def dump(first: int, contexts: int, levels: list[EliasFano], rest: bytes) -> bytes:
+        return np.array([first, contexts], "<i8").tobytes() + b"".join(x.dump() for x in levels) + rest
 
-    def context(self, middle: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, level: EliasFano, middle: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index at the level of each pair, and whether it is stored."""
         c = middle - self.first
         inside = (c >= 0) & (c < self.contexts)
-        at, found = self.befores.find(np.where(inside, c, 0) * self.base + before)
-        return at, found & inside
+        if not inside.all():
+            at, found = level.find(np.where(inside, c, 0), word)
+            return at, found & inside
+        return level.find(c, word)
 
     def trigram(self, middle: np.ndarray, context: np.ndarray, bigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the trigram of a stored context and a stored bigram of one middle word: a rank among its successors."""
-        c = middle - self.first
-        low = self.pointers.get(c)
-        kinds = self.pointers.get(c + 1) - low
-        return self.ranks.find(self.starts.get(c) + (context - self.before_pointers.get(c)) * kinds + bigram - low)
+        """Index of the trigram of a stored context and a stored bigram of one middle word."""
+        return self.ranks.find(context, bigram - self.successors.pointers[middle - self.first])
 
 
 @dataclass
@@ -227,7 +222,7 @@ def count_shard(pieces: list[bytes], words: Vocabulary, most: int) -> tuple[byte
     rows = np.concatenate([np.frombuffer(x, "<u4").reshape(4, -1) for x in pieces], axis=1).astype(np.int64)
     first = int(rows[0].min())
     middle, n = rows[0] - first, rows[3]
-    size, base = int(middle.max()) + 1, words.size + 1
+    size = int(middle.max()) + 1
     pairs, pair = np.unique(middle << 32 | rows[1], return_inverse=True)
     tri = rows[2] != BIG
     context_of = pairs >> 32
@@ -245,16 +240,16 @@ def count_shard(pieces: list[bytes], words: Vocabulary, most: int) -> tuple[byte
     contexts, seen = contexts[used], seen[used]
     middle_of = contexts >> 32
     kinds = np.bincount(context_of, minlength=size)
-    pointers = np.concatenate([[0], np.cumsum(kinds)])
-    befores = np.bincount(middle_of, minlength=size)
-    before_pointers = np.concatenate([[0], np.cumsum(befores)])
-    starts = np.concatenate([[0], np.cumsum(befores * kinds)])
-    m = middle_of[slot]
-    ranks = starts[m] + (slot - before_pointers[m]) * kinds[m] + (triples[kept] & BIG) - pointers[m]
-    sequences = [pointers, context_of * base + (pairs & BIG), middle_of * base + (contexts & BIG), before_pointers, starts, ranks]
+    pointers = np.cumsum(kinds) - kinds
+    whole = np.full(size, words.size + 1)
+    levels = [
+        EliasFano.encode(pairs & BIG, kinds, whole),
+        EliasFano.encode(contexts & BIG, np.bincount(middle_of, minlength=size), whole),
+        EliasFano.encode((triples[kept] & BIG) - pointers[middle_of[slot]], np.bincount(slot, minlength=len(contexts)), kinds[middle_of]),
+    ]
     own = np.flatnonzero(several)
     mine = np.bincount(context_of[bigrams > 0], minlength=size)[own]
-    body = Shard.dump(first, base, size, sequences, Counts(bigrams, seen, trigrams[kept]).dump())
+    body = Shard.dump(first, size, levels, Counts(bigrams, seen, trigrams[kept]).dump())
     return body, stats, (first + own).tolist(), mine.tolist()
 
 
@@ -331,7 +326,7 @@ class Reader:
     def bigram_counts(self, middle: np.ndarray, counts: np.ndarray, before: np.ndarray, to: np.ndarray) -> np.ndarray:
         out = np.zeros(len(to), np.int64)
         for (shard, *_), own in self.groups(shard_of(before, counts, to, self.model.most)):
-            at, found = shard.bigram(middle[own], to[own])
+            at, found = shard.find(shard.successors, middle[own], to[own])
             out[own[found]] = Counts.load(shard.rest).bigrams[at[found]]
         return out
 
@@ -342,14 +337,13 @@ class Reader:
         n = Counts.load(shard.rest)
         middles = shard.first + np.arange(shard.contexts)
         total = words.count_of(middles)
-        pointers = shard.pointers.get(np.arange(shard.contexts + 1))
+        pointers = shard.successors.pointers.astype(np.int64)
         kinds = np.diff(pointers)
         place = np.minimum(np.searchsorted(model.several, middles), max(0, len(model.several) - 1))
         several = model.several[place] == middles if len(model.several) else np.zeros(len(middles), bool)
         kinds_all = np.where(several, model.kinds[place], kinds) if len(model.several) else kinds
         gamma = np.where(kinds > 0, np.minimum(1, d2 * kinds_all / np.maximum(1, total)), 1.0)
-        of = np.repeat(np.arange(shard.contexts), kinds)
-        to = shard.successors.get(np.arange(shard.successors.n)) - of * shard.base
+        of, to = shard.successors.values()
         unigram = (words.count_of(to) + 1) / (words.tokens + words.size + 1)
         count = n.bigrams
         elsewhere = np.flatnonzero(count == 0)
@@ -358,16 +352,11 @@ class Reader:
             count[elsewhere] = self.bigram_counts(middles[of[elsewhere]], total[of[elsewhere]], before, to[elsewhere])
         p2 = np.maximum(count - d2, 0) / np.maximum(1, total[of]) + gamma[of] * unigram
 
-        before_pointers = shard.before_pointers.get(np.arange(shard.contexts + 1))
-        middle_of = np.repeat(np.arange(shard.contexts), np.diff(before_pointers))
-        starts = shard.starts.get(np.arange(shard.contexts))
-        flat = shard.ranks.get(np.arange(shard.ranks.n))
-        # Successors of a context begin where its own range does; ranges of different contexts don't overlap.
-        begin = starts[middle_of] + (np.arange(len(middle_of)) - before_pointers[middle_of]) * kinds[middle_of]
-        slot = np.searchsorted(begin, flat, "right") - 1
-        taken = np.bincount(slot, weights=n.trigrams - d3, minlength=len(begin))
+        middle_of = shard.befores.values()[0]
+        slot, rank = shard.ranks.values()
+        taken = np.bincount(slot, weights=n.trigrams - d3, minlength=len(middle_of))
         rest = np.clip(1 - taken / np.maximum(1, n.contexts), 1e-9, 1)
-        p3 = (n.trigrams - d3) / n.contexts[slot] + rest[slot] * p2[pointers[middle_of[slot]] + flat - begin[slot]]
+        p3 = (n.trigrams - d3) / n.contexts[slot] + rest[slot] * p2[pointers[middle_of[slot]] + rank]
         return b"".join(quantise(np.log10(np.maximum(x, 1e-300))).tobytes() for x in (p2, gamma, rest, p3))
 
     def score_window(self, first: np.ndarray, last: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -381,7 +370,7 @@ class Reader:
         score = uni[known]
         several, stored = count > most, np.zeros(len(known), bool)
         for (shard, c2, g2, g3, c3), rows in self.groups(shard_of(before, count, to, most)):
-            at, found = shard.bigram(middle[rows], to[rows])
+            at, found = shard.find(shard.successors, middle[rows], to[rows])
             hit, miss = rows[found], rows[~found]
             score[hit] = unpacked(c2[at[found]])
             stored[hit] = True
@@ -398,7 +387,7 @@ class Reader:
             score[missing] = uni[known[missing]] + unpacked(self.several_backoff[at])
             for (shard, _, _, g3, c3), some in self.groups(shard_of(before[rows], count[rows], ahead[rows], most)):
                 some = rows[some]
-                at, found = shard.bigram(middle[some], to[some])
+                at, found = shard.find(shard.successors, middle[some], to[some])
                 self._above(shard, g3, c3, some, at, found, middle, ahead, score)
         out[known] = score
         return uni, out
@@ -408,7 +397,7 @@ class Reader:
         """Put the trigram level on top of the scores of rows."""
         if not len(rows) or not shard.befores.n:
             return
-        context, found = shard.context(middle[rows], ahead[rows])
+        context, found = shard.find(shard.befores, middle[rows], ahead[rows])
         own = np.flatnonzero(found)
         score[rows[own]] += unpacked(g3[context[own]])
         own = own[has[own]]

@@ -299,18 +299,22 @@ def test_words_are_hashed_whole(monkeypatch):
 
 
 def test_elias_fano():
+    """Groups that are empty, full, of one, dense beside sparse."""
     from geoloom.llm.elias_fano import EliasFano
 
     r = np.random.default_rng(0)
-    for n, most in ((0, 1), (1, 5), (1000, 1000), (5000, 10**12), (20_000, 10**9), (50, 3)):
-        v = np.sort(np.concatenate([r.integers(0, most, n), np.arange(most // 2, most // 2 + 3000) if most > 10**6 else np.zeros(0, np.int64)]))
-        e, _ = EliasFano.load(np.frombuffer(EliasFano.encode(v).dump(), np.uint8), 0)
-        if len(v):
-            i = r.integers(0, len(v), 3000)
-            assert (e.get(i) == v[i]).all()
-        asked = np.concatenate([r.integers(0, most + 10, 3000), v[:2000], r.integers(most // 2, most // 2 + 4000, 2000)])
-        at, equal = e.find(asked)
-        assert (at == np.searchsorted(v, asked)).all() and (equal == np.isin(asked, v)).all()
+    for sizes, universe in (([], []), ([0], [5]), ([3, 0, 1, 4], [3, 9, 1, 10**9]), ([5000, 2, 700, 0, 3000, 64], [10**12, 10**6, 700, 1, 10**5, 65])):
+        groups = [np.sort(r.permutation(u)[:n]) if u < 10**7 else np.unique(r.integers(0, u, n)) for n, u in zip(sizes, universe)]
+        sizes, values = np.array([len(g) for g in groups], np.int64), np.concatenate([np.zeros(0, np.int64), *groups])
+        e, end = EliasFano.load(np.frombuffer(b"\0" * 8 + EliasFano.encode(values, sizes, np.array(universe, np.int64)).dump(), np.uint8), 8)
+        assert end % 8 == 0
+        own, back = e.values()
+        assert (back == values).all() and (own == np.repeat(np.arange(len(sizes)), sizes)).all()
+        first = np.cumsum(sizes) - sizes
+        for k, (g, u) in enumerate(zip(groups, universe)):
+            asked = np.concatenate([r.integers(0, u, 2000), g])
+            at, equal = e.find(np.full(len(asked), k), asked)
+            assert (at - first[k] == np.searchsorted(g, asked)).all() and (equal == np.isin(asked, g)).all()
 
 
 def test_token_store(spark, docs, none):
