@@ -4,6 +4,10 @@ The writer stores a payload as 8-bit PCM samples in one audio track: blocks of
 laced frames inside clusters, with a cue for each cluster. The reader walks EBML
 elements of any size and order, undoes Xiph, EBML and fixed-size lacing, and
 gives a packet table: track, timestamp, key flag and byte range of each frame.
+The frames of a laced block follow each other by the track's frame duration, or
+by equal parts of the block's where only that is known. A block of a group is a
+key block unless it refers to another. A range of time is read from the cluster
+that the cues name.
 One row is one file, and files are handled one at a time, so memory is bounded
 by the longest text.
 
@@ -30,7 +34,7 @@ from geoloom.llm.common import table
 EBML, DOC_TYPE, SEGMENT, INFO, TRACKS, TRACK, CLUSTER, CUES = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0x1F43B675, 0x1C53BB6B
 TIMESTAMP_SCALE, DURATION, MUXER, WRITER = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, AUDIO, FREQUENCY, CHANNELS, BIT_DEPTH, LACING = 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264, 0x9C
-CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE, BLOCK_DURATION, FRAME_NS = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB, 0x9B, 0x23E383
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {SEGMENT, CLUSTER, BLOCK_GROUP, TRACKS, TRACK, INFO, AUDIO, CUES, CUE_POINT, CUE_POSITIONS}
 TOP = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
@@ -85,7 +89,7 @@ def mux(payload: bytes, frame: int = FRAME, per_block: int = LACE, per_cluster:
     frames = [payload[i : i + frame] for i in range(0, len(payload), frame)]
     info = element(INFO, number(TIMESTAMP_SCALE, SCALE_NS) + element(DURATION, struct.pack(">d", len(payload))) + element(MUXER, b"geoloom") + element(WRITER, b"geoloom"))
     audio = element(AUDIO, element(FREQUENCY, struct.pack(">d", RATE)) + number(CHANNELS, 1) + number(BIT_DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + number(LACING, 1) + element(CODEC, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + number(LACING, 1) + number(FRAME_NS, frame * 1_000_000_000 // RATE) + element(CODEC, b"A_PCM/INT/LIT") + audio))
     body, cues, at = [info, tracks], [], len(info) + len(tracks)
     for low in range(0, len(frames), per_block * per_cluster):
         blocks = []
@@ -102,7 +106,7 @@ def mux(payload: bytes, frame: int = FRAME, per_block: int = LACE, per_cluster:
 
 @dataclass
 class Media:
-    """What a file holds. packets: (track, timestamp in ns, key, offset, size)."""
+    """What a file holds. packets: (track, timestamp in ns, key, offset, size); cues: (time in ns, track, offset of the cluster)."""
 
     scale: int = 1_000_000
     duration: float = 0.0
@@ -189,13 +193,9 @@ def unlace(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     return out
 
 
-def parse(data: bytes) -> Media:
-    """Raises Damaged where the bytes are not a well-formed file."""
-    media, segment = Media(), None
-    for name, at, end in elements(data, 0, len(data)):
-        if name == SEGMENT:
-            segment = (at, end)
-            break
+def top_level(data: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """(id, offset in the segment, start of body, end of body) of the segment's elements."""
+    segment = next(((at, end) for name, at, end in elements(data, 0, len(data)) if name == SEGMENT), None)
     if segment is None:
         raise Damaged("no segment")
     at, end = segment
@@ -206,9 +206,21 @@ def parse(data: bytes) -> Media:
         stop = (cluster_end(data, at, end) if name == CLUSTER else end) if n < 0 else at + n
         if stop > end:
             raise Damaged("an element is longer than its parent")
+        yield name, start - segment[0], at, stop
+        at = stop
+
+
+def parse(data: bytes, low_ns: int | None = None, high_ns: int | None = None) -> Media:
+    """Raises Damaged where the bytes are not a well-formed file.
+
+    With a range of time, clusters before the last cue at or before it and those
+    that begin after it are skipped, and only packets that begin in it are given.
+    """
+    media, clusters = Media(), []
+    for name, start, at, stop in top_level(data):
         if name == CLUSTER:
-            media.clusters.append(start - segment[0])
-            read_cluster(data, at, stop, media)
+            media.clusters.append(start)
+            clusters.append((at, stop))
         elif name == INFO:
             for k, a, b in elements(data, at, stop):
                 if k == TIMESTAMP_SCALE:
@@ -223,7 +235,16 @@ def parse(data: bytes) -> Media:
             for k, a, b in elements(data, at, stop):
                 if k == CUE_POINT:
                     read_cue(data, a, b, media)
-        at = stop
+    media.cues = [(time * media.scale, track, at) for time, track, at in media.cues]
+    steps = {t.get("number"): t["frame_ns"] for t in media.tracks if t.get("frame_ns")}
+    from_ = max((at for time, _, at in media.cues if low_ns is not None and time <= low_ns), default=0)
+    for start, (at, stop) in zip(media.clusters, clusters):
+        if start >= from_:
+            if not read_cluster(data, at, stop, media, steps, high_ns):
+                break
+    if low_ns is not None or high_ns is not None:
+        inside = lambda t: (low_ns is None or t >= low_ns) and (high_ns is None or t < high_ns)
+        media.packets = [p for p in media.packets if inside(p[1])]
     return media
 
 
@@ -232,6 +253,8 @@ def read_track(data: bytes, at: int, end: int) -> dict:
     for k, a, b in elements(data, at, end):
         if k in (TRACK_NUMBER, TRACK_TYPE):
             out["number" if k == TRACK_NUMBER else "type"] = int.from_bytes(data[a:b], "big")
+        elif k == FRAME_NS:
+            out["frame_ns"] = int.from_bytes(data[a:b], "big")
         elif k == CODEC:
             out["codec"] = data[a:b].decode("ascii", "replace")
         elif k == AUDIO:
@@ -253,27 +276,35 @@ def read_cue(data: bytes, at: int, end: int, media: Media) -> None:
             media.cues.append((time, own.get(CUE_TRACK, 0), own.get(CUE_CLUSTER, -1)))
 
 
-def read_cluster(data: bytes, at: int, end: int, media: Media) -> None:
+def read_cluster(data: bytes, at: int, end: int, media: Media, steps: dict[int, int], high_ns: int | None = None) -> bool:
+    """Add a cluster's packets; False, and none, where it begins at high_ns or after."""
     base = 0
     for k, a, b in elements(data, at, end):
         if k == CLUSTER_TIME:
             base = int.from_bytes(data[a:b], "big")
+            if high_ns is not None and base * media.scale >= high_ns:
+                return False
         elif k == SIMPLE_BLOCK:
-            read_block(data, a, b, base, media, True)
+            read_block(data, a, b, base, media, steps, None, 0)
         elif k == BLOCK_GROUP:
-            for j, c, d in elements(data, a, b):
-                if j == BLOCK:
-                    read_block(data, c, d, base, media, False)
+            own = {j: (c, d) for j, c, d in elements(data, a, b)}
+            long = own.get(BLOCK_DURATION, (0, 0))
+            if BLOCK in own:
+                read_block(data, *own[BLOCK], base, media, steps, REFERENCE not in own, int.from_bytes(data[long[0] : long[1]], "big"))
+    return True
 
 
-def read_block(data: bytes, at: int, end: int, base: int, media: Media, simple: bool) -> None:
+def read_block(data: bytes, at: int, end: int, base: int, media: Media, steps: dict[int, int], key: bool | None, duration: int) -> None:
+    """key: None where the block's own flag tells."""
     track, at = read_size(data, at)
     if at + 3 > end:
         raise Damaged("cut off")
-    time, flags = base + struct.unpack(">h", data[at : at + 2])[0], data[at + 2]
+    time, flags = (base + struct.unpack(">h", data[at : at + 2])[0]) * media.scale, data[at + 2]
     media.blocks += 1
-    for offset, size in unlace(data, at + 3, end, flags & 6):
-        media.packets.append((track, time * media.scale, simple and bool(flags & 0x80), offset, size))
+    frames = unlace(data, at + 3, end, flags & 6)
+    step = steps.get(track) or duration * media.scale // len(frames)
+    for k, (offset, size) in enumerate(frames):
+        media.packets.append((track, time + k * step, bool(flags & 0x80) if key is None else key, offset, size))
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -282,12 +313,12 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(-len(raw) % PAD if raw else PAD)
 
 
-def read_packets(media: bytes | None) -> tuple[Media, bytes] | None:
+def read_packets(media: bytes | None, low_ns: int | None = None, high_ns: int | None = None) -> tuple[Media, bytes] | None:
     """The packet table and the track's bytes in packet order; None for a null or damaged file."""
     if media is None:
         return None
     try:
-        found = parse(media)
+        found = parse(media, low_ns, high_ns)
     except (Damaged, IndexError, struct.error):
         return None
     return found, b"".join(media[o : o + n] for _, _, _, o, n in found.packets)
@@ -318,14 +349,14 @@ def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def packet_table(stored: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
-    """One row per frame: key, track, timestamp_ns, is_key, offset, size."""
+def packet_table(stored: DataFrame, media: str = "media", key: str = "doc_id", low_ns: int | None = None, high_ns: int | None = None) -> DataFrame:
+    """One row per frame (that begins in the range of time): key, track, timestamp_ns, is_key, offset, size."""
     schema = stored.select(key).schema.add("track", "long").add("timestamp_ns", "long").add("is_key", "boolean").add("offset", "long").add("size", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                found = read_packets(batch.column(1)[row].as_py())
+                found = read_packets(batch.column(1)[row].as_py(), low_ns, high_ns)
                 if found and found[0].packets:
                     track, time, is_key, offset, size = zip(*found[0].packets)
                     own = batch.column(0).take(pa.array([row] * len(track)))

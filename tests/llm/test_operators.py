@@ -201,6 +201,36 @@ def test_media_round_trip(docs, none):
     assert matroska.digest(matroska.store(none)).count() == 0
 
 
+def test_media_packets_equal_brute_force(spark):
+    """Times, key flags and byte ranges of every frame; ranges of time by the cues."""
+    text = "".join(RNG.choice("abcdé ") for _ in range(70_000))
+    payload, media = matroska.payload_of(text)[1], None
+    media = matroska.mux(payload)
+    found = matroska.parse(media)
+    want = [(1, i * 1_000_000_000 // matroska.RATE, True, payload[i : i + matroska.FRAME]) for i in range(0, len(payload), matroska.FRAME)]
+    assert [(t, at, key, media[o : o + n]) for t, at, key, o, n in found.packets] == want
+    assert len(found.cues) == len(found.clusters) and all(c[2] in found.clusters for c in found.cues)
+    for low, high in ((0, 1), (128_000_000, 5_000_000_000), (4_000_000_001, 10**12), (10**13, None), (None, 3_072_000_000)):
+        part = matroska.parse(media, low, high)
+        assert [p[1] for p in part.packets] == [w[1] for w in want if (low is None or w[1] >= low) and (high is None or w[1] < high)]
+    blocks = len(matroska.parse(media, 4_000_000_001, 5_000_000_000).packets), matroska.parse(media, 4_000_000_001, 5_000_000_000).blocks
+    assert blocks[0] and blocks[1] <= 2 * matroska.BLOCKS
+    stored = matroska.store(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert [r["timestamp_ns"] for r in matroska.packet_table(stored, low_ns=10**9, high_ns=2 * 10**9).collect()] == [w[1] for w in want if 10**9 <= w[1] < 2 * 10**9]
+
+
+def test_media_block_groups():
+    """A block of a group is key unless it refers to another; a laced one shares its duration where tracks tell none."""
+    e, n = matroska.element, matroska.number
+    block = lambda at, frames, kind: b"\x81" + at.to_bytes(2, "big") + bytes([kind]) + matroska.lace(frames, kind)
+    groups = e(matroska.BLOCK_GROUP, e(matroska.BLOCK, block(0, [b"ab", b"cd", b"ef"], matroska.FIXED)) + n(matroska.BLOCK_DURATION, 30))
+    groups += e(matroska.BLOCK_GROUP, n(matroska.REFERENCE, 1) + e(matroska.BLOCK, block(40, [b"x"], 0))) + e(matroska.SIMPLE_BLOCK, block(50, [b"y"], 0))
+    body = e(matroska.INFO, n(matroska.TIMESTAMP_SCALE, 1_000_000)) + e(matroska.TRACKS, e(matroska.TRACK, n(matroska.TRACK_NUMBER, 1)))
+    media = e(matroska.EBML, b"") + e(matroska.SEGMENT, body + e(matroska.CLUSTER, n(matroska.CLUSTER_TIME, 5) + groups))
+    found = matroska.parse(media)
+    assert [(t // 1_000_000, key, media[o : o + k]) for _, t, key, o, k in found.packets] == [(5, True, b"ab"), (15, True, b"cd"), (25, True, b"ef"), (45, False, b"x"), (55, False, b"y")]
+
+
 def test_media_lacing_and_damage():
     for kind in (matroska.XIPH, matroska.EBML_LACING):
         frames = [bytes(n) for n in (0, 255, 254, 700, 1, 510, 9)]
