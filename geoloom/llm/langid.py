@@ -5,11 +5,13 @@ Each language has several centroids from spherical k-means over its vectors; a
 text gets the language of the centroid of greatest cosine. It is rejected if
 that cosine is below what the centroid's own training texts reach.
 
-The model is fitted on a sample of the labelled rows, about FIT_ROWS for each
-language, chosen by a hash of the text; the sample and its IDF are the only
-things bounded. Prediction reads every text whole, row by row, without a shuffle.
+The model is fitted on a sample of the distinct labelled texts, about FIT_ROWS
+for each language, chosen by a hash of the text, so a text that is repeated
+counts once; the sample and its IDF are the only things bounded. Prediction reads
+every text whole, row by row, without a shuffle.
 
-Defined cases: null texts and texts without letters are `und` with score 0; so
+Defined cases: of centroids that are equally near, the one of the least language
+(then the first of its centroids) is taken; null texts and texts without letters are `und` with score 0; so
 is every text if nothing is labelled; equal texts get equal predictions; a null
 doc_id counts as not held out; other columns are ignored, and lang, source and
 doc_id never enter a prediction.
@@ -107,15 +109,19 @@ class Model:
 
 
 def sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """About `rows` rows of each language, by a hash of the text; (lang, text)."""
-    n = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    """About `rows` distinct texts of each language, by a hash of the text; (lang, text).
+
+    How many there are is a sketch's estimate, which is off by some hundredths.
+    """
+    found = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n"))
+    n = {r["lang"]: r["n"] for r in found.limit(MAX_LANGUAGES + 1).collect()}
     if len(n) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not n:
         return labelled.select("lang", "text").limit(0)
-    share = F.create_map(*[F.lit(v) for lang, k in n.items() for v in (lang, min(1.0, rows / k))])
+    share = F.create_map(*[F.lit(v) for lang, k in n.items() for v in (lang, min(1.0, rows / max(1, k)))])
     u = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.where(u < share[F.col("lang")]).select("lang", "text")
+    return labelled.where(u < share[F.col("lang")]).select("lang", "text").distinct()
 
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS, k: int = CENTROIDS) -> Model:

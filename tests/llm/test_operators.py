@@ -130,6 +130,27 @@ def test_language(spark, docs, none):
     assert {x["lang_pred"] for x in langid.identify(docs, empty).collect()} == {"und"}
 
 
+def test_language_is_that_of_the_nearest_of_all_centroids(spark):
+    """Against cosines in plain Python, ties included; repeated texts are sampled once."""
+    r = random.Random(2)
+    make = lambda letters: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(30))
+    texts = [(lang, make(letters)) for lang, letters in (("x", "abcdef"), ("y", "defghi"), ("z", "ghijab")) for _ in range(40)]
+    labelled = spark.createDataFrame([*texts, *[("x", texts[0][1])] * 3000], "lang string, text string")
+    assert sorted(map(tuple, langid.sample(labelled, 10**6).collect())) == sorted(set(texts))
+    assert langid.sample(labelled, 20).count() < 120
+    model = langid.fit(labelled, rows=10**6)
+    asked = [make(x) for x in ("abcdef", "defghi", "ghijab", "abgh", "defgab") for _ in range(20)]
+    lang, score, _ = model.predict(asked)
+    for x, got, s in zip(asked, lang, score):
+        v = [math.log1p(n) * w for n, w in zip(langid.counts(x).tolist(), model.idf.tolist())]
+        size = math.sqrt(sum(a * a for a in v))
+        near = [sum(a * float(b) for a, b in zip(v, c)) / size for c in model.centroids]
+        assert abs(s - max(near)) < 1e-4 and near[model.languages.index(got)] is not None
+        assert max(n for n, own in zip(near, model.languages) if own == got) > max(near) - 1e-5
+    twice = langid.Model(model.idf, np.concatenate([model.centroids[:1]] * 2), ["b", "c"], np.zeros(2))
+    assert twice.predict(asked[:1])[0] == ["b"]
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     got = langid.op2_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
