@@ -10,12 +10,13 @@ from __future__ import annotations
 import itertools
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geodesy as G
+from geoloom.operators.hubs import hub_join
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -85,25 +86,38 @@ def subgraph(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[DataF
     return nodes.join(keep.select("id"), "id", "left_semi"), inside.select(*edges.columns)
 
 
-def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """(src, dst) -> (node, component): the least node reachable, ignoring direction.
+def star_components(links: DataFrame, keep: Callable[[DataFrame], DataFrame], max_rounds: int | None = None) -> DataFrame:
+    """(a, b) pairs -> (node, root): the least node of each node's component, for nodes on a pair of two.
 
-    Every round takes the least label among the neighbours and then follows it
-    once more (pointer jumping), which settles long chains in few rounds.
+    Alternating stars: a round links every node's larger neighbours to its least
+    neighbour, then every node and its smaller neighbours to the least of them; at
+    the end all pairs lead to roots. Rounds grow with the logarithm of a
+    component's length. `keep` writes a round's table, so lineage stays short, and
+    hubs are joined apart, so no node's pairs meet in one task.
     """
-    pairs = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    pairs = settled(pairs)
-    label = settled(pairs.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component")))
+    now = keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    seen = state(now)
     for _ in rounds(max_rounds):
-        seen = pairs.join(label, pairs["dst"] == label["node"]).groupBy("src").agg(F.min("component").alias("m"))
-        stepped = label.join(seen, label["node"] == seen["src"]).select("node", F.least("component", "m").alias("component"))
-        jump = label.select(F.col("node").alias("at"), F.col("component").alias("further"))
-        new = settled(stepped.join(jump, stepped["component"] == jump["at"]).select("node", F.least("component", "further").alias("component")))
-        moved = new.join(label.withColumnRenamed("component", "was"), "node").where("component <> was").limit(1).count()
-        label = new
-        if not moved:
+        if not seen[0]:
+            break
+        least = now.groupBy("a").agg(F.min("b").alias("m"))
+        large = hub_join(now, least.withColumnRenamed("a", "b"), "b", seen[0], "left").select("a", F.coalesce("m", "b").alias("b"))
+        large = keep(large.distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = hub_join(large, least, "a", seen[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = keep(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        before, seen = seen, state(now)
+        if seen == before:
             break
-    return label
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(src, dst) -> (node, component): the least node reachable, ignoring direction."""
+    alone = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
+    found = settled(star_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), settled, max_rounds).withColumnRenamed("root", "component"))
+    return found.unionByName(alone.join(found.select("node"), "node", "left_anti"))
 
 
 def bfs_levels(edges: DataFrame, start: int, max_rounds: int | None = None) -> DataFrame:
