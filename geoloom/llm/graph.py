@@ -1,44 +1,13 @@
-"""Connected components of an edge table, by alternating star contractions."""
+"""Connected components of a table of pairs, each round a table in the shared scratch folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from geoloom.llm.common import materialize
-
-MAX_ROUNDS = 60
-
-
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+from geoloom.operators.graphs import star_components
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
-    """(a, b) long pairs -> (node, root): the least node of each node's component, for nodes on an edge.
-
-    Each round links every node's larger neighbours to its least neighbour, then
-    every node and its smaller neighbours to the least of them; at the end all
-    edges lead to roots. Rounds grow with the logarithm of a component's length.
-    Each round is a table in the shared scratch folder, so that a lost executor
-    costs one round at most.
-    """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
-    state = _state(now)
-    for _ in range(MAX_ROUNDS):
-        if not state[0]:
-            break
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = materialize(small, tag)
-        state, before = _state(now), state
-        if state == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    """(a, b) long pairs -> (node, root): the least node of each node's component, for nodes on a pair."""
+    return star_components(edges, lambda df: materialize(df, tag))

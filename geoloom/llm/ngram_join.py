@@ -10,10 +10,13 @@ and as many trees are grown as the target recall asks for, from the recurrence
 of a pair's survival. Buckets that stay large at the last level are cut into
 blocks and every pair of blocks is compared, so no bucket is capped.
 
-Pairs that the sketches leave are joined into candidate components, and inside
-these every pair is verified on exact shingle sets; a pair is in one component,
-so links are counted once and no pair becomes a row. Large components are again
-verified by pairs of blocks. Memory is bounded by two blocks.
+Pairs that the sketches leave are joined into candidate components; a pair is in
+one component, so links are counted once and no pair becomes a row. Small
+components are verified on exact shingle sets as they are. Large ones, which
+texts that share boilerplate may chain together, are cut into blocks: sketches of
+all pairs of blocks are compared, and the shingle sets of a block's members go
+only to the blocks in which a sketch is near theirs. Memory is bounded by two
+blocks.
 
 Result: one row per document with class_id (the least doc_id linked to it,
 directly or through others), n_copies (documents with its shingle set) and
@@ -33,7 +36,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,7 @@ from geoloom.llm.common import materialize, quoted, table, word_count
 from geoloom.llm.graph import components
 from geoloom.llm.runs import key_runs
 from geoloom.llm.worker import held
+from geoloom.operators.hubs import hub_join
 
 N = 5
 THRESHOLD = 0.8
@@ -53,8 +57,10 @@ BUCKET = 512
 DEPTH = 3
 BLOCK = 256
 BLOCK_SHINGLES = 300_000
-#: Sketches that agree this much less than the threshold would are left out; over four standard deviations.
-SKETCH_FLOOR = 0.6
+#: Blocks of sketches that are compared at once.
+BLOCKS_AT_ONCE = 4
+#: Sketches are far apart if they agree less than a pair at the threshold by this many standard deviations, among candidates and in blocks.
+DEVIATIONS, BLOCK_DEVIATIONS = 5, 7
 MAX_WORDS = 500_000
 
 U64 = np.uint64
@@ -125,6 +131,25 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
+def most_differing(threshold: float, deviations: float) -> int:
+    """Coordinates in which the sketches of a pair with that similarity differ, at most; a coordinate agrees by chance in a quarter of cases."""
+    p = threshold + (1 - threshold) / 4
+    return math.ceil(COORDINATES * (1 - p) + deviations * math.sqrt(COORDINATES * p * (1 - p)))
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many coordinates each sketch of a differs from each of b."""
+    out = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(a.shape[1]):
+        x = a[:, k, None] ^ b[None, :, k]
+        out += np.bitwise_count((x | (x >> U64(1))) & U64(0x5555555555555555))
+    return out
+
+
+def unpacked(sketches: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), "<u8").reshape(len(sketches), -1)
+
+
 def survival(similarity: float, depth: int, children: float) -> float:
     """Chance that a pair of that similarity is together in some bucket at that depth of one tree."""
     whole, part = int(children), children - int(children)
@@ -226,28 +251,26 @@ def local_roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def pair_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pair_edges(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sorted (path, f1, sketch) rows -> edges that connect each bucket's candidate components."""
-    most = int(COORDINATES * (1 - (SKETCH_FLOOR * 0.75 + 0.25)))
-    a, b = [], []
-    for run in key_runs(batches, 1):
-        if run.num_rows < 2:
-            continue
-        ids = run.column(1).to_numpy()
-        marks = np.frombuffer(b"".join(run.column(2).to_pylist()), "<u8").reshape(len(ids), -1)
-        differ = np.zeros((len(ids), len(ids)), np.uint16)
-        for k in range(marks.shape[1]):
-            x = marks[:, k, None] ^ marks[None, :, k]
-            differ += np.bitwise_count((x | (x >> U64(1))) & U64(0x5555555555555555))
-        root = local_roots(differ <= most)
-        own = root != np.arange(len(ids))
-        a.append(ids[own])
-        b.append(ids[root[own]])
-        if len(a) >= 4096:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for bucket in key_runs(batches, 1):
+            if bucket.num_rows < 2:
+                continue
+            ids, marks = bucket.column(1).to_numpy(), unpacked(bucket.column(2))
+            root = local_roots(differing(marks, marks) <= most)
+            own = root != np.arange(len(ids))
+            a.append(ids[own])
+            b.append(ids[root[own]])
+            if len(a) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                a, b = [], []
+        if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-            a, b = [], []
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return run
 
 
 def in_blocks(rows: DataFrame, blocks: str, group: str, member: str) -> DataFrame:
@@ -273,7 +296,7 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> Data
             cut = in_blocks(large.withColumn("blocks", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}")), "blocks", "path", "f1")
             leaves = leaves.unionByName(cut.select(F.xxhash64("k1", "i", "j").alias("path"), "f1", "sketch"))
         dealt = leaves.repartition("path").sortWithinPartitions("path")
-        edges = dealt.mapInArrow(pair_edges, "a long, b long").distinct()
+        edges = dealt.mapInArrow(pair_edges(most_differing(threshold, DEVIATIONS)), "a long, b long").distinct()
         found = edges if found is None else found.unionByName(edges)
         if depth < DEPTH:
             below = materialize(split(large, classes, fan_out), "paths")
@@ -332,6 +355,40 @@ def verify(rows: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "f1 long, links long, root long")
 
 
+def near_blocks(members: DataFrame, threshold: float) -> DataFrame:
+    """(f1, root, blocks, hashes) of large components -> (k1, i, j, own, f1): the pairs of blocks in which a member has a near sketch."""
+    most, schema = most_differing(threshold, BLOCK_DEVIATIONS), "k1 long, i long, j long, own long, f1 long"
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed(sketch(own))], names=["f1", "root", "blocks", "sketch"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in key_runs(batches, 3):
+            k1, low, high = (group.column(k)[0].as_py() for k in range(3))
+            block, ids, marks = group.column("own").to_numpy(), group.column("f1").to_numpy(), unpacked(group.column("sketch"))
+            held = {x: np.flatnonzero(block == x) for x in np.unique(block).tolist()}
+            for i in held:
+                for j in held:
+                    if i > j or {i // BLOCKS_AT_ONCE, j // BLOCKS_AT_ONCE} != {low, high}:
+                        continue
+                    near = differing(marks[held[i]], marks[held[j]]) <= most
+                    if i == j:
+                        np.fill_diagonal(near, False)
+                    kept = [held[i][near.any(axis=1)], *([held[j][near.any(axis=0)]] if i < j else [])]
+                    for x, at in zip((i, j), kept):
+                        if len(at):
+                            same = lambda v: pa.array(np.full(len(at), v, np.int64))  # noqa: B023, E731
+                            yield pa.RecordBatch.from_arrays([same(k1), same(i), same(j), same(x), pa.array(ids[at])], names=["k1", "i", "j", "own", "f1"])
+
+    marked = members.select("f1", "root", "blocks", "hashes").mapInArrow(sketched, "f1 long, root long, blocks long, sketch binary")
+    marked = marked.withColumn("own", F.pmod(F.xxhash64("f1"), F.col("blocks"))).withColumn("_x", F.expr(f"own div {BLOCKS_AT_ONCE}"))
+    marked = marked.withColumn("_y", F.explode(F.expr(f"sequence(0L, (blocks - 1) div {BLOCKS_AT_ONCE})")))
+    dealt = marked.select(F.col("root").alias("k1"), F.least("_x", "_y").alias("si"), F.greatest("_x", "_y").alias("sj"), "own", "f1", "sketch")
+    return dealt.repartition("k1", "si", "sj").sortWithinPartitions("k1", "si", "sj").mapInArrow(run, schema)
+
+
 def candidate_sets(docs: DataFrame, wanted: DataFrame, n: int, key: str, text: str) -> DataFrame:
     """wanted (key, digest, f1, f2, ...) with the shingles of the row that has that key, which may be null, and text."""
     own = wanted.withColumnRenamed("key", "_w_key").withColumnRenamed("digest", "_w_digest")
@@ -358,19 +415,27 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, reca
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "digest")).alias("k")
     classes = sig.where("size > 0").groupBy("f1", "f2").agg(first, F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("hashes").alias("hashes"))
     classes = materialize(classes.select("f1", "f2", "k.key", "k.digest", "copies", "size", "hashes"), "classes")
-    grouped = components(candidate_edges(classes, threshold, recall), "candidates")
-    members = classes.select("key", "digest", "f1", "f2", "size").join(grouped.withColumnRenamed("node", "f1"), "f1")
+    grouped = components(candidate_edges(classes, threshold, recall), "candidates").withColumnRenamed("node", "f1")
+    members = materialize(classes.select("key", "digest", "f1", "f2", "size", "hashes").join(grouped, "f1"), "members")
     extent = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
     extent = extent.select("root", F.expr(f"greatest((n + {BLOCK - 1}) div {BLOCK}, (total + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES})").alias("blocks"))
-    wanted = members.join(extent, "root").select("key", "digest", "f1", "f2", "root", "blocks")
-    sets = candidate_sets(docs, wanted, n, key, text)
-    checked = materialize(verify(in_blocks(sets, "blocks", "root", "f1"), threshold), "links")
+    large = extent.where("blocks > 1")
+    sized = hub_join(members, large, "root", members.count(), "left")
+    wanted = ["key", "digest", "f1", "f2", "root"]
+    small = candidate_sets(docs, sized.where("blocks is null").select(*wanted), n, key, text)
+    rows = small.select(F.col("root").alias("k1"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("own"), "f1", "shingles")
+    if not large.isEmpty():
+        sized = materialize(sized.where("blocks is not null"), "large")
+        near = materialize(near_blocks(sized, threshold), "near")
+        sets = candidate_sets(docs, sized.select(*wanted).join(near.select("f1").distinct(), "f1", "left_semi"), n, key, text)
+        rows = rows.unionByName(near.join(sets.select("f1", "shingles"), "f1").select("k1", "i", "j", "own", "f1", "shingles"))
+    checked = materialize(verify(rows, threshold), "links")
     links = checked.groupBy("f1").agg(F.sum("links").alias("n_links"))
     linked = components(checked.select(F.col("f1").alias("a"), F.col("root").alias("b")), "linked").withColumnRenamed("node", "f1")
     named = classes.select("f1", "f2", "key", "copies").join(links, "f1", "left").join(linked, "f1", "left")
     named = materialize(named.select("f1", "f2", "key", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "f1").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("key").alias("class_id"))
-    named = named.join(least, "root").select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), "class_id", "copies", "n_links", "root")
+    named = hub_join(named, least, "root", named.count()).select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), "class_id", "copies", "n_links", "root")
     whole = sig.select("key", "digest", "f1", "f2", "size").join(named, (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")), "left")
     return whole.select(
         F.col("key").alias(key),

@@ -95,6 +95,52 @@ def test_join_of_many_near_copies(spark):
     assert all(got[i]["n_links"] == links[ids[own[i]]] for i, _ in rows)
 
 
+def test_join_recall_near_the_threshold(spark):
+    """Thousands of planted pairs between 0.8 and 0.9, each text in one pair; a pair is missed once in 2,000."""
+    r, rows, want = random.Random(8), [], 0
+    for i in range(2500):
+        base = [f"w{r.randrange(10**5)}" for _ in range(r.randint(60, 140))]
+        other = list(base)
+        for at in r.sample(range(len(base)), max(1, len(base) // 60)):
+            other[at] = f"x{r.randrange(10**6)}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        a, b = (frozenset(zip(*[t[k:] for k in range(5)])) for t in (base, other))
+        want += 10 * len(a & b) >= 8 * len(a | b)
+    got = {x["doc_id"]: x for x in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[2 * i + 1]["class_id"] == 2 * i for i in range(2500))
+    assert want > 1500 and want * (1 - 0.002) <= found <= want
+    assert all(got[2 * i]["n_links"] == got[2 * i + 1]["n_links"] <= 1 for i in range(2500))
+
+
+def test_join_of_texts_that_boilerplate_chains(spark):
+    """Windows over one long text: neighbours are below the threshold, candidates chain all of them; a few true copies among them."""
+    r = random.Random(9)
+    words = [f"w{r.randrange(10**5)}" for _ in range(30_000)]
+    texts = [words[k * 30 : k * 30 + 170] for k in range(700)]
+    texts += [[*t[:80], "changed", *t[81:]] for t in texts[::50]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {x["doc_id"]: x for x in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [frozenset(zip(*[t[k:] for k in range(5)])) for t in texts]
+    for k, s in enumerate(sets):
+        assert got[k]["n_links"] == sum(10 * len(s & t) >= 8 * len(s | t) for j, t in enumerate(sets) if j != k)
+    assert sum(x["n_links"] for x in got.values()) == 28
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6])
+def test_join_at_lower_thresholds(spark, threshold):
+    r, rows = random.Random(10), []
+    for i in range(150):
+        base = [f"w{r.randrange(10**5)}" for _ in range(100)]
+        other = list(base)
+        for at in r.sample(range(100), r.randint(1, 7)):
+            other[at] = f"x{r.randrange(10**6)}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    got = {x["doc_id"]: x["n_links"] for x in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).collect()}
+    sets = [frozenset(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows]
+    want = {k: sum(len(s & t) >= threshold * len(s | t) - 1e-9 for t in (sets[k ^ 1],)) for k, s in enumerate(sets)}
+    assert got == want and 50 < sum(want.values()) < 300
+
+
 def test_join_keeps_one_of_each(docs, none):
     kept = ngram_join.keep_first(docs.where("doc_id is not null"), ngram_join.jaccard_join(docs)).collect()
     assert sorted(r["doc_id"] for r in kept) == [0, 1, 2, 3, 4, 8, 9, 10, 11, 12, 13]
