@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geodesy as G
-from geoloom.operators.hubs import hub_join
+from geoloom.operators.hubs import hub_join, hubs_of
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -101,11 +101,12 @@ def star_components(links: DataFrame, keep: Callable[[DataFrame], DataFrame], ma
     for _ in rounds(max_rounds):
         if not seen[0]:
             break
+        # A node has no more smaller neighbours after the first step than before it, so its hubs are known here.
+        above, below = hubs_of(now, ["b", "a"], seen[0])
         least = now.groupBy("a").agg(F.min("b").alias("m"))
-        large = hub_join(now, least.withColumnRenamed("a", "b"), "b", seen[0], "left").select("a", F.coalesce("m", "b").alias("b"))
-        large = keep(large.distinct())
+        large = hub_join(now, least.withColumnRenamed("a", "b"), "b", above, "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = hub_join(large, least, "a", seen[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = hub_join(large, least, "a", below).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = keep(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         before, seen = seen, state(now)
         if seen == before:
