@@ -47,7 +47,7 @@ from geoloom.llm.common import materialize, quoted, table, word_count
 from geoloom.llm.graph import components
 from geoloom.llm.runs import key_runs
 from geoloom.llm.worker import held
-from geoloom.operators.hubs import hub_join
+from geoloom.operators.hubs import hub_join, hubs_of
 
 N = 5
 THRESHOLD = 0.8
@@ -420,7 +420,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, reca
     extent = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
     extent = extent.select("root", F.expr(f"greatest((n + {BLOCK - 1}) div {BLOCK}, (total + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES})").alias("blocks"))
     large = extent.where("blocks > 1")
-    sized = hub_join(members, large, "root", members.count(), "left")
+    sized = hub_join(members, large, "root", hubs_of(members, ["root"], members.count())[0], "left")
     wanted = ["key", "digest", "f1", "f2", "root"]
     small = candidate_sets(docs, sized.where("blocks is null").select(*wanted), n, key, text)
     rows = small.select(F.col("root").alias("k1"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("own"), "f1", "shingles")
@@ -435,7 +435,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, reca
     named = classes.select("f1", "f2", "key", "copies").join(links, "f1", "left").join(linked, "f1", "left")
     named = materialize(named.select("f1", "f2", "key", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "f1").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("key").alias("class_id"))
-    named = hub_join(named, least, "root", named.count()).select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), "class_id", "copies", "n_links", "root")
+    named = hub_join(named, least, "root", hubs_of(named, ["root"], named.count())[0]).select(F.col("f1").alias("c1"), F.col("f2").alias("c2"), "class_id", "copies", "n_links", "root")
     whole = sig.select("key", "digest", "f1", "f2", "size").join(named, (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")), "left")
     return whole.select(
         F.col("key").alias(key),
