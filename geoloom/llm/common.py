@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,35 @@ def quoted(names: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in names]
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with an underscore more before it for as long as a column has it (whatever its case)."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
+def free_prefix(columns: list[str], prefix: str) -> str:
+    """prefix, with an underscore more before it for as long as a column's name begins with it."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def apart(docs: DataFrame, prefix: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work(docs), which adds columns that begin with prefix; they begin with free_prefix(docs.columns, prefix) here.
+
+    Columns of docs whose names clash are put aside under other names meanwhile.
+    """
+    free = free_prefix(docs.columns, prefix)
+    if free == prefix:
+        return work(docs)
+    aside = {c: free_name(docs.columns, f"aside_{k}") for k, c in enumerate(docs.columns) if c.lower().startswith(prefix)}
+    out = work(docs.select(*[F.col(f"`{c}`").alias(aside.get(c, c)) for c in docs.columns]))
+    back = {v: k for k, v in aside.items()}
+    return out.select(*[F.col(f"`{c}`").alias(back.get(c) or (free + c[len(prefix) :] if c.startswith(prefix) else c)) for c in out.columns])
+
+
 def word_count(text: Column) -> Column:
     """Number of words as long; null counts as no words."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -60,6 +90,6 @@ def fenced(df: DataFrame, keep: list[str]) -> DataFrame:
     compute it, with their expressions put inside each other, and an array that
     a lambda refers to would then be computed for each of its elements.
     """
-    own = [c for c in df.columns if c not in keep]
-    packed = F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in own]))).alias("_fence")
-    return df.select(*[F.col(f"`{c}`") for c in keep], packed).select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"_fence.`{c}`") for c in own])
+    own, fence = [c for c in df.columns if c not in keep], free_name(df.columns, "_fence")
+    packed = F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in own]))).alias(fence)
+    return df.select(*[F.col(f"`{c}`") for c in keep], packed).select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{fence}`.`{c}`") for c in own])

@@ -8,7 +8,9 @@ Defined cases: a null text has size 0; the null source is a source of its own,
 ordered last; a source without words has target 0 and rate 0; rows that repeat
 a doc_id share one draw, so they are copied alike; a null doc_id draws as the
 empty string; an empty table gives an empty result. Other columns of the input
-pass through the row form untouched (working columns carry the prefix _mix_).
+pass through the row form untouched (working columns carry the prefix _mix_, with
+more underscores where a column has that). The ordering of sources runs in one
+task, over one row a source: meant for up to a few million sources.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import table, word_count
+from geoloom.llm.common import apart, free_name, free_prefix, quoted, table, word_count
 
 CAP = 3
 WEIGHTS = 3
@@ -68,7 +70,11 @@ def mix_sources(docs: DataFrame, cap: int = CAP, weights: int = WEIGHTS, seed: i
     joins by Spark's own size check: broadcast below the session's threshold, a
     sort-merge join with skew handling beyond it.
     """
-    keep = docs.columns if keep is None else keep
+    own = docs if keep is None else docs.select(*quoted(list(dict.fromkeys([*keep, "doc_id", "text", "source"]))))
+    return apart(own, "_mix_", lambda x: _mixed(x, cap, weights, seed, x.columns if keep is None else keep))
+
+
+def _mixed(docs: DataFrame, cap: int, weights: int, seed: int, keep: list[str]) -> DataFrame:
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), word_count(F.col("text")).alias("_mix_size"))
     sized = docs.select("source", word_count(F.col("text")).alias("size"))
     targets = source_targets(sized, cap, weights).select(
@@ -82,10 +88,10 @@ def mix_sources(docs: DataFrame, cap: int = CAP, weights: int = WEIGHTS, seed: i
     )
 
 
-def emit_copies(mixed: DataFrame) -> DataFrame:
-    """One row per copy, without the working columns."""
-    own = [F.col(f"`{c}`") for c in mixed.columns if not c.startswith("_mix_")]
-    return mixed.where("_mix_copies > 0").select(*own, F.explode(F.expr("sequence(1L, _mix_copies)")).alias("_mix_n")).drop("_mix_n")
+def emit_copies(mixed: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per copy, of the columns to keep; mixed is mix_sources of a table with those."""
+    copies, n = free_prefix(keep, "_mix_") + "copies", free_name(mixed.columns, "_copy")
+    return mixed.where(F.col(copies) > 0).select(*quoted(keep), F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(n)).select(*quoted(keep))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -456,9 +456,9 @@ def keep_first(docs: DataFrame, joined: DataFrame, key: str = "doc_id", text: st
     own = joined.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), F.col("text_digest").alias("digest"))).alias("_k"))
     own = own.select(F.col("_k.key").alias("_k_key"), F.col("_k.digest").alias("_k_digest"))
     with_words = word_count(F.col(f"`{text}`")) > 0
-    rows = docs.where(with_words).withColumn("_own", text_digest(text))
-    rows = rows.join(own, F.col(f"`{key}`").eqNullSafe(F.col("_k_key")) & (F.col("_own") == F.col("_k_digest")))
-    return rows.dropDuplicates(["_k_key", "_k_digest"]).select(*quoted(docs.columns)).unionByName(docs.where(~with_words))
+    rows = docs.where(with_words).select(F.struct(*quoted(docs.columns)).alias("doc"), F.col(f"`{key}`").alias("key"), text_digest(text).alias("digest"))
+    rows = rows.join(own, F.col("key").eqNullSafe(F.col("_k_key")) & (F.col("digest") == F.col("_k_digest")))
+    return rows.dropDuplicates(["_k_key", "_k_digest"]).select(*[F.col(f"doc.`{c}`") for c in docs.columns]).unionByName(docs.where(~with_words))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ the base checks and every threshold that applies to its length.
 
 Defined cases: null and empty texts have no words, counts 0 and fail; repeated
 rows are judged alike; a text of any length is read whole, in linear space;
-other columns pass through (the added ones carry the prefix _q_).
+other columns pass through (the added ones carry the prefix _q_, with more
+underscores where a column has that).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import WORD, fenced, table
+from geoloom.llm.common import WORD, apart, fenced, table
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -115,9 +116,13 @@ def passes(rule: Threshold) -> Column:
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Threshold, ...] = RULES) -> DataFrame:
     """docs with the _q_ counts, _q_base_failed, _q_failed_rules and _q_kept."""
-    out = measures(docs, text).withColumn("_q_base_failed", base_failed())
-    out = out.withColumn("_q_failed_rules", F.array_compact(F.array(*[F.when(~passes(r), F.lit(r.name)) for r in rules])))
-    return fenced(out.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.size("_q_failed_rules") == 0)), docs.columns)
+
+    def work(own: DataFrame) -> DataFrame:
+        out = measures(own, text).withColumn("_q_base_failed", base_failed())
+        out = out.withColumn("_q_failed_rules", F.array_compact(F.array(*[F.when(~passes(r), F.lit(r.name)) for r in rules])))
+        return fenced(out.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.size("_q_failed_rules") == 0)), own.columns)
+
+    return apart(docs, "_q_", work)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,8 @@ by one and a long word costs no more than its length.
 Defined cases: null and empty texts have no findings; repeated rows have equal
 findings; a value that occurs twice is found twice, by word position; a value
 ends where a character that keys don't have stands; a null source is an empty path; texts are scanned whole; other columns pass through
-(added ones carry the prefix _s_).
+(the added one has the prefix _s_, with more underscores
+where a column has that).
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import WORD, fenced, materialize, table
+from geoloom.llm.common import WORD, apart, fenced, materialize, table
 
 FIT_ROWS = 6000
 TREES = 15
@@ -211,6 +212,10 @@ class Forest:
 def scan(docs: DataFrame, forest: Forest | None = None, text: str = "text", path: str = "source") -> DataFrame:
     """docs with _s_findings: word_index, value, detector, probability, is_secret of each candidate."""
     forest = forest or Forest(labelled_findings(docs.sparkSession))
+    return apart(docs, "_s_", lambda own: _scanned(own, forest, text, path))
+
+
+def _scanned(docs: DataFrame, forest: Forest, text: str, path: str) -> DataFrame:
     held = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     words = F.when(held.rlike(rf"[A-Za-z0-9+/_~$-]{{{LEAST}}}|[.]|{KEYWORDS}"), F.regexp_extract_all(held, F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
     out = docs.select("*", words.alias("_s_words"), F.coalesce(F.col(f"`{path}`"), F.lit("")).alias("_s_path"))
@@ -252,9 +257,9 @@ def detector(f: Column) -> Column:
     return F.when(f["prefix"] == 1.0, "known_prefix").when((f["keyword"] == 1.0) & (f["assigned"] == 1.0), "assignment").otherwise("high_entropy")
 
 
-def masked(scanned: DataFrame, text: str = "text") -> Column:
+def masked(text: str = "text", findings: str = "_s_findings") -> Column:
     """The text with every secret value replaced by MASK."""
-    secrets = F.filter("_s_findings", lambda f: f["is_secret"])
+    secrets = F.filter(F.col(f"`{findings}`"), lambda f: f["is_secret"])
     return F.aggregate(secrets, F.col(f"`{text}`"), lambda t, f: F.replace(t, f["value"], F.lit(MASK)))
 
 
