@@ -26,6 +26,9 @@ where a column has that).
 
 from __future__ import annotations
 
+import functools
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,12 +62,30 @@ NAME = r"(?:(?:://|www[.])[^?&=#]*|[A-Za-z0-9_.-]*[^A-Za-z0-9_.-]*)$"
 NOT_KEYS = r"(?i)(commit|sha|hash|md5|digest|uuid|id|version|order|phone|card|build|checksum|revision)"
 PATHS = r"(?i)(test|example|doc|fixture|sample|mock)"
 
-#: Words of which names and placeholders are made; their share of a value is its dictionary coverage.
-DICTIONARY = (
+#: Parts of names and placeholders, found anywhere in a value.
+PARTS = (
     "example sample test dummy key token secret password user name value data file path config server client "
-    "version build release debug index table column number string object class function error message change "
-    "me your my the and for not this that with from page item list node link code text image video report"
+    "version build release debug index table column number string object class function error message change"
 ).split()
+#: Words of the dictionary: the commonest of this length or more in a public tokenizer's vocabulary, which must fill a run of letters.
+DICTIONARY_WORDS, WORD_LETTERS = 4000, 5
+#: Syllables of which invented words of labelled findings are made.
+SYLLABLES = "ba ce di fo gu ha ji ko lu ma ne pi ro su ta ve wi xo yu za stra ment ing tion ous ble qui lor ven dar".split()
+
+
+@functools.cache
+def dictionary(path: str, words: int = DICTIONARY_WORDS) -> tuple[str, ...]:
+    """The first words of a vocabulary in merge order, which is about that of frequency."""
+    with open(path, encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    whole = [t[:-4] for t in sorted(ids, key=ids.__getitem__) if t.endswith("</w>") and len(t) >= WORD_LETTERS + 4 and t[:-4].isascii() and t[:-4].isalpha()]
+    return tuple(whole[:words])
+
+
+def words() -> tuple[str, ...]:
+    import public_tokenizers
+
+    return dictionary(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def features(c: Column) -> list[tuple[str, Column]]:
@@ -78,6 +99,7 @@ def features(c: Column) -> list[tuple[str, Column]]:
     head = F.left(c["word"], F.position(v, c["word"]) - 1)
     near = F.concat_ws(" ", c["before2"], c["before1"], head)
     flag = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
+    runs = F.regexp_extract_all(v, F.lit(f"[A-Z]?[a-z]{{{WORD_LETTERS - 1},}}|[A-Z]{{{WORD_LETTERS},}}"), F.lit(0))
     return [
         ("length", n),
         ("digits", share("[0-9]")),
@@ -91,7 +113,8 @@ def features(c: Column) -> list[tuple[str, Column]]:
         ("vowel_pairs", F.regexp_count(F.lower(v), F.lit("(?<=[aeiou])(?=[b-df-hj-np-tv-z])|(?<=[b-df-hj-np-tv-z])(?=[aeiou])")) / n),
         ("runs", flag(v.rlike(r"(.)\1{3,}"))),
         ("sequence", flag(F.lower(v).rlike("1234|abcd|qwer|0000|9876"))),
-        ("dictionary", (n - F.length(F.regexp_replace(F.lower(v), "|".join(DICTIONARY), ""))) / n),
+        ("parts", (n - F.length(F.regexp_replace(F.lower(v), "|".join(PARTS), ""))) / n),
+        ("dictionary", F.aggregate(F.filter(runs, lambda x: F.lower(x).isin(*words())), F.lit(0.0), lambda t, x: t + F.length(x)) / n),
         ("uuid", flag(v.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"))),
         ("separators", share("[^A-Za-z0-9]")),
         ("prefix", flag(v.rlike(PREFIXES))),
@@ -112,13 +135,15 @@ def labelled_findings(spark: SparkSession, n: int = FIT_ROWS) -> DataFrame:
     pick = lambda k, words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.conv(F.substring(h(k), 1, 4), 16, 10).cast("int") % len(words)) + 1)
     b64 = F.regexp_replace(F.regexp_replace(F.base64(F.unhex(h(1))), "=", ""), "\n", "")
     upper = F.upper(F.translate(F.conv(F.substring(h(2), 1, 15), 16, 36), "01", "Z7"))
-    filler = lambda k: pick(k, ("the", "of", "and", "die", "les", "que", "thin", "erent", "oned", "a", "de", "=", "value", "see"))
+    filler = lambda k: pick(k, ("the", "of", "and", "die", "les", "que", "in", "a", "de", "=", "value", "see", *words()[:400:20]))
     keyword = pick(30, ("password", "token", "secret", "api_key", "access_key", "auth", "PASSWORD", "apikey"))
     other = pick(31, ("commit", "sha", "version", "order", "id", "uuid", "checksum", "number", "the", "in", "von", "page"))
     quote = F.when(F.conv(F.substring(h(32), 1, 1), 16, 10).cast("int") % 2 == 0, F.lit('"')).otherwise(F.lit(""))
     size = F.conv(F.substring(h(33), 1, 2), 16, 10).cast("int")
     digits = F.regexp_replace(F.concat(h(3), h(4)), "[a-f]", "")
-    word = pick(34, ("ouwhea", "therentin", "einbekeit", "queoileaux", "configuration", "thereading", "chapter", "releasenotes"))
+    syllable = lambda k: pick(50 + k, SYLLABLES)
+    invented = F.concat(syllable(0), syllable(1), syllable(2), F.when(size % 2 == 0, syllable(3)).otherwise(""))
+    word = F.when(size % 3 == 0, invented).otherwise(pick(34, words()[::50]))
     key16 = F.rpad(F.concat(upper, F.upper(F.translate(F.substring(h(5), 1, 20), "01", "QX"))), 16, "Q")
     rows = [
         (1, F.concat(F.lit("AKIA"), key16), F.lit(""), filler(6), filler(7)),
@@ -139,7 +164,10 @@ def labelled_findings(spark: SparkSession, n: int = FIT_ROWS) -> DataFrame:
         (0, F.concat(F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 2), F.lit("-"), F.substring(digits, 7, 2), F.lit("T"), F.substring(digits, 9, 2)), F.lit(""), filler(6), filler(7)),
     ]
     # of one word without blanks (JSON, XML, URLs), short, dotted, without digits
-    none, short, letters = F.lit(""), F.concat(F.substring(word, 1, 6), F.substring(digits, F.lit(1), 2 + size % 4)), F.translate(h(10), "0123456789", "ouinthersa")
+    none, short = F.lit(""), F.concat(F.substring(word, 1, 6), F.substring(digits, F.lit(1), 2 + size % 4))
+    # Runs of letters are words of the dictionary run together, invented words, or letters at random.
+    joined = F.concat(*[pick(60 + k, words()[k::60]) for k in range(5)])
+    letters = F.when(size % 3 == 0, joined).when(size % 3 == 1, F.rpad(F.concat(*[pick(70 + k, SYLLABLES) for k in range(8)]), 26, "e")).otherwise(F.translate(h(10), "0123456789", "ouinthersa"))
     inside = F.concat(keyword, pick(44, ('":"', ">", '":', "=", "':'")))
     outside = F.concat(other, pick(44, ('":"', ">", '":', "=", "':'")))
     name = F.concat_ws("_", pick(45, ("aws", "client", "user", "github", "my")), pick(46, ("secret", "access", "session", "password", "account")), pick(47, ("key", "token", "name", "identifier", "value")))
@@ -196,8 +224,8 @@ class Forest:
         from pyspark.ml.feature import VectorAssembler
 
         self.names = [name for name, _ in features(F.col("c"))]
-        rows = findings.select(rated(F.array("c"), [])[0].alias("f"), "label").select("f.*", "label")
-        rows = materialize(rows, "findings")
+        rows = materialize(findings.select("c", "label"), "findings")
+        rows = materialize(rows.select(rated(F.array("c"), [])[0].alias("f"), "label").select("f.*", "label"), "features")
         rows = VectorAssembler(inputCols=self.names, outputCol="features").transform(rows).select("features", "label")
         model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8).fit(rows)
         self.roots = [t._call_java("rootNode") for t in model.trees]

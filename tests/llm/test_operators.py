@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.llm import bpe, chat, langid, lm, matroska, mixing, ngram_join, quality, secrets, tokenstore
-from geoloom.llm.common import scratch
+from geoloom.llm.common import materialize, scratch
 
 RNG = random.Random(3)
 VOCABULARY = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(2, 6))) for _ in range(300)]
@@ -498,12 +498,12 @@ def test_compiled_forest_equals_the_fitted_model(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    findings = secrets.labelled_findings(spark)
+    findings = materialize(secrets.labelled_findings(spark), "findings")
     forest = secrets.Forest(findings)
-    rows = findings.select("c", "label", secrets.rated(F.array("c"), [])[0].alias("f"))
-    vectors = VectorAssembler(inputCols=forest.names, outputCol="features").transform(rows.select("f.*", "label", F.round(forest.probability(F.col("f")), 9).alias("own")))
+    rows = materialize(findings.select("label", secrets.rated(F.array("c"), [])[0].alias("f")), "features")
+    vectors = VectorAssembler(inputCols=forest.names, outputCol="features").transform(rows.select("f.*", "label"))
     model = RandomForestClassifier(numTrees=secrets.TREES, maxDepth=secrets.DEPTH, seed=11, subsamplingRate=0.8).fit(vectors.select("features", "label"))
-    # The same learner on the same rows in another order may split otherwise, so the compiled trees are the fitted ones' own.
+    # Rows in another order may be split otherwise, so these trees are compiled, not the forest's own.
     forest.roots = [t._call_java("rootNode") for t in model.trees]
     vectors = VectorAssembler(inputCols=forest.names, outputCol="features").transform(rows.select("f.*", "label", forest.probability(F.col("f")).alias("own")))
     got = model.transform(vectors).select("own", "probability", "label").collect()
