@@ -107,8 +107,13 @@ def _crossings(ring: Column, x: Column, y: Column) -> Column:
 
 
 def ring_contains(ring: Column, x: Column, y: Column, ignoring_boundary: bool = False) -> Column:
-    """Even-odd test; the boundary is inside unless it's ignored."""
-    return F.when(on_line(ring, x, y), F.lit(not ignoring_boundary)).otherwise(_crossings(ring, x, y) % 2 == 1)
+    """Even-odd test; the boundary is inside unless it's ignored. A ring may cross the antimeridian."""
+
+    def holds(own: Column, at: Column) -> Column:
+        return F.when(on_line(own, at, y), F.lit(not ignoring_boundary)).otherwise(_crossings(own, at, y) % 2 == 1)
+
+    across = unwrapped(ring)
+    return F.when(crosses_antimeridian(ring), holds(across, x) | holds(across, x + 360.0) | holds(across, x - 360.0)).otherwise(holds(ring, x))
 
 
 def polygon_contains(rings: Column, x: Column, y: Column, ignoring_boundary: bool = False) -> Column:
@@ -320,7 +325,22 @@ def great_circle(x1: Column, y1: Column, x2: Column, y2: Column, points: int = 1
 
 
 def crosses_antimeridian(line: Column) -> Column:
-    return F.exists(segments(line), lambda s: F.abs(s["b"]["x"] - s["a"]["x"]) > 180)
+    """Whether a step spans over half the globe, but not all of it."""
+    step = lambda s: F.abs(s["b"]["x"] - s["a"]["x"])
+    return F.exists(segments(line), lambda s: (step(s) > 180) & (step(s) < 360))
+
+
+def unwrapped(line: Column) -> Column:
+    """The line on longitudes without jumps, which may pass 180; as it is where it doesn't cross the antimeridian."""
+    start = F.struct(F.lit(0.0).alias("shift"), line[0]["x"].cast("double").alias("last"), F.slice(line, 1, 0).alias("done"))
+
+    def step(t: Column, c: Column) -> Column:
+        d = c["x"] - t["last"]
+        shift = t["shift"] + F.when((d > 180) & (d < 360), -360.0).when((d < -180) & (d > -360), 360.0).otherwise(0.0)
+        moved = F.transform(F.array(c), lambda p: p.withField("x", p["x"] + shift))
+        return F.struct(shift.alias("shift"), c["x"].cast("double").alias("last"), F.concat(t["done"], moved).alias("done"))
+
+    return F.when(crosses_antimeridian(line), F.aggregate(line, start, step)["done"]).otherwise(line)
 
 
 def box_ring(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:

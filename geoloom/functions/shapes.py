@@ -1,8 +1,10 @@
 """Irregular geometry operators as Arrow-batched column functions over GeoJSON text.
 
 Each takes one or two geometry columns (and plain Python options) and returns
-GeoJSON text, a number or a boolean. Null or malformed input gives null. They
-are row-wise: no shuffle, and memory is bounded by a batch.
+GeoJSON text, a number or a boolean. Null or malformed input gives null, and so
+does a geometry of a kind that an operator has no value for; every part of a
+multi-part geometry counts. They are row-wise: no shuffle, and memory is bounded
+by a batch.
 """
 
 from __future__ import annotations
@@ -19,20 +21,53 @@ from geoloom.kernels import planar as P
 from geoloom.kernels import predicates as Q
 
 
+class NotApplicable(ValueError):
+    """An operator has no value for a geometry of that kind."""
+
+
+def _positions(c, least: int) -> bool:
+    return isinstance(c, list) and len(c) >= least and all(isinstance(p, list) and len(p) >= 2 and all(isinstance(v, (int, float)) for v in p[:2]) for p in c)
+
+
+def well_formed(g) -> bool:
+    """Whether a parsed value is a geometry, feature or collection whose coordinates have the shape of its kind."""
+    kind = g.get("type") if isinstance(g, dict) else None
+    if kind in ("GeometryCollection", "FeatureCollection"):
+        members = g.get("geometries") or g.get("features") or []
+        return isinstance(members, list) and all(map(well_formed, members))
+    if kind == "Feature":
+        return well_formed(g.get("geometry"))
+    c = g.get("coordinates") if kind else None
+    every = lambda f: isinstance(c, list) and all(map(f, c))
+    rings = lambda q: isinstance(q, list) and bool(q) and all(_positions(r, 4) for r in q)
+    shapes = {
+        "Point": lambda: _positions([c], 1), "MultiPoint": lambda: _positions(c, 0), "LineString": lambda: _positions(c, 2),
+        "MultiLineString": lambda: every(lambda x: _positions(x, 2)), "Polygon": lambda: rings(c), "MultiPolygon": lambda: every(rings),
+    }
+    return kind in shapes and shapes[kind]()
+
+
 def _load(text):
-    return json.loads(text) if isinstance(text, str) else None
+    """A parsed geometry; None where the text isn't one."""
+    if not isinstance(text, str):
+        return None
+    try:
+        g = json.loads(text)
+    except ValueError:
+        return None
+    return g if well_formed(g) else None
 
 
 def row_function(kind: str, f: Callable) -> Callable[..., Column]:
-    """A column function from f(geometry, ...) on parsed GeoJSON."""
+    """A column function from f(geometry, ...) on parsed GeoJSON; an error inside f fails the query."""
 
     def run(*columns: pd.Series) -> pd.Series:
         out = []
         for values in zip(*columns):
+            own = [_load(v) for v in values]
             try:
-                own = [_load(v) for v in values]
                 out.append(None if any(v is None for v in own) else f(*own))
-            except (ValueError, KeyError, TypeError, IndexError, ZeroDivisionError):
+            except NotApplicable:
                 out.append(None)
         return pd.Series(out, dtype=object)
 
@@ -57,8 +92,44 @@ def snapped(g: dict, cell: float | None) -> dict:
     return transformed(g, lambda p: [near(p[0]), near(p[1]), *p[2:]])
 
 
-def ring_of(g: dict) -> list:
-    return Q.parts(g)[2][0][0]
+def polygons_of(g: dict) -> list:
+    own = Q.parts(g)[2]
+    if not own:
+        raise NotApplicable("no polygon")
+    return own
+
+
+def lines_of(g: dict) -> list:
+    own = Q.parts(g)[1]
+    if not own:
+        raise NotApplicable("no line")
+    return own
+
+
+def line_of(g: dict) -> list:
+    own = lines_of(g)
+    if len(own) > 1:
+        raise NotApplicable("several lines")
+    return own[0]
+
+
+def point_of(g: dict) -> tuple:
+    own = Q.parts(g)[0]
+    if len(own) != 1:
+        raise NotApplicable("not one point")
+    return own[0]
+
+
+def vertices_of(g: dict) -> list:
+    own = Q.vertices(g)
+    if not own:
+        raise NotApplicable("no vertex")
+    return own
+
+
+def inner_pole(g: dict) -> tuple:
+    """The pole of the polygon whose own is farthest from its boundary."""
+    return max((P.pole_of_inaccessibility(q) for q in polygons_of(g)), key=lambda p: p[2])
 
 
 def text(kind: str, coordinates) -> str | None:
@@ -73,7 +144,7 @@ def multi(polygons) -> str | None:
 
 
 def lines(parts) -> str | None:
-    return text("LineString", parts[0]) if len(parts) == 1 else text("MultiLineString", parts)
+    return None if not parts else text("LineString", parts[0]) if len(parts) == 1 else text("MultiLineString", parts)
 
 
 # Relations
@@ -141,24 +212,33 @@ polygonized = row_function("string", lambda g: multi(P.polygonize([*Q.parts(g)[1
 # Construction
 
 
-def buffered(metres: float, steps: int = 32, end: str = "round", join: str = "round") -> Callable[..., Column]:
-    return row_function("string", lambda g: multi(P.buffer(g["type"], g["coordinates"], metres, steps, end, join)))
+def buffered(metres: float, steps: int = 32, end: str = "round", join: str = "round", limit: float = 2.0, merge: str = "individual") -> Callable[..., Column]:
+    """Geometries of one kind: points, lines or polygons; see planar.buffer for the options."""
+
+    def run(g):
+        own = Q.parts(g)
+        if sum(map(bool, own)) != 1:
+            raise NotApplicable("several kinds, or nothing")
+        kind = ("MultiPoint", "MultiLineString", "MultiPolygon")[next(k for k, x in enumerate(own) if x)]
+        return multi(P.buffer(kind, next(filter(None, own)), metres, steps, end, join, limit, merge))
+
+    return row_function("string", run)
 
 
-convex_hull = row_function("string", lambda g: text("Polygon", [h] if (h := P.convex_hull(Q.vertices(g))) else None))
-oriented_envelope = row_function("string", lambda g: text("Polygon", [h] if (h := P.oriented_envelope(Q.vertices(g))) else None))
-bounding_radius = row_function("double", lambda g: P.bounding_circle(Q.vertices(g))[2])
-inscribed_radius = row_function("double", lambda g: P.pole_of_inaccessibility(Q.parts(g)[2][0])[2])
-pole_of_inaccessibility = row_function("string", lambda g: text("Point", P.pole_of_inaccessibility(Q.parts(g)[2][0])[:2]))
-point_on_feature = row_function("string", lambda g: text("Point", P.point_on_feature(Q.parts(g)[2][0])))
+convex_hull = row_function("string", lambda g: text("Polygon", [h] if (h := P.convex_hull(vertices_of(g))) else None))
+oriented_envelope = row_function("string", lambda g: text("Polygon", [h] if (h := P.oriented_envelope(vertices_of(g))) else None))
+bounding_radius = row_function("double", lambda g: P.bounding_circle(vertices_of(g))[2])
+inscribed_radius = row_function("double", lambda g: inner_pole(g)[2])
+pole_of_inaccessibility = row_function("string", lambda g: text("Point", inner_pole(g)[:2]))
+point_on_feature = row_function("string", lambda g: text("Point", P.point_on_feature(max(polygons_of(g), key=lambda q: P.multi_area([q])))))
 
 
 def bounding_circle(steps: int = 64) -> Callable[..., Column]:
-    return row_function("string", lambda g: text("Polygon", [P.disc((c := P.bounding_circle(Q.vertices(g)))[:2], c[2], c[2], steps)]))
+    return row_function("string", lambda g: text("Polygon", [P.disc((c := P.bounding_circle(vertices_of(g)))[:2], c[2], c[2], steps)]))
 
 
 def inscribed_circle(steps: int = 64) -> Callable[..., Column]:
-    return row_function("string", lambda g: text("Polygon", [P.disc((c := P.pole_of_inaccessibility(Q.parts(g)[2][0]))[:2], c[2], c[2], steps)]))
+    return row_function("string", lambda g: text("Polygon", [P.disc((c := inner_pole(g))[:2], c[2], c[2], steps)]))
 
 
 def concave_hull(metres: float) -> Callable[..., Column]:
@@ -174,15 +254,21 @@ def voronoi(box: tuple) -> Callable[..., Column]:
     return row_function("string", lambda g: text("MultiPolygon", [[c] for c in P.voronoi(Q.vertices(g), box) if c]))
 
 
-tangent_points = row_function("string", lambda g, p: text("MultiPoint", P.tangents(Q.parts(g)[2][0], tuple(p["coordinates"][:2]))))
-minkowski_sum = row_function("string", lambda a, b: multi(P.minkowski_sum(Q.parts(a)[2][0], Q.parts(b)[2][0])))
-minkowski_difference = row_function("string", lambda a, b: multi(P.minkowski_difference(Q.parts(a)[2][0], Q.parts(b)[2][0])))
+tangent_points = row_function("string", lambda g, p: text("MultiPoint", P.tangents([[p for q in polygons_of(g) for p in q[0]]], point_of(p))))
+
+
+def summed(f: Callable) -> Callable:
+    """f of every pair of polygons, united."""
+    return lambda a, b: multi(P.union_all([x for p in polygons_of(a) for q in polygons_of(b) for x in f(p, q)]))
+
+
+minkowski_sum, minkowski_difference = (row_function("string", summed(f)) for f in (P.minkowski_sum, P.minkowski_difference))
 boundary = row_function("string", lambda g: lines(Q.boundary(g)) if Q.parts(g)[2] else text("MultiPoint", Q.boundary(g)))
 polygon_to_lines = row_function("string", lambda g: lines([r for q in Q.parts(g)[2] for r in q]))
 
 
 def bezier_spline(steps: int = 25) -> Callable[..., Column]:
-    return row_function("string", lambda g: text("LineString", P.bezier([p for line in Q.parts(g)[1] for p in line], steps)))
+    return row_function("string", lambda g: lines([P.bezier(line, steps) for line in lines_of(g)]))
 
 
 def isolines(breaks: list[float]) -> Callable[..., Column]:
@@ -252,18 +338,18 @@ def chunked(metres: float) -> Callable[..., Column]:
     return row_function("string", lambda g: text("MultiLineString", [c for line in Q.parts(g)[1] for c in Q.chunked(line, metres)]))
 
 
-slice_between = row_function("string", lambda g, ends: text("LineString", Q.slice_between(Q.parts(g)[1][0], *[tuple(p[:2]) for p in ends["coordinates"]])))
+#: Of one line; null for several, which have no common measure along them.
+slice_between = row_function("string", lambda g, ends: text("LineString", Q.slice_between(line_of(g), *Q.vertices(ends)[:2])))
 
 
 def slice_along(start: float, stop: float) -> Callable[..., Column]:
-    return row_function("string", lambda g: text("LineString", Q.slice_along(Q.parts(g)[1][0], start, stop)))
+    return row_function("string", lambda g: text("LineString", Q.slice_along(line_of(g), start, stop)))
 
 
 def line_split(tolerance: float = 1.0) -> Callable[..., Column]:
     def run(g, other):
-        line = Q.parts(g)[1][0]
         pts = [*Q.parts(other)[0], *Q.touch_points(g, other)]
-        return text("MultiLineString", Q.split_at(line, pts, tolerance))
+        return text("MultiLineString", [part for line in lines_of(g) for part in Q.split_at(line, pts, tolerance)])
 
     return row_function("string", run)
 
@@ -278,9 +364,24 @@ def offset(metres: float) -> Callable[..., Column]:
 overlapping_segments = row_function("string", lambda a, b: text("MultiLineString", Q.overlapping_parts(a, b)))
 shared_paths = row_function("string", lambda a, b: text("MultiLineString", Q.shared_paths(a, b)))
 intersections = row_function("string", lambda a, b: text("MultiPoint", Q.touch_points(a, b)))
-frechet = row_function("double", lambda a, b: Q.frechet(Q.vertices(a), Q.vertices(b)))
-distance_along = row_function("double", lambda g, p: Q.distance_along(Q.parts(g)[1][0], tuple(p["coordinates"][:2])))
-nearest_distance = row_function("double", lambda g, p: Q.nearest_on_feature(g, tuple(p["coordinates"][:2]))[0])
+frechet = row_function("double", lambda a, b: Q.frechet(vertices_of(a), vertices_of(b)))
+distance_along = row_function("double", lambda g, p: Q.distance_along(line_of(g), point_of(p)))
+#: The place on a feature that is nearest to a point; the point itself inside a polygon.
+nearest_on_feature = row_function("string", lambda g, p: text("Point", Q.nearest_on_feature(g, point_of(p))[1]))
+#: Which of many points is nearest to a line (or another feature); of equally near ones the least.
+nearest_point_to_line = row_function("string", lambda pts, g: text("Point", min((Q.nearest_on_feature(g, p)[0], p) for p in Q.parts(pts)[0])[1]) if Q.parts(pts)[0] else None)
+nearest_distance = row_function("double", lambda g, p: Q.nearest_on_feature(g, point_of(p))[0])
+
+
+def tile_cover(zoom: int) -> Callable[[Column], Column]:
+    """Map tiles that a geometry touches: array of struct(x, y), in order."""
+    wide = 1 << zoom
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def ids(geometry: pd.Series) -> pd.Series:
+        return pd.Series([None if (g := _load(t)) is None else [x * wide + y for x, y in Q.tile_cover(g, zoom)] for t in geometry], dtype=object)
+
+    return lambda g: F.transform(ids(g), lambda k: F.struct(F.shiftright(k, zoom).cast("int").alias("x"), k.bitwiseAND(F.lit(wide - 1)).cast("int").alias("y")))
 
 
 def self_overlap_of(g, metres: float) -> float:

@@ -2,12 +2,16 @@
 
 Joins between layers are equi-joins on square grid cells followed by an exact
 test. The side with an extent is replicated to the cells that its box covers,
-the point side to its own cell, so a pair meets once and needs no distinct. The
-cell size is a parameter that bounds the replication; AQE splits a hot cell.
+the point side to its own cell, so a pair meets once and needs no distinct. A
+box over MOST_CELLS cells takes cells of twice the size, and so on, and points
+look once into each size that is in use; AQE splits a hot cell. Shapes may cross
+the antimeridian.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +19,30 @@ from geoloom.functions import geodesy as G
 from geoloom.functions import lines as L
 
 
-def cell(v: Column, size: float) -> Column:
+def cell(v: Column, size: float | Column) -> Column:
     return F.floor(v / size).cast("long")
 
 
+#: Most cells that one shape is replicated to, but for one more row and column where it lies across cells' edges.
+MOST_CELLS, MOST_LEVEL = 256, 24
+
+
+def turns(low: Column, high: Column) -> Column:
+    """[low, high] of longitudes that may pass 180 as an array of ranges (a, b) within [-180, 180]."""
+    part = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    middle = part(F.greatest(low, F.lit(-180.0)), F.least(high, F.lit(180.0)))
+    return F.array_compact(F.array(middle, F.when(high > 180, part(F.lit(-180.0), F.least(high - 360.0, F.lit(180.0)))), F.when(low < -180, part(F.greatest(low + 360.0, F.lit(-180.0)), F.lit(180.0)))))
+
+
 def cover(df: DataFrame, xmin: Column, ymin: Column, xmax: Column, ymax: Column, size: float) -> DataFrame:
-    """df once for each cell (_cx, _cy) that the box touches."""
-    out = df.withColumn("_cx", F.explode(F.sequence(cell(xmin, size), cell(xmax, size))))
-    return out.withColumn("_cy", F.explode(F.sequence(cell(ymin, size), cell(ymax, size))))
+    """df once for each cell (_level, _cx, _cy) that the box touches; a box whose xmin exceeds xmax crosses the antimeridian."""
+    high = F.when(xmin > xmax, xmax + 360.0).otherwise(xmax)
+    span = lambda k, extent: extent / (size * F.pow(F.lit(2.0), k)) + 1
+    fits = F.filter(F.sequence(F.lit(0), F.lit(MOST_LEVEL)), lambda k: span(k, high - xmin) * span(k, ymax - ymin) <= MOST_CELLS)
+    out = df.withColumn("_level", F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(MOST_LEVEL)))
+    wide = size * F.pow(F.lit(2.0), F.col("_level"))
+    columns = F.array_distinct(F.flatten(F.transform(turns(xmin, high), lambda t: F.sequence(cell(t["a"], wide), cell(t["b"], wide)))))
+    return out.withColumn("_cx", F.explode(columns)).withColumn("_cy", F.explode(F.sequence(cell(ymin, wide), cell(ymax, wide))))
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, ring: str = "ring", size: float = 5.0, how: str = "inner") -> DataFrame:
@@ -30,13 +50,29 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, ring: str = "ring
 
     how="left_semi" gives the points inside any polygon.
     """
-    b = L.bounds(F.col(ring))
-    boxed = polygons.withColumn("_b", b)
+    boxed = polygons.withColumn("_b", L.bounds(L.unwrapped(F.col(ring))))
     cells = cover(boxed, F.col("_b.xmin"), F.col("_b.ymin"), F.col("_b.xmax"), F.col("_b.ymax"), size)
-    own = points.withColumn("_px", cell(F.col("lon"), size)).withColumn("_py", cell(F.col("lat"), size))
-    in_box = (F.col("lon") >= F.col("_b.xmin")) & (F.col("lon") <= F.col("_b.xmax")) & (F.col("lat") >= F.col("_b.ymin")) & (F.col("lat") <= F.col("_b.ymax"))
-    on = (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")) & in_box & L.ring_contains(F.col(ring), F.col("lon"), F.col("lat"))
-    return own.join(cells, on, how).drop("_px", "_py", "_cx", "_cy", "_b")
+    levels = sorted(r[0] for r in cells.select("_level").distinct().collect())
+    lon, lat = F.col("lon"), F.col("lat")
+    in_box = lambda x: (x >= F.col("_b.xmin")) & (x <= F.col("_b.xmax"))
+    near = (in_box(lon) | in_box(lon + 360.0) | in_box(lon - 360.0)) & (lat >= F.col("_b.ymin")) & (lat <= F.col("_b.ymax"))
+    on = (F.col("_at") == F.col("_level")) & (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")) & near & L.ring_contains(F.col(ring), lon, lat)
+
+    def joined(own: DataFrame, at: list, kind: str) -> DataFrame:
+        wide = size * F.pow(F.lit(2.0), F.col("_at"))
+        own = own.withColumn("_at", F.explode(F.array(*[F.lit(k) for k in at]).cast("array<int>")))
+        own = own.withColumn("_px", cell(lon, wide)).withColumn("_py", cell(lat, wide))
+        return own.join(cells.where(F.col("_level").isin(at)), on, kind).drop("_at", "_px", "_py", "_level", "_cx", "_cy", "_b")
+
+    if how != "left_semi" or len(levels) < 2:
+        return joined(points, levels, how)
+    # A point inside polygons of several levels counts once: each level is asked for what the ones before haven't found.
+    found = [joined(points, levels[:1], "left_semi")]
+    rest = points
+    for before, at in zip(levels, levels[1:]):
+        rest = joined(rest, [before], "left_anti")
+        found.append(joined(rest, [at], "left_semi"))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def collect(polygons: DataFrame, points: DataFrame, polygon_id: str, value: str, order: str, out: str, size: float = 5.0) -> DataFrame:
