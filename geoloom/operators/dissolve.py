@@ -1,4 +1,4 @@
-"""Unions of polygons by group, as a two-level tree: by grid cell, then by key."""
+"""Unions of polygons by group, as a tree: by grid cells of growing size, then by key."""
 
 from __future__ import annotations
 
@@ -13,21 +13,24 @@ from geoloom.kernels import planar as P
 from geoloom.kernels import predicates as Q
 
 
-def dissolved(features: DataFrame, key: str, size: float = 30.0, remove_unknown: bool = False) -> DataFrame:
+def dissolved(features: DataFrame, key: str, size: float = 5.0, remove_unknown: bool = False, levels: int = 4) -> DataFrame:
     """(key, geometry): the union of the polygons of each key; a missing key is a group of its own unless removed.
 
-    Members are first merged in the grid cell of their first vertex, so that a
-    large group is spread over tasks and only its merged parts meet in one.
+    Members are first merged in the grid cell of their first vertex, then in cells
+    of twice the size, and so on, so that a large group is spread over tasks and
+    only its merged parts meet in one: cells count from the world's corner.
     """
     own = features.where(F.col(key).isNotNull()) if remove_unknown else features
     first = F.try_variant_get(F.try_parse_json("geometry"), "$.coordinates[0][0]", "array<double>")
     kind = features.schema[key].dataType.simpleString()
-    keyed = own.select(key, "geometry", F.floor(first[0] / size).alias("cx"), F.floor(first[1] / size).alias("cy"))
+    keyed = own.select(key, "geometry", F.floor((first[0] + 540) / size).cast("long").alias("cx"), F.floor((first[1] + 90) / size).cast("long").alias("cy"))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         polygons = [q for t in pdf["geometry"] if t is not None for q in Q.parts(json.loads(t))[2]]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "geometry": [shapes.multi(P.union_all(polygons))]})
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "cx": [pdf["cx"].iloc[0]], "cy": [pdf["cy"].iloc[0]], "geometry": [shapes.multi(P.union_all(polygons))]})
 
-    schema = f"`{key}` {kind}, geometry string"
-    part = keyed.groupBy(key, "cx", "cy").applyInPandas(merge, schema)
-    return part.groupBy(key).applyInPandas(merge, schema)
+    schema = f"`{key}` {kind}, cx long, cy long, geometry string"
+    for _ in range(levels):
+        keyed = keyed.groupBy(key, "cx", "cy").applyInPandas(merge, schema).select(key, "geometry", F.expr("cx div 2").alias("cx"), F.expr("cy div 2").alias("cy"))
+    whole = keyed.select(key, "geometry", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"))
+    return whole.groupBy(key, "cx", "cy").applyInPandas(merge, schema).select(key, "geometry")

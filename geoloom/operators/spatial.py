@@ -11,6 +11,7 @@ the antimeridian.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +76,36 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, ring: str = "ring
     return functools.reduce(DataFrame.unionByName, found)
 
 
+def shapes_join(left: DataFrame, right: DataFrame, size: float = 5.0, test: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """left (lid, left_shape, left_box) x right (rid, right_shape, right_box) whose shapes meet, or for which test(left, right) holds.
+
+    Shapes are GeoJSON, boxes are structs (xmin, ymin, xmax, ymax) with xmin above
+    xmax across the antimeridian. Both sides go to the cells of their boxes, so a
+    large side is replicated by its own size only; a pair that shares several
+    cells is kept in the one of its boxes' common corner, and only pairs whose
+    boxes meet reach the exact test.
+    """
+    from geoloom.functions import shapes as K
+
+    # Both sides use one size: the least level at which neither needs more than MOST_CELLS for its largest shape.
+    def wide(df: DataFrame, box: str) -> Column:
+        b = F.col(box)
+        return F.greatest(F.when(b["xmin"] > b["xmax"], b["xmax"] + 360.0).otherwise(b["xmax"]) - b["xmin"], b["ymax"] - b["ymin"])
+
+    extent = max((df.agg(F.max(wide(df, box))).first()[0] or 0.0) for df, box in ((left, "left_box"), (right, "right_box")))
+    while (extent / size + 1) ** 2 > MOST_CELLS:
+        size *= 2
+    put = lambda df, box: cover(df, *[F.col(f"{box}.{c}") for c in ("xmin", "ymin", "xmax", "ymax")], size).drop("_level")
+    pairs = put(left, "left_box").join(put(right, "right_box"), ["_cx", "_cy"])
+    a, b = F.col("left_box"), F.col("right_box")
+    plain = (a["xmin"] <= a["xmax"]) & (b["xmin"] <= b["xmax"])
+    corner = (F.col("_cx") == cell(F.greatest(a["xmin"], b["xmin"]), size)) & (F.col("_cy") == cell(F.greatest(a["ymin"], b["ymin"]), size))
+    meet = (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])
+    once = pairs.where(plain & corner & meet).drop("_cx", "_cy")
+    across = pairs.where(~plain).drop("_cx", "_cy").dropDuplicates(["lid", "rid"])
+    return once.unionByName(across).where((test or K.intersects)(F.col("left_shape"), F.col("right_shape")))
+
+
 def collect(polygons: DataFrame, points: DataFrame, polygon_id: str, value: str, order: str, out: str, size: float = 5.0) -> DataFrame:
     """polygons with an array of a property of the points inside each, in point order; empty where there are none."""
     slim = points.select("lon", "lat", F.col(order).alias("_o"), F.col(value).alias("_v")).where(F.col("_v").isNotNull())
@@ -100,22 +131,29 @@ def within_distance(left: DataFrame, right: DataFrame, metres: float) -> DataFra
     stored = right.withColumn("_r", row(F.col("rlat"))).withColumn("_c", column(F.col("rlon"), F.col("_r")))
     asked = left.withColumn("_r", F.explode(F.array(*[row(F.col("lat")) + k for k in (-1, 0, 1)])))
     near = F.array_distinct(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.pmod(column(F.col("lon"), F.col("_r")) + k, columns(F.col("_r")))))
-    asked = asked.withColumn("_c", F.explode(near))
+    # Dealt by cell in any case: a small right side would be broadcast and leave the work to the splits of the left one.
+    asked = asked.withColumn("_c", F.explode(near)).repartition("_r", "_c")
     d = G.distance(F.col("lon"), F.col("lat"), F.col("rlon"), F.col("rlat"))
     return asked.join(stored, ["_r", "_c"]).withColumn("distance", d).where(F.col("distance") <= metres).drop("_r", "_c")
 
 
 def nearest(left: DataFrame, right: DataFrame, start: float = 200_000.0) -> DataFrame:
-    """The nearest right point of each left one (lid, rid, distance), by widening searches for those still without."""
+    """The nearest right point of each left one (lid, rid, distance), by widening searches for those still without.
+
+    A round is written before the next, which asks for the points left over only.
+    """
+    from geoloom.operators.graphs import settled
+
     found, left_over, metres = None, left, start
     while True:
         near = within_distance(left_over, right, metres)
         best = near.groupBy("lid").agg(F.min(F.struct("distance", "rid")).alias("b")).select("lid", F.col("b.rid").alias("rid"), F.col("b.distance").alias("distance"))
+        best = settled(best)
         found = best if found is None else found.unionByName(best)
-        if metres > 20_100_000:
+        left_over = settled(left_over.join(best.select("lid"), "lid", "left_anti"))
+        if metres > 20_100_000 or left_over.isEmpty():
             return found
-        left_over = left_over.join(best.select("lid"), "lid", "left_anti")
-        metres *= 10
+        metres *= 3
 
 
 def flattened(multi: DataFrame, parts: str) -> DataFrame:
@@ -190,10 +228,11 @@ def dbscan(points: DataFrame, metres: float, min_points: int = 3) -> DataFrame:
     A core point has min_points others within reach; an edge point takes the
     least cluster that reaches it.
     """
-    from geoloom.operators.graphs import components
+    from geoloom.operators.graphs import components, settled
 
     own = points.select(F.col("id").alias("lid"), "lon", "lat")
     pairs = within_distance(own, points.select(F.col("id").alias("rid"), F.col("lon").alias("rlon"), F.col("lat").alias("rlat")), metres).where("lid <> rid").select("lid", "rid")
+    pairs = settled(pairs)
     core = pairs.groupBy("lid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select(F.col("lid").alias("core"))
     from_core = pairs.join(core, F.col("lid") == F.col("core")).select("lid", "rid")
     both = from_core.join(core, F.col("rid") == F.col("core")).select(F.col("lid").alias("src"), F.col("rid").alias("dst"))

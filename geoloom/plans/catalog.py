@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that define QUERIES (name -> query) and ORACLES (name -> SQL).
-PARTS = ("scalar_queries", "line_queries", "collection_queries", "query_language_queries", "graph_queries", "kernel_queries")
+PARTS = ("scalar_queries", "line_queries", "collection_queries", "query_language_queries", "graph_queries", "kernel_queries", "shape_queries")
 
 
 def _gather(kind: str) -> dict:

@@ -142,9 +142,9 @@ edge AS (SELECT near.b AS id, min(cluster) AS cluster FROM near JOIN label ON ne
 """
 
 
-@register("SELECT p.id, CASE WHEN l.id IS NOT NULL THEN 'core' WHEN e.id IS NOT NULL THEN 'edge' ELSE 'noise' END AS dbscan FROM customer_pt p LEFT JOIN label l ON p.id = l.id LEFT JOIN edge e ON p.id = e.id", "customer_pt", more=DBSCAN.strip())
+@register("SELECT p.id, CASE WHEN l.id IS NOT NULL THEN 'core' WHEN e.id IS NOT NULL THEN 'edge' ELSE 'noise' END AS dbscan, coalesce(l.cluster, e.cluster, -1) AS cluster FROM customer_pt p LEFT JOIN label l ON p.id = l.id LEFT JOIN edge e ON p.id = e.id", "customer_pt", more=DBSCAN.strip())
 def dbscan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.dbscan(points(spark, sf_dir, "customer_pt"), 450_000, 3).select("id", "dbscan")
+    return spatial.dbscan(points(spark, sf_dir, "customer_pt"), 450_000, 3).select("id", "dbscan", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
 # Grids: cell counts and corners follow from plain arithmetic.
