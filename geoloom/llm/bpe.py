@@ -204,50 +204,73 @@ class Codec:
         return stream_characters(tokens, chunk)
 
 
-#: UTF-8 machine: what the lead byte demands, as (first lead, last lead, continuation bytes).
-LEADS = ((0x00, 0x7F, 0), (0xC2, 0xDF, 1), (0xE0, 0xEF, 2), (0xF0, 0xF4, 3))
-
-
-def utf8_step(need: int, byte: int) -> int:
-    """Continuation bytes still needed after this byte; a byte out of place stands alone."""
-    if need and 0x80 <= byte <= 0xBF:
-        return need - 1
-    for low, high, n in LEADS:
-        if low <= byte <= high:
-            return n
-    return 0
-
-
-def complete(data: bytes) -> int:
-    """Length of the longest prefix of data that doesn't end inside a character.
-
-    The machine is self-synchronising: it starts at the last byte that can't be
-    a continuation, at most three bytes before the end.
-    """
-    start = len(data)
-    for k in range(1, min(4, len(data)) + 1):
-        if not 0x80 <= data[-k] <= 0xBF:
-            start = len(data) - k
-            break
-    need = 0
-    for byte in data[start:]:
-        need = utf8_step(need, byte)
-    return start if need else len(data)
+#: UTF-8: first and last lead byte, and the ranges of the bytes that must follow.
+ANY = (0x80, 0xBF)
+LEADS = (
+    (0xC2, 0xDF, (ANY,)), (0xE0, 0xE0, ((0xA0, 0xBF), ANY)), (0xE1, 0xEC, (ANY, ANY)), (0xED, 0xED, ((0x80, 0x9F), ANY)), (0xEE, 0xEF, (ANY, ANY)),
+    (0xF0, 0xF0, ((0x90, 0xBF), ANY, ANY)), (0xF1, 0xF3, (ANY, ANY, ANY)), (0xF4, 0xF4, ((0x80, 0x8F), ANY, ANY)),
+)
+AFTER_LEAD = {byte: need for low, high, need in LEADS for byte in range(low, high + 1)}
+
+
+class Utf8Machine:
+    """Incremental: its state is what the character begun still needs, and is kept from one piece of bytes to the next."""
+
+    def __init__(self):
+        self.need: tuple = ()
+        self.begun = 0
+
+    def step(self, byte: int) -> None:
+        """A byte that the character begun can't have ends that one, whose bytes then stand alone, and may begin another."""
+        if self.need and self.need[0][0] <= byte <= self.need[0][1]:
+            self.need, self.begun = self.need[1:], self.begun + 1
+        else:
+            self.need = AFTER_LEAD.get(byte, ())
+            self.begun = 1
+        if not self.need:
+            self.begun = 0
+
+    def feed(self, data: bytes) -> int:
+        """How many bytes of data there are up to the end of the last whole character, or byte that stands alone.
+
+        A byte that no character goes on with leads to the same state from any, so
+        of a long piece only what follows the last of those is stepped through.
+        """
+        start = 0
+        for k in range(len(data) - 1, max(-1, len(data) - 5), -1):
+            if not 0x80 <= data[k] <= 0xBF:
+                start = k
+                self.need, self.begun = (), 0
+                break
+        else:
+            if len(data) > 4:
+                # Four such bytes or more: the last of them stands alone, whatever was before.
+                start = len(data)
+                self.need, self.begun = (), 0
+        for byte in data[start:]:
+            self.step(byte)
+        return max(0, len(data) - self.begun)
 
 
 def stream_characters(tokens: Iterable[bytes], chunk: int = CHUNK) -> Iterator[bytes]:
     """Join token bytes and yield them in parts of about `chunk` bytes cut at character ends."""
-    held, size = [], 0
+    machine, tail, held, size = Utf8Machine(), b"", [], 0
     for token in tokens:
         held.append(token)
         size += len(token)
         if size >= chunk:
             data = b"".join(held)
-            cut = complete(data)
-            if cut:
-                yield data[:cut]
-            held, size = [data[cut:]], len(data) - cut
-    if rest := b"".join(held):
+            cut = machine.feed(data)
+            # The tail is of a character begun before; it goes as soon as that is whole, or found not to be one.
+            if cut or machine.begun < len(tail) + len(data):
+                part = tail + data
+                end = len(part) - machine.begun
+                yield part[:end]
+                tail = part[end:]
+            else:
+                tail += data
+            held, size = [], 0
+    if rest := tail + b"".join(held):
         yield rest
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -10,6 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.llm import files
+
+_FOLDERS: set[str] = set()
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
+    """A new folder below the application's own in the cluster's shared checkpoint folder; that one is removed when the driver exits.
 
     Only where no folder is configured (tests on one machine) is one chosen here.
     """
@@ -28,7 +33,11 @@ def scratch(spark: SparkSession, tag: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "geoloom-scratch")
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/geoloom-{spark.sparkContext.applicationId}"
+    if own not in _FOLDERS:
+        _FOLDERS.add(own)
+        atexit.register(files.remove_folder, own if "://" in own else f"file://{own}")
+    return f"{own}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

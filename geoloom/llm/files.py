@@ -20,6 +20,15 @@ def make_folder(uri: str) -> None:
     system.create_dir(path, recursive=True)
 
 
+def remove_folder(uri: str) -> None:
+    """Remove a folder with what is in it, where there is one."""
+    from pyarrow import fs
+
+    system, path = at(uri)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
+
+
 def create(uri: str) -> Any:
     system, path = at(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import materialize, quoted, table, word_count
+from geoloom.llm.common import materialize, quoted, table
 from geoloom.llm.graph import components
 from geoloom.llm.runs import key_runs
 from geoloom.llm.worker import held
@@ -453,12 +453,14 @@ def keep_first(docs: DataFrame, joined: DataFrame, key: str = "doc_id", text: st
     A text without shingles is a class of its own, so all rows with one stay. Of
     rows equal in key and text one stays.
     """
-    own = joined.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), F.col("text_digest").alias("digest"))).alias("_k"))
-    own = own.select(F.col("_k.key").alias("_k_key"), F.col("_k.digest").alias("_k_digest"))
-    with_words = word_count(F.col(f"`{text}`")) > 0
-    rows = docs.where(with_words).select(F.struct(*quoted(docs.columns)).alias("doc"), F.col(f"`{key}`").alias("key"), text_digest(text).alias("digest"))
-    rows = rows.join(own, F.col("key").eqNullSafe(F.col("_k_key")) & (F.col("digest") == F.col("_k_digest")))
-    return rows.dropDuplicates(["_k_key", "_k_digest"]).select(*[F.col(f"doc.`{c}`") for c in docs.columns]).unionByName(docs.where(~with_words))
+    # One key of the join and of what follows it, so that texts are shuffled once.
+    named = lambda k, digest: F.struct(F.coalesce(k.cast("string"), F.lit("")).alias("key"), k.isNull().alias("none"), digest.alias("digest"))
+    least = F.min(F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), F.col("text_digest").alias("digest"))).alias("k")
+    kept = joined.where("root is not null").groupBy("root").agg(least).select(named(F.col("k.key"), F.col("k.digest")).alias("at"))
+    with_words = F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(with_words).select(named(F.col(f"`{key}`"), text_digest(text)).alias("at"), F.struct(*quoted(docs.columns)).alias("doc"))
+    one = rows.join(kept, "at").dropDuplicates(["at"])
+    return one.select(*[F.col(f"doc.`{c}`") for c in docs.columns]).unionByName(docs.where(~with_words))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,6 +245,37 @@ def test_bpe_equals_tiktoken(codec):
             p.decode()
 
 
+def test_utf8_machine_equals_a_search_for_characters():
+    """What is pending after each piece, of valid text and of random bytes in random cuts, overlong forms and surrogates included."""
+    begun = {x[:k] for c in range(0x80, 0x110000, 64) if not 0xD800 <= c < 0xE000 for x in (chr(c).encode(),) for k in range(1, len(x))}
+
+    def pending(data):
+        at = 0
+        while at < len(data):
+            if data[at:] in begun:
+                return len(data) - at
+            at += next((k for k in (1, 2, 3, 4) if len(data[at : at + k].decode("utf-8", "ignore")) == 1 and data[at : at + k].decode("utf-8", "ignore").encode() == data[at : at + k]), 1)
+        return 0
+
+    r = random.Random(6)
+    bits = [b"a", "é".encode(), "日".encode(), "😀".encode(), b"\xe0\x80", b"\xed\xa0", b"\xf4\x90", b"\xf0\x8f", b"\xc0", b"\xff", b"\x80", b"\xf0\x9f", b"\xe2\x82", b"\xf4\x8f\xbf"]
+    for _ in range(3000):
+        data = b"".join(r.choice(bits) for _ in range(r.randint(1, 12)))
+        machine, at = bpe.Utf8Machine(), 0
+        while at < len(data):
+            n = r.randint(1, 7)
+            piece = data[at : at + n]
+            at += n
+            cut = machine.feed(piece)
+            want = pending(data[:at])
+            assert machine.begun == want and cut == max(0, len(piece) - want), (data, piece)
+        tokens = [data[k : k + 2] for k in range(0, len(data), 2)]
+        assert b"".join(bpe.stream_characters(tokens, 3)) == data
+    text = "".join(r.choice("aé日😀") for _ in range(500)).encode()
+    for part in bpe.stream_characters([text[k : k + 3] for k in range(0, len(text), 3)], 5):
+        part.decode()
+
+
 def test_bpe_drops_states_and_goes_on(codec):
     small = bpe.Transducer(codec.merges, max_states=50)
     for w in VOCABULARY:
