@@ -32,6 +32,51 @@ def test_overlay_of_boxes(ax, ay, aw, ah, bx, by, bw, bh):
         assert math.isclose(P.multi_area(P.overlay([a], [b], op)), area, abs_tol=1e-6)
 
 
+def star(r, n, x, y, size=1.0):
+    return P.closed([(x + size * (0.3 + r.random()) * math.cos(2 * math.pi * k / n), y + size * (0.3 + r.random()) * math.sin(2 * math.pi * k / n)) for k in range(n)])
+
+
+def test_overlay_of_stars():
+    """A thousand pairs of concave polygons, some with holes, some with shared edges: areas add up, and the union is found."""
+    for seed in range(1000):
+        r = random.Random(seed)
+        a, b = ([P.oriented(star(r, r.choice((5, 9, 17)), r.uniform(-0.5, 0.5), r.uniform(-0.5, 0.5)))] for _ in range(2))
+        if seed % 3 == 0:
+            a.append(P.oriented(star(r, 5, *P.centroid(a[0]), 0.05), False))
+        if seed % 5 == 0:
+            b = [[*a[0][:3], *b[0][:3], a[0][0]]]
+        own, other = P.multi_area(P.unkinked(a)), P.multi_area(P.unkinked(b))
+        union, both, less, xor = (P.multi_area(P.overlay([a], [b], op)) for op in ("union", "intersection", "difference", "xor"))
+        assert abs(union + both - own - other) < 1e-7 and abs(less + both - own) < 1e-7 and abs(xor + both - union) < 1e-7, seed
+
+
+def test_corner_joins_and_the_antimeridian():
+    k = P.METRES_PER_DEGREE
+    line = [(0.0, -0.1), (0.0, 0.0), (0.1, 0.0)]
+    strips = 2 * 0.1 * k * 1000 * 2 - 1000**2
+    for join, more in (("miter", 1.0), ("bevel", 0.5)):
+        got = P.multi_area(P.buffer("LineString", line, 1000, 64, "butt", join)) * k * k
+        assert math.isclose(got, strips + more * 1000**2, rel_tol=1e-4)
+    far = P.buffer("LineString", [(179.9, 0.0), (-179.9, 0.0)], 10_000)
+    assert len(far) == 2 and all(abs(x) <= 180 for g in far for ring in g for x, _ in ring)
+    assert len(P.buffer("MultiPoint", [(0, 0), (0.1, 0)], 10_000)) == 2 and len(P.buffer("MultiPoint", [(0, 0), (0.1, 0)], 10_000, merge="overlapping")) == 1
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_tile_cover(seed):
+    """Every sampled inner point's tile is there, and every other tile is passed by an edge; also across the antimeridian."""
+    r = random.Random(seed)
+    zoom, n = r.choice((3, 5, 6)), 9
+    ring = star(r, n, r.uniform(-150, 175), r.uniform(-50, 50), 20)
+    got = set(Q.tile_cover({"type": "Polygon", "coordinates": [[((x + 180) % 360 - 180, y) for x, y in ring]]}, zoom))
+    tile = lambda p: (math.floor(Q.tile_point(p, zoom)[0]) % 2**zoom, math.floor(Q.tile_point(p, zoom)[1]))
+    inner = {tile(p) for p in ((r.uniform(min(a[0] for a in ring), max(a[0] for a in ring)), r.uniform(min(a[1] for a in ring), max(a[1] for a in ring))) for _ in range(4000)) if P.in_ring(p, ring)}
+    passed = {(x % 2**zoom, y) for a, b in P.edges_of(ring) for x, y in Q.tiles_along(Q.tile_point(a, zoom), Q.tile_point(b, zoom))}
+    assert inner <= got and passed <= got
+    if zoom < 6:
+        assert got <= inner | passed
+
+
 def test_union_with_holes():
     ring = P.overlay([box(0, 0, 10, 10)], [box(3, 3, 2, 2)], "difference")
     assert len(ring) == 1 and len(ring[0]) == 2 and math.isclose(P.multi_area(ring), 96)
