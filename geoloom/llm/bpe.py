@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from geoloom.llm.common import table
 from geoloom.llm.worker import held
 
-MAX_STATES = 200_000
+MAX_STATES = 350_000
 MAX_PIECES = 600_000
 CHUNK = 8192
 
@@ -141,12 +141,18 @@ class Transducer:
             if self.trie[child]:
                 live.append((child, last, pending))
         live.append(ended)
-        shortest = min(len(p) for _, _, p in live)
-        n = 0
-        while n < shortest and all(p[n] == live[0][2][n] for _, _, p in live):
-            n += 1
-        sure = live[0][2][:n]
-        if n:
+        # What all ways agree on; mostly the first has nothing decided yet, or is the only one.
+        sure = live[0][2]
+        for _, _, p in live:
+            if not sure:
+                break
+            if p[: len(sure)] != sure:
+                n = 0
+                while n < len(p) and n < len(sure) and p[n] == sure[n]:
+                    n += 1
+                sure = sure[:n]
+        if sure:
+            n = len(sure)
             live = [(node, last, p[n:]) for node, last, p in live]
         to = self.state(tuple(live), live[-1][2])
         state.moves[byte] = (to, sure)
@@ -199,9 +205,9 @@ class Codec:
 
     def decode(self, packed: bytes, chunk: int = CHUNK) -> Iterator[bytes]:
         """Pieces of the text's bytes that end at character ends."""
-        ids = memoryview(packed).cast("I") if packed else ()
-        tokens = (self.merges.bytes_of[i] for i in ids)
-        return stream_characters(tokens, chunk)
+        ids = memoryview(packed).cast("I").tolist() if packed else []
+        get, step = self.merges.bytes_of.__getitem__, max(1, chunk // 8)
+        return stream_characters((b"".join(map(get, ids[k : k + step])) for k in range(0, len(ids), step)), chunk)
 
 
 #: UTF-8: first and last lead byte, and the ranges of the bytes that must follow.
