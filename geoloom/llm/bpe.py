@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from geoloom.llm.common import table
 from geoloom.llm.worker import held
 
-MAX_STATES = 350_000
-MAX_PIECES = 600_000
+MAX_STATES = 280_000
+MAX_PIECES = 300_000
 CHUNK = 8192
 
 
