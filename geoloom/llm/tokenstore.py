@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,41 +38,63 @@ from geoloom.llm.worker import held
 
 END_ID = 1
 KEYS_PER_INDEX = 500_000
-MAX_WORDS = 1_000_000
+MAX_WORDS, LONG_WORD = 1_000_000, 200
 GAMMA = 2.0
 MAX_LEVELS = 48
 
 MIX = 0x9E3779B97F4A7C15
 
 
-class WordEncoder:
-    """A tokenizers model behind a cache of words.
+#: Latin letters with ASCII marks after them, apostrophes apart: the model's rules split such a word into its letters, in lower case, and the marks.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class WordEncoder(dict):
+    """A tokenizers model behind a cache: word -> its packed ids.
 
     Tokens never cross ASCII white space and no rule of the model looks past it,
     so a text's ids are those of its words in a row. The model's added tokens,
-    which hold no white space, are found in texts as the library finds them.
+    which hold no white space, are found in texts as the library finds them. The
+    letters and the marks of a plain word are asked of the library one by one, so
+    letters seen before with other marks aren't asked for again, and letters of
+    ASCII, which no rule changes or splits, are asked of its merges directly.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.words = re.compile(r"[^\x20\x09-\x0D]+").findall
-        self.known: dict[str, bytes] = {}
+        self.merges = self.model.model
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = np.array([END_ID], self.dtype).tobytes()
 
+    def ids_of(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and word.islower():
+            ids = [t.id for t in self.merges.tokenize(word)]
+        else:
+            ids = self.model.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def __missing__(self, word: str) -> bytes:
+        plain = PLAIN.fullmatch(word)
+        if plain and (plain[2] or word != word.lower()):
+            packed = self[plain[1].lower()] + (self[plain[2]] if plain[2] else b"")
+        else:
+            packed = self.ids_of(word)
+        if len(word) < LONG_WORD:
+            self[word] = packed
+        return packed
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text, with the end id."""
-        split = [self.words(x or "") for x in texts]
-        if len(self.known) > MAX_WORDS:
-            self.known.clear()
-        order = list(set().union(*split).difference(self.known))
-        for word, got in zip(order, self.model.encode_batch(order, add_special_tokens=False)):
-            self.known[word] = np.array(got.ids, self.dtype).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) + self.end for words in split]
+        if len(self) > MAX_WORDS:
+            self.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, self.words(x or ""))) + self.end for x in texts]
 
 
 def encoder(path: str) -> WordEncoder:

@@ -472,6 +472,20 @@ def test_token_store(spark, docs, none):
     assert tokenstore.look_up(keys, root).count() == 0
 
 
+def test_word_encoder_equals_the_library():
+    """Words taken apart, against the library on whole texts: marks, apostrophes, digits, accents, joined marks, added tokens."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(12)
+    model, own = Tokenizer.from_file(path), tokenstore.WordEncoder(path)
+    bits = ["the", "The", "WORLD", "ñoño", "Straße", "ÀÉ", "e\u0301", "İ", "ﬁ", "日本", "😀", "7", "42", "'s", "'", "'ll", "don't", ".", ",", "!!", "###", "$%&", "_", "-", "<|", "|>", "<|endoftext|>", "\u00a0", "\u0338", "=", "  ", "\n", "\x1c", "×", "÷"]
+    texts = ["".join(r.choice([*bits, " ", " "]) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["x" * 500, None]
+    kind = own.dtype
+    for text, packed in zip(texts, own.encode(texts)):
+        assert np.frombuffer(packed, kind).tolist() == [*model.encode(text or "", add_special_tokens=False).ids, 1], text
+
+
 def test_perfect_hash_is_minimal_and_perfect():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64)
     keys = np.concatenate([keys, keys[:2]])
