@@ -124,8 +124,9 @@ kernel("slice_along", "order_line", lambda: {"x": F.get_json_object(K.slice_alon
 _ends = lambda: F.format_string('{"type":"MultiPoint","coordinates":[[%s,%s],[%s,%s]]}', F.col("line")[0]["x"], F.col("line")[0]["y"], F.element_at("line", -1)["x"], F.element_at("line", -1)["y"])
 kernel("line_slice", "order_line", lambda: {"n": n_of(K.slice_between(GEO(), _ends()))}, {"n": "CAST(len(line) AS INTEGER)"})
 _at = lambda: point(F.col("line")[1]["x"], F.col("line")[1]["y"])
-kernel("line_split", "order_line", lambda: {"n": n_of(K.line_split()(J.line_json(F.slice("line", 1, 3)), _at()))}, {"n": "CASE WHEN len(line) > 2 THEN 2 ELSE 1 END"})
-kernel("distance_along", "order_line", lambda: {"d": K.distance_along(J.line_json(F.slice("line", 1, 2)), _at())}, {"d": r(S.distance("line[1].x", "line[1].y", "line[2].x", "line[2].y"), 2)}, 2)
+kernel("line_split", "order_line", lambda: {"n": n_of(K.line_split()(GEO(), _at()))}, {"n": "CASE WHEN len(line) > 2 THEN 2 ELSE 1 END"})
+_half = lambda: point((F.col("line")[0]["x"] + F.col("line")[1]["x"]) / 2, (F.col("line")[0]["y"] + F.col("line")[1]["y"]) / 2)
+kernel("distance_along", "order_line", lambda: {"d": K.distance_along(GEO(), _half())}, {"d": r(S.distance("line[1].x", "line[1].y", "(line[1].x + line[2].x) / 2", "(line[1].y + line[2].y) / 2"), 2)}, 2)
 kernel("line_offset", "nation_box", lambda: {"y": F.get_json_object(K.offset(111_325.0)(J.line_json(F.array(L.xy(F.col("xmin"), F.col("ymin")), L.xy(F.col("xmax"), F.col("ymin"))))), "$.coordinates[0][1]").cast("double")}, {"y": r("ymin - 1")})
 _edge = lambda: J.line_json(F.array(L.xy(F.col("xmin") + 1, F.col("ymin")), L.xy(F.col("xmax") + 9, F.col("ymin"))))
 kernel("overlapping_segments", "nation_box", lambda: {"n": n_of(K.overlapping_segments(GEO(), _edge())), "x": F.get_json_object(K.shared_paths(_edge(), GEO()), "$.coordinates[0][1][0]").cast("double")}, {"n": "1", "x": r("xmax")})
@@ -134,7 +135,7 @@ kernel("estimated_overlap", "nation_box", lambda: {"m": K.estimated_overlap()(_f
 _joined = lambda: F.format_string('{"type":"MultiLineString","coordinates":[[[0,0],[1,1]],[[2,0],[1,1]],[[5,5],[6,%s]]]}', F.col("ymin"))
 kernel("line_merged", "nation_box", lambda: {"n": n_of(K.line_merged(_joined()))}, {"n": "2"})
 kernel("intersections", "nation_box", lambda: {"n": n_of(K.intersections(GEO(), _through()))}, {"n": "2"})
-kernel("frechet", "order_line", lambda: {"same": K.frechet(GEO(), GEO()), "m": K.frechet(J.line_json(F.slice("line", 1, 1)), GEO())}, {"same": "0.0", "m": r(f"list_max(list_transform(line, lambda c: {S.distance('line[1].x', 'line[1].y', 'c.x', 'c.y')}))", 2)}, 2)
+kernel("frechet", "order_line", lambda: {"same": K.frechet(GEO(), GEO()), "m": K.frechet(J.line_json(F.concat(F.slice("line", 1, 1), F.slice("line", 1, 1))), GEO())}, {"same": "0.0", "m": r(f"list_max(list_transform(line, lambda c: {S.distance('line[1].x', 'line[1].y', 'c.x', 'c.y')}))", 2)}, 2)
 kernel("nearest_on_feature", "nation_box", lambda: {"inside": K.nearest_distance(GEO(), point(F.col("xmin") + 1, F.col("ymin") + 1)), "south": K.nearest_distance(GEO(), point(F.col("xmin") + 1, F.col("ymin") - 1))}, {"inside": "0.0", "south": f"round(radians(1.0) * {S.R}, 2)"}, 2)
 
 # Codecs

@@ -88,8 +88,8 @@ _h = lambda: L.length(F.slice(LINE(), 1, 2)) / 3
 _hd = f"({S.distance('line[1].x', 'line[1].y', 'line[2].x', 'line[2].y')} / 3)"
 _hb = S.bearing("line[1].x", "line[1].y", "line[2].x", "line[2].y")
 shape("along", "order_line", lambda: {"x": L.along(LINE(), _h())["x"], "y": L.along(LINE(), _h())["y"]}, {"x": r(S.dest_lon("line[1].x", "line[1].y", _hd, _hb), 5), "y": r(S.dest_lat("line[1].y", _hd, _hb), 5)}, 5)
-_h1 = f"list_max(list_transform(line, lambda c: list_min(list_transform(line[1:3], lambda d: {S.distance('c.x', 'c.y', 'd.x', 'd.y')}))))"
-shape("hausdorff", "order_line", lambda: {"m": L.hausdorff(LINE(), F.slice(LINE(), 1, 3))}, {"m": r(_h1)})
+_h1 = f"list_max(list_transform(line, lambda c: list_min(list_transform(list_reverse(line)[2:len(line)], lambda d: {S.distance('c.x', 'c.y', 'd.x', 'd.y')}))))"
+shape("hausdorff", "order_line", lambda: {"m": L.hausdorff(LINE(), F.slice(F.reverse(LINE()), F.lit(2), F.size(LINE()) - 1))}, {"m": r(_h1)})
 _box = lambda: L.box_ring(F.lit(-5.123), F.lit(-4.321), F.lit(6.234), F.lit(5.432))
 shape("line_crossings", "order_line", lambda: {"n": F.size(L.intersections(LINE(), F.array(L.xy(F.lit(-50.0), F.lit(1.2345)), L.xy(F.lit(50.0), F.lit(1.2345)))))},
       {"n": "CAST(len(list_filter(range(1, len(line)), lambda i: (line[i].y > 1.2345) <> (line[i + 1].y > 1.2345))) AS INTEGER)"})
