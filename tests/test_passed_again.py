@@ -16,3 +16,10 @@ def test_points_beside_an_edge(spark):
     row = df.select(*[f("line", F.lit(x), F.lit(y)) for x, y in (off, on) for f in (lambda c, x, y: L.on_line(F.col(c), x, y), lambda c, x, y: L.ring_contains(F.col(c), x, y))]).first()
     assert list(row) == [False, False, True, True]
     assert not P.in_ring(off, ring) and P.in_ring(on, ring) and not Q.on_line(off, ring) and Q.on_line(on, ring)
+
+
+def test_distance_to_the_first_pass():
+    there_and_back = [(0.0, 0.0), (3.0, 1.0), (0.0, 0.0), (5.0, 5.0)]
+    half = (1.5, 0.5)
+    assert abs(Q.distance_along(there_and_back, half) - Q.haversine((0.0, 0.0), half)) < 1e-6
+    assert Q.distance_along(there_and_back, (0.0, 0.0)) == 0
