@@ -33,3 +33,9 @@ def test_crossings_of_a_line_that_comes_back(spark):
     df = spark.createDataFrame([([{"x": x, "y": y} for x, y in ((0.0, 0.0), (0.0, 2.0), (0.0, 0.0), (1.0, 2.0))],)], "line array<struct<x: double, y: double>>")
     other = F.array(L.xy(F.lit(-5.0), F.lit(1.0)), L.xy(F.lit(5.0), F.lit(1.0)))
     assert list(df.select(F.size(L.intersections(F.col("line"), other)), F.size(L.intersections(F.col("line"), other, distinct=False))).first()) == [2, 3]
+
+
+def test_slice_of_a_line_that_comes_back():
+    for line in ([(0.0, 0.0), (0.0, 0.0), (3.0, 1.0), (5.0, 5.0)], [(0.0, 0.0), (3.0, 1.0), (0.0, 0.0), (4.0, 4.0), (3.0, 1.0)], [(0.0, 0.0), (3.0, 1.0), (7.0, 2.0), (7.0, 2.0)]):
+        assert Q.slice_between(line, line[0], line[-1]) == line
+    assert Q.slice_between([(0.0, 0.0), (1.0, 0.0), (2.0, 0.0), (3.0, 0.0)], (1.0, 0.0), (2.0, 0.0)) == [(1.0, 0.0), (2.0, 0.0)]
