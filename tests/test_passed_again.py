@@ -39,3 +39,10 @@ def test_slice_of_a_line_that_comes_back():
     for line in ([(0.0, 0.0), (0.0, 0.0), (3.0, 1.0), (5.0, 5.0)], [(0.0, 0.0), (3.0, 1.0), (0.0, 0.0), (4.0, 4.0), (3.0, 1.0)], [(0.0, 0.0), (3.0, 1.0), (7.0, 2.0), (7.0, 2.0)]):
         assert Q.slice_between(line, line[0], line[-1]) == line
     assert Q.slice_between([(0.0, 0.0), (1.0, 0.0), (2.0, 0.0), (3.0, 0.0)], (1.0, 0.0), (2.0, 0.0)) == [(1.0, 0.0), (2.0, 0.0)]
+
+
+def test_split_at_a_place_passed_again():
+    for line in ([(0.0, 0.0), (0.0, 0.0), (3.0, 1.0)], [(0.0, 0.0), (3.0, 1.0), (5.0, 5.0), (3.0, 1.0)], [(0.0, 0.0), (3.0, 1.0), (0.0, 0.0), (3.0, 1.0), (4.0, 4.0)]):
+        assert Q.split_at(line, [line[1]]) == [line[:2], line[1:]]
+    line = [(0.0, 0.0), (3.0, 1.0), (5.0, 5.0)]
+    assert Q.split_at(line, [line[0], line[2]]) == [line] and len(Q.split_at(line, [(1.5, 0.5), (1.5, 0.500001)])) == 2
