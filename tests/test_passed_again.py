@@ -46,3 +46,10 @@ def test_split_at_a_place_passed_again():
         assert Q.split_at(line, [line[1]]) == [line[:2], line[1:]]
     line = [(0.0, 0.0), (3.0, 1.0), (5.0, 5.0)]
     assert Q.split_at(line, [line[0], line[2]]) == [line] and len(Q.split_at(line, [(1.5, 0.5), (1.5, 0.500001)])) == 2
+
+
+def test_slice_along_keeps_repeated_vertices():
+    line = [(0.0, 0.0), (0.0, 0.0), (1.0, 0.0), (1.0, 0.0), (1.0, 0.0), (2.0, 0.0), (2.0, 0.0)]
+    assert Q.slice_along(line, 0, 1e12) == line
+    parts = Q.chunked(line, Q.haversine((0.0, 0.0), (1.0, 0.0)))
+    assert [len(p) for p in parts] == [5, 3] and abs(sum(map(Q.length, parts)) - Q.length(line)) < 1e-6
