@@ -53,3 +53,9 @@ def test_slice_along_keeps_repeated_vertices():
     assert Q.slice_along(line, 0, 1e12) == line
     parts = Q.chunked(line, Q.haversine((0.0, 0.0), (1.0, 0.0)))
     assert [len(p) for p in parts] == [5, 3] and abs(sum(map(Q.length, parts)) - Q.length(line)) < 1e-6
+
+
+def test_simplified_closed_line():
+    """A closed line keeps its ends, a ring four points."""
+    line = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
+    assert P.simplify(line, 5e8, True, ring=False) == [line[0], line[-1]] and len(P.simplify(line, 5e8, True)) == 4
