@@ -11,6 +11,7 @@ the antimeridian.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -222,23 +223,91 @@ def kmeans(points: DataFrame, k: int, key: str = "id", seed_index: int = 0, roun
     return points.withColumn("cluster", assigned(centres)).withColumn("centroid", F.element_at(where, F.col("cluster") + 1))
 
 
+def _reach_cells(metres: float) -> tuple[Callable, Callable]:
+    """(put, near): columns (_r, _c) of cells whose points are all within `metres` of each other, and the array of cells that hold what is within it of a cell.
+
+    By the haversine formula, where the squared half sines of a cell's height and of
+    its width at its lower latitude are half that of the distance each at most.
+    """
+    half = math.sin(min(metres / G.EARTH_RADIUS, math.pi) / 2)
+    side = half / math.sqrt(2) * 0.999
+    height = math.degrees(2 * math.asin(side))
+    rows = math.ceil(180.0 / height)
+    low = lambda r: F.greatest(F.lit(0.0), F.least(F.abs(r * height - 90.0), F.abs((r + 1) * height - 90.0)) * F.when((r * height < 90.0) & ((r + 1) * height > 90.0), 0.0).otherwise(1.0))
+    high = lambda r: F.least(F.lit(90.0), F.greatest(F.abs(r * height - 90.0), F.abs((r + 1) * height - 90.0)))
+    turn = lambda sine, lat: 2 * F.degrees(F.asin(F.least(F.lit(1.0), F.lit(sine) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-12)))))
+    columns = lambda r: F.ceil(360.0 / turn(side, low(r))).cast("long")
+    column = lambda turned, n: F.floor(turned / 360.0 * n).cast("long")
+
+    def put(df: DataFrame) -> DataFrame:
+        own = df.withColumn("_r", F.least(F.floor((F.col("lat") + 90.0) / height).cast("long"), F.lit(rows - 1)))
+        n = columns(F.col("_r"))
+        return own.withColumn("_c", F.least(column(G.normalise(F.col("lon")) + 180.0, n), n - 1))
+
+    def near(df: DataFrame) -> DataFrame:
+        """df with (_nr, _nc) once for each cell in reach of (_r, _c), itself included."""
+        own = df.withColumn("_nr", F.explode(F.sequence(F.greatest(F.col("_r") - 2, F.lit(0)), F.least(F.col("_r") + 2, F.lit(rows - 1)))))
+        n, m = columns(F.col("_r")), columns(F.col("_nr"))
+        wide = turn(half * 1.0001, F.greatest(high(F.col("_r")), high(F.col("_nr"))) + 1e-9)
+        first, last = column(F.col("_c") * 360.0 / n - wide - 1e-9, m), column((F.col("_c") + 1) * 360.0 / n + wide + 1e-9, m)
+        some = F.sequence(first, F.least(last, first + m - 1))
+        return own.withColumn("_nc", F.explode(F.array_distinct(F.transform(some, lambda k: F.pmod(k, m)))))
+
+    return put, near
+
+
 def dbscan(points: DataFrame, metres: float, min_points: int = 3) -> DataFrame:
     """id, dbscan (core, edge, noise), cluster (least core id of the cluster; null for noise).
 
     A core point has min_points others within reach; an edge point takes the
     least cluster that reaches it.
+
+    Pairs of points are never listed. All points of a cell are within reach of each
+    other, so those of a cell of over min_points are core points, and the core
+    points of a cell are one cluster. The neighbours of the other points, at most
+    min_points a cell, are counted as they are joined. Clusters are components of
+    cells: two are linked where their outermost core points reach each other, or
+    else, if they aren't in one component by then, where any of their points do.
     """
     from geoloom.operators.graphs import components, settled
 
-    own = points.select(F.col("id").alias("lid"), "lon", "lat")
-    pairs = within_distance(own, points.select(F.col("id").alias("rid"), F.col("lon").alias("rlon"), F.col("lat").alias("rlat")), metres).where("lid <> rid").select("lid", "rid")
-    pairs = settled(pairs)
-    core = pairs.groupBy("lid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select(F.col("lid").alias("core"))
-    from_core = pairs.join(core, F.col("lid") == F.col("core")).select("lid", "rid")
-    both = from_core.join(core, F.col("rid") == F.col("core")).select(F.col("lid").alias("src"), F.col("rid").alias("dst"))
-    alone = core.select(F.col("core").alias("src"), F.col("core").alias("dst"))
-    label = components(both.unionByName(alone)).select(F.col("node").alias("core"), F.col("component").alias("cluster"))
-    edge = from_core.join(core, F.col("rid") == F.col("core"), "left_anti").join(label, F.col("lid") == F.col("core")).groupBy("rid").agg(F.min("cluster").alias("edge_cluster"))
-    out = points.join(label, points["id"] == label["core"], "left").join(edge, points["id"] == edge["rid"], "left")
-    kind = F.when(F.col("core").isNotNull(), "core").when(F.col("rid").isNotNull(), "edge").otherwise("noise")
-    return out.select(points["id"], kind.alias("dbscan"), F.coalesce("cluster", "edge_cluster").alias("cluster"))
+    put, near = _reach_cells(metres)
+    known = F.col("id").isNotNull() & F.coalesce(~F.isnan(F.col("lon") + F.col("lat")), F.lit(False))
+    own = put(points.where(known).select("id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")))
+    full = settled(own.join(own.groupBy("_r", "_c").agg(F.count(F.lit(1)).alias("_n")), ["_r", "_c"]))
+    asked = near(full.where(F.col("_n") <= min_points).select("id", "lon", "lat", "_r", "_c"))
+    reach = lambda a, b: G.distance(a["lon"], a["lat"], b["lon"], b["lat"]) <= metres
+
+    def reached(left: DataFrame, right: DataFrame) -> DataFrame:
+        """left (id, lon, lat, _nr, _nc) with the id and columns of what is within reach in its cells."""
+        other = right.select(F.struct("lon", "lat").alias("_q"), F.col("id").alias("_other"), F.col("_r").alias("_nr"), F.col("_c").alias("_nc"), *[c for c in right.columns if c not in ("id", "lon", "lat", "_r", "_c", "_n", "_core")])
+        return left.join(other, ["_nr", "_nc"]).where(reach(F.struct("lon", "lat"), F.col("_q")))
+
+    counts = reached(asked, full).where("id <> _other").groupBy("id").agg(F.count(F.lit(1)).alias("_k"))
+    few = full.where(F.col("_n") <= min_points).join(counts, "id", "left").withColumn("_core", F.coalesce(F.col("_k") >= min_points, F.lit(False))).select(*full.columns, "_core")
+    marked = settled(full.where(F.col("_n") > min_points).withColumn("_core", F.lit(True)).unionByName(few))
+    core, rest = marked.where("_core"), marked.where("not _core")
+
+    # A cell is known by its least core id, so a component's least node is the cluster.
+    at = F.struct("lon", "lat")
+    outer = F.array_distinct(F.array(F.min_by(at, "lat"), F.max_by(at, "lat"), F.min_by(at, "lon"), F.max_by(at, "lon")))
+    cells = settled(core.groupBy("_r", "_c").agg(F.min("id").alias("_node"), outer.alias("_outer"), F.min("lat").alias("_low"), F.max("lat").alias("_high")))
+    other = cells.select(*[F.col(c).alias(f"{c}2") for c in cells.columns]).withColumnsRenamed({"_r2": "_nr", "_c2": "_nc"})
+    pairs = near(cells).join(other, ["_nr", "_nc"]).where("_node < _node2")
+    pairs = settled(pairs.withColumn("_met", F.exists("_outer", lambda p: F.exists("_outer2", lambda q: reach(p, q)))).drop("_outer", "_outer2"))
+    links = pairs.where("_met").select(F.col("_node").alias("src"), F.col("_node2").alias("dst")).unionByName(cells.select(F.col("_node").alias("src"), F.col("_node").alias("dst")))
+    label = components(links)
+    of = lambda a, b: label.select(F.col("node").alias(a), F.col("component").alias(b))
+    apart = pairs.where("not _met").join(of("_node", "_k1"), "_node").join(of("_node2", "_k2"), "_node2").where("_k1 <> _k2")
+    band = math.degrees(metres / G.EARTH_RADIUS) * 1.0001
+    in_band = lambda lat, low, high: (lat >= F.col(low) - band) & (lat <= F.col(high) + band)
+    left = apart.join(core.select("lon", "lat", "_r", "_c"), ["_r", "_c"]).where(in_band(F.col("lat"), "_low2", "_high2"))
+    more = settled(reached(left.drop("_r", "_c").withColumn("id", F.lit(0)), core).where(in_band(F.col("_q.lat"), "_low", "_high")).select(F.col("_node").alias("src"), F.col("_node2").alias("dst")).distinct())
+    if not more.isEmpty():
+        label = components(links.unionByName(more))
+
+    clustered = core.join(cells.select("_r", "_c", F.col("_node").alias("node")).join(label, "node").select("_r", "_c", F.col("component").alias("cluster")), ["_r", "_c"]).select("id", "lon", "lat", "_r", "_c", "cluster")
+    edge = reached(near(rest.select("id", "lon", "lat", "_r", "_c")), clustered).groupBy("id").agg(F.min("cluster").alias("cluster"))
+    outside = rest.select("id").join(edge, "id", "left").select("id", F.when(F.col("cluster").isNotNull(), "edge").otherwise("noise").alias("dbscan"), "cluster")
+    noise = points.where(~known).select("id", F.lit("noise").alias("dbscan"), F.lit(None).cast(points.schema["id"].dataType).alias("cluster"))
+    return clustered.select("id", F.lit("core").alias("dbscan"), "cluster").unionByName(outside).unionByName(noise)
