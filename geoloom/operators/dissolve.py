@@ -25,12 +25,20 @@ def dissolved(features: DataFrame, key: str, size: float = 5.0, remove_unknown:
     kind = features.schema[key].dataType.simpleString()
     keyed = own.select(key, "geometry", F.floor((first[0] + 540) / size).cast("long").alias("cx"), F.floor((first[1] + 90) / size).cast("long").alias("cy"))
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merged(pdf: pd.DataFrame, united: bool) -> pd.DataFrame:
         polygons = [q for t in pdf["geometry"] if t is not None for q in Q.parts(json.loads(t))[2]]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "cx": [pdf["cx"].iloc[0]], "cy": [pdf["cy"].iloc[0]], "geometry": [shapes.multi(P.union_all(polygons))]})
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "cx": [pdf["cx"].iloc[0]], "cy": [pdf["cy"].iloc[0]], "geometry": [shapes.multi(P.union_all(polygons, united))]})
 
     schema = f"`{key}` {kind}, cx long, cy long, geometry string"
-    for _ in range(levels):
-        keyed = keyed.groupBy(key, "cx", "cy").applyInPandas(merge, schema).select(key, "geometry", F.expr("cx div 2").alias("cx"), F.expr("cy div 2").alias("cy"))
+    def first_merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return merged(pdf, False)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return merged(pdf, True)
+
+    # The work is in the kernels, not in bytes, so small groups are dealt to as many tasks as there are cores for.
+    tasks = 4 * features.sparkSession.sparkContext.defaultParallelism
+    for level in range(levels):
+        keyed = keyed.repartition(tasks, key, "cx", "cy").groupBy(key, "cx", "cy").applyInPandas(merge if level else first_merge, schema).select(key, "geometry", F.expr("cx div 2").alias("cx"), F.expr("cy div 2").alias("cy"))
     whole = keyed.select(key, "geometry", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"))
-    return whole.groupBy(key, "cx", "cy").applyInPandas(merge, schema).select(key, "geometry")
+    return whole.repartition(tasks, key).groupBy(key, "cx", "cy").applyInPandas(merge, schema).select(key, "geometry")
