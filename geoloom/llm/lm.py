@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from geoloom.llm import files
 from geoloom.llm.common import crc_mod, scratch, table
 from geoloom.llm.elias_fano import EliasFano
-from geoloom.llm.lm_words import PIECE, Vocabulary, mix, slices, token_hashes, write_vocabulary
+from geoloom.llm.lm_words import PIECE, Vocabulary, buffers, by_part, mix, piece_batches, slices, token_hashes, write_vocabulary
 from geoloom.llm.runs import key_runs
 from geoloom.llm.worker import held
 
@@ -74,15 +74,20 @@ def discount_of(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.5))
 
 
-def shard_of(before: np.ndarray, counts: np.ndarray, other: np.ndarray, most: int) -> np.ndarray:
-    """The shard of a middle word (its tokens of lesser ids and its count) and another word of the n-gram."""
-    out = before // most
-    many = np.flatnonzero(counts > most)
+def dealt(first: np.ndarray, shards: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The shard of a middle word (its first shard and the number of them) and another word of the n-gram."""
+    out = first.astype(np.int64)
+    many = np.flatnonzero(shards > 1)
     if len(many):
-        out[many] += (mix(other[many].astype(U64)) % (-(-counts[many] // most)).astype(U64)).astype(np.int64)
+        out[many] += (mix(other[many].astype(U64)) % shards[many].astype(U64)).astype(np.int64)
     return out
 
 
+def shard_of(before: np.ndarray, counts: np.ndarray, other: np.ndarray, most: int) -> np.ndarray:
+    """The shard of a middle word (its tokens of lesser ids and its count) and another word of the n-gram."""
+    return dealt(before // most, -(-counts // most), other)
+
+
 class Windows:
     """N-grams of a run of texts, in windows of tokens."""
 
@@ -96,39 +101,63 @@ class Windows:
         starts = np.cumsum(self.lengths) - self.lengths
         for low in range(0, len(self.hashes), WINDOW):
             high = min(low + WINDOW, len(self.hashes))
-            from_ = max(0, low - 2)
-            found = np.stack(self.words.look_up(self.hashes[from_:high]))
-            at = np.arange(low, high) - from_
-            place = np.arange(low, high) - starts[np.searchsorted(starts, np.arange(low, high), "right") - 1]
-            end = np.array(self.end)[:, None]
-            last = np.where(place > 0, found[:, np.maximum(at - 1, 0)], end)
-            first = np.where(place > 1, found[:, np.maximum(at - 2, 0)], end)
-            yield low, high, first, last, found[:, at]
+            yield low, high, *self._window(low, high, starts)
+
+    def _window(self, low: int, high: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        from_ = max(0, low - 2)
+        found = np.stack(self.words.look_up(self.hashes[from_:high]))
+        at = np.arange(low, high) - from_
+        place = np.arange(low, high) - starts[np.searchsorted(starts, np.arange(low, high), "right") - 1]
+        end = np.array(self.end)[:, None]
+        last = np.where(place > 0, found[:, np.maximum(at - 1, 0)], end)
+        first = np.where(place > 1, found[:, np.maximum(at - 2, 0)], end)
+        return first, last, found[:, at]
 
 
 def vocabulary(root: str, shards: list[tuple]) -> Vocabulary:
     return held(f"lm {root}", "words", lambda: Vocabulary(root, shards))
 
 
-def gram_pieces(first: np.ndarray, last: np.ndarray, own: np.ndarray, most: int) -> Iterator[tuple[int, bytes]]:
-    """(shard, piece) of the distinct trigrams of a window, and of the bigrams of middle words with several shards.
+def narrowed(first: np.ndarray, last: np.ndarray, own: np.ndarray, most: int) -> np.ndarray:
+    """A window in 20 bytes a token: ids of the word before, the middle word and the word, the middle word's first shard and number of shards."""
+    return np.stack([x.astype("<u4") for x in (first[0], last[0], own[0], last[2] // most, -(-last[1] // most))])
+
+
+def gram_pieces(tokens: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(shard, piece) of the distinct trigrams of narrowed windows, and of the bigrams of middle words with several shards.
 
     A piece is four rows of 32-bit numbers: middle word, word, word before (BIG in
-    a bigram), count.
+    a bigram), count. Keys are sorted in place, and what is no longer needed is let
+    go, as a worker's memory has its peak here.
     """
-    key, at, back = np.unique(last[0].astype(U64) << U64(32) | own[0].astype(U64), return_index=True, return_inverse=True)
-    whole, n = np.unique(back.astype(U64) << U64(32) | first[0].astype(U64), return_counts=True)
-    pair, before = (whole >> U64(32)).astype(np.int64), (whole & U64(BIG)).astype(np.int64)
-    lead = at[pair]
-    part = shard_of(last[2][lead], last[1][lead], before, most)
-    rows = np.stack([(key >> U64(32))[pair], (key & U64(BIG))[pair], before.astype(U64), n.astype(U64)])
-    many = np.flatnonzero(last[1][at] > most)
-    if len(many):
-        to = (key[many] & U64(BIG)).astype(np.int64)
-        times = np.bincount(back, minlength=len(key))[many]
-        part = np.concatenate([part, shard_of(last[2][at[many]], last[1][at[many]], to, most)])
-        rows = np.concatenate([rows, np.stack([key[many] >> U64(32), to.astype(U64), np.full(len(many), BIG, U64), times.astype(U64)])], axis=1)
-    rows = rows.astype("<u4")
+    before, middle, own, first, shards = tokens
+    key = middle.astype(U64) << U64(32) | own
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    start = np.flatnonzero(new)
+    key, lead, times = key[start], order[start], np.diff(start, append=len(order))
+    first, shards = first[lead], shards[lead]
+    whole = (np.cumsum(new) - 1).view(U64)
+    whole <<= U64(32)
+    whole |= before[order]
+    del order, new, start, lead, before, middle, own, tokens
+    whole.sort()
+    start = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
+    n = np.diff(start, append=len(whole))
+    whole = whole[start]
+    del start
+    pair = (whole >> U64(32)).astype(np.int64)
+    many = np.flatnonzero(shards > 1)
+    to = (key[many] & U64(BIG)).astype(np.int64)
+    rows = np.empty((4, len(pair) + len(many)), "<u4")
+    rows[0, : len(pair)], rows[0, len(pair) :] = (key >> U64(32))[pair], key[many] >> U64(32)
+    rows[1, : len(pair)], rows[1, len(pair) :] = (key & U64(BIG))[pair], to
+    rows[2, : len(pair)], rows[2, len(pair) :] = whole & U64(BIG), BIG
+    rows[3, : len(pair)], rows[3, len(pair) :] = n, times[many]
+    del whole, n, key, times
+    part = np.concatenate([dealt(first[pair], shards[pair], rows[2, : len(pair)]), dealt(first[many], shards[many], to)])
+    del pair
     if np.any(part[1:] < part[:-1]):
         order = np.argsort(part, kind="stable")
         part, rows = part[order], rows[:, order]
@@ -142,20 +171,22 @@ def grams(docs: DataFrame, text: str, root: str, shards: list[tuple], most: int)
         words = vocabulary(root, shards)
         gathered, size = [], 0
 
-        def pieces() -> pa.RecordBatch:
-            parts, blobs = zip(*gram_pieces(*[np.concatenate(x, axis=1) for x in zip(*gathered)], most))
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "piece"])
+        def taken() -> np.ndarray:
+            tokens = np.concatenate(gathered, axis=1)
+            gathered.clear()
+            return tokens
 
         for batch in batches:
             for part in slices(batch, 0):
                 for low, high, *three in Windows(words, part.column(0)):
-                    gathered.append(three)
+                    gathered.append(narrowed(*three, most))
                     size += high - low
+                    del three
                     if size > 2 * WINDOW:
-                        yield pieces()
-                        gathered, size = [], 0
+                        yield from piece_batches(gram_pieces(taken()))
+                        size = 0
         if size:
-            yield pieces()
+            yield from piece_batches(gram_pieces(taken()))
 
     return docs.select(text).mapInArrow(run, "part long, piece binary")
 
@@ -217,7 +248,7 @@ class Counts:
         return cls(small, wide[2 * large : 2 * large + contexts], wide[2 * large + contexts :])
 
 
-def count_shard(pieces: list[bytes], words: Vocabulary, most: int) -> tuple[bytes, np.ndarray, list[int], list[int]]:
+def count_shard(pieces: list[pa.Buffer], words: Vocabulary, most: int) -> tuple[bytes, np.ndarray, list[int], list[int]]:
     """A shard's structure and counts; how many bigrams and trigrams occur once and twice; middle words with several shards and their bigrams here."""
     rows = np.concatenate([np.frombuffer(x, "<u4").reshape(4, -1) for x in pieces], axis=1).astype(np.int64)
     first = int(rows[0].min())
@@ -262,13 +293,14 @@ def write_counts(pieces: DataFrame, root: str, shards: list[tuple], most: int) -
         for group in key_runs(batches, 1):
             part = group.column(0)[0].as_py()
             name = f"counts-{part:07d}-{uuid.uuid4().hex}"
-            body, stats, several, kinds = count_shard(group.column(1).to_pylist(), words, most)
+            body, stats, several, kinds = count_shard(buffers(group.column(1)), words, most)
             with files.create(f"{root}/{name}") as f:
                 f.write(body)
             many = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([stats.tolist()], many), pa.array([several], many), pa.array([kinds], many)], names=["part", "file", "stats", "several", "kinds"])
 
-    pieces.repartition("part").sortWithinPartitions("part").mapInArrow(run, GRAMS).write.parquet(f"{root}/grams")
+    tokens = sum(s[4] for s in shards)
+    by_part(pieces, (tokens - 1) // most + 1).mapInArrow(run, GRAMS).write.parquet(f"{root}/grams")
 
 
 @dataclass

@@ -24,6 +24,8 @@ U64 = np.uint64
 BLOCK, GATHERED, PIECE = 1 << 16, 2_000_000, 4096
 #: Slots of a worker's table of words seen; a word that falls on a used slot takes its place.
 SLOTS = 1 << 19
+#: Bytes of pieces that a worker hands over at once.
+HANDED = 4 << 20
 #: Splits of the input for each file of the vocabulary.
 SPLITS_A_FILE, LEAST_BITS = 4, 4
 
@@ -134,15 +136,49 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[
         low = high
 
 
+def piece_batches(pieces: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The pieces in batches of about HANDED bytes."""
+    parts, blobs, size = [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "piece"])
+
+    for part, blob in pieces:
+        parts.append(part)
+        blobs.append(blob)
+        size += len(blob)
+        if size >= HANDED:
+            yield batch()
+            parts, blobs, size = [], [], 0
+    if parts:
+        yield batch()
+
+
+def buffers(pieces: pa.ChunkedArray) -> list[pa.Buffer]:
+    """The pieces' bytes, not copied."""
+    return [x.as_buffer() for x in pieces]
+
+
+def by_part(pieces: DataFrame, parts: int) -> DataFrame:
+    """The pieces in order of part, the parts dealt in turn to spark.sql.shuffle.partitions tasks."""
+    tasks = min(parts, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return pieces.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).sortWithinPartitions("part")
+
+
 def counted(docs: DataFrame, text: str, bits: int) -> DataFrame:
     """(part, piece): hashes and counts of the words of all texts, dealt by the top bits of the hash."""
 
-    def pieces(held: list[np.ndarray]) -> pa.RecordBatch:
-        hashes, n = np.unique(np.concatenate(held), return_counts=True)
+    def pieces(held: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+        every = np.concatenate(held)
+        held.clear()
+        every.sort()
+        start = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        hashes, n = every[start], np.diff(start, append=len(every))
+        del every, start
         part = (hashes >> U64(64 - bits)).astype(np.int64)
         cuts = np.union1d(np.flatnonzero(np.diff(part)) + 1, np.arange(0, len(part), PIECE))
-        blobs = [np.concatenate([hashes[a:b], n[a:b].astype(U64)]).tobytes() for a, b in zip(cuts, [*cuts[1:], len(part)])]
-        return pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(blobs, pa.binary())], names=["part", "piece"])
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)]):
+            yield int(part[a]), np.concatenate([hashes[a:b], n[a:b].astype(U64)]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -151,10 +187,10 @@ def counted(docs: DataFrame, text: str, bits: int) -> DataFrame:
                 held.append(token_hashes(part.column(0))[0])
                 size += len(held[-1])
                 if size > GATHERED:
-                    yield pieces(held)
-                    held, size = [], 0
+                    yield from piece_batches(pieces(held))
+                    size = 0
         if size:
-            yield pieces(held)
+            yield from piece_batches(pieces(held))
 
     return docs.select(text).mapInArrow(run, "part long, piece binary")
 
@@ -167,7 +203,7 @@ def write_vocabulary(docs: DataFrame, text: str, root: str) -> list[tuple]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in key_runs(batches, 1):
             part = shard.column(0)[0].as_py()
-            pieces = [np.frombuffer(x, "<u8").reshape(2, -1) for x in shard.column(1).to_pylist()]
+            pieces = [np.frombuffer(x, "<u8").reshape(2, -1) for x in buffers(shard.column(1))]
             every, n = np.concatenate([x[0] for x in pieces]), np.concatenate([x[1] for x in pieces])
             order = np.argsort(every)
             every, n = every[order], n[order].astype(np.int64)
@@ -180,7 +216,7 @@ def write_vocabulary(docs: DataFrame, text: str, root: str) -> list[tuple]:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], names=["part", "file", "words", "tokens"])
 
     schema = "part long, file string, words long, tokens long"
-    counted(docs, text, bits).repartition("part").sortWithinPartitions("part").mapInArrow(run, schema).write.parquet(f"{root}/words")
+    by_part(counted(docs, text, bits), 1 << bits).mapInArrow(run, schema).write.parquet(f"{root}/words")
     found = docs.sparkSession.read.schema(schema).parquet(f"{root}/words").collect()
     return [(bits, *r) for r in sorted(tuple(r) for r in found)]
 

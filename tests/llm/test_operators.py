@@ -406,6 +406,52 @@ def test_lm_of_nothing(spark, docs, none):
     assert all(r["score"] == 0 and r["n_known"] == 0 for r in scored)
 
 
+def test_lm_counting_takes_little_memory(monkeypatch):
+    """A worker's arrays take under 100 bytes a token (59 measured here; 184 with windows kept in 64-bit numbers)."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Words:
+        def look_up(self, hashes):
+            ids = (hashes % np.uint64(20_000)).astype(np.int64)
+            return ids, np.full(len(ids), 10), ids * 10
+
+        def end(self):
+            return 7, 10, 70
+
+    class Docs:
+        def select(self, text):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    tokens = 400_000
+    r = random.Random(1)
+    batch = pa.record_batch([pa.array([" ".join(f"{r.randrange(20_000):x}" for _ in range(tokens // 400 - 1)) for _ in range(400)])], names=["text"])
+    monkeypatch.setattr(lm, "vocabulary", lambda *_: Words())
+    monkeypatch.setattr(lm, "WINDOW", tokens // 5)
+    run, seen = lm.grams(Docs(), "text", "", [], 10**6), 0
+    tracemalloc.start()
+    for out in run(iter([batch])):
+        seen += sum(int(np.frombuffer(x.as_buffer(), "<u4").reshape(4, -1)[3].sum()) for x in out.column(1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == tokens
+    assert peak < 100 * tokens
+
+
+def test_lm_parts_are_dealt_evenly(spark):
+    """As many parts in one task as in any other, where hashes put several more into some."""
+    from pyspark.sql import functions as F
+
+    from geoloom.llm import lm_words
+
+    tasks = lm_words.by_part(spark.range(0, 320, 1, 4).selectExpr("id % 40 AS part"), 40).groupBy(F.spark_partition_id()).agg(F.countDistinct("part").alias("n"))
+    assert [r["n"] for r in tasks.collect()] == [10] * 4
+
+
 def test_words_are_hashed_whole(monkeypatch):
     """Blocks of 64 bytes: words across them, longer than them, and texts that end in them."""
     import pyarrow as pa
