@@ -80,3 +80,21 @@ def test_rotated_and_scaled_are_steps_of_rhumb_lines(spark):
             w = df.select(want.alias("w")).first()["w"] if k else {"x": x, "y": y}
             assert abs(own[k]["x"] - w["x"]) < 1e-9 and abs(own[k]["y"] - w["y"]) < 1e-9
     assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_nearest_segment_of_a_shared_vertex(spark):
+    """Two segments meet in the nearest vertex: the same one as by the SQL, where rounding alone tells their distances apart."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from geoloom.functions import lines as L
+    from geoloom.plans.line_queries import ORACLES
+
+    hundredths = [[(k * 7919 % 9000, k * 104729 % 6000) for k in keys] for keys in ((237020, 289059, 255852, 289969, 185475), (237021, 289060, 255853, 289970, 185476))]
+    lines = [[{"x": x / 100 - 44.9963, "y": y / 100 - 29.9971} for x, y in own] for own in hundredths]
+    df = spark.createDataFrame(list(enumerate(lines)), "id int, line array<struct<x: double, y: double>>")
+    got = df.select("id", L.nearest_on_line(F.col("line"), F.lit(3.21), F.lit(4.56))["index"]).orderBy("id").collect()
+    rows = ", ".join(f"({k}, [{', '.join(repr(p) for p in own)}])" for k, own in enumerate(lines))
+    select = "SELECT id" + ORACLES["point_to_line_distance"].rpartition(" FROM order_line")[0].rpartition("SELECT id")[2]
+    want = duckdb.connect().sql(f"SELECT id, segment FROM ({select} FROM (VALUES {rows}) t(id, line)) ORDER BY id").fetchall()
+    assert [tuple(r) for r in got] == want
